@@ -53,6 +53,7 @@ def column_groups(profile: DataFrame) -> DataFrame:
         ~F.col("is_primary_key")
         & ~F.col("is_foreign_key")
         & ~naming.is_id_name(F.col("column_name"))
+        & ~naming.name_has(F.col("column_name"), naming.IDENTIFIER_WORDS)
         & ~naming.is_pii_name(F.col("column_name"))
     )
     cls = F.col("type_class")

@@ -1,7 +1,8 @@
 """Column profiles (PROF-*): one row per column of a table.
 
-Two passes over a table. The first is one global aggregate for counts, ranges, lengths,
-moments and a HyperLogLog size class of each column; its single row comes to the driver. The
+Two passes over the tables. The first is a global aggregate for counts, ranges, lengths and
+moments, beside one for the HyperLogLog size of each column (apart, as it would keep the
+other from compiling to one loop); their rows, one per column, come to the driver. The
 second counts distinct values with one shuffle per physical type, each branch reading only
 its own columns. Columns found small in the first pass are counted value by value, which also
 gives their top values; map-side combine shrinks them to a few rows per task. The others are
@@ -17,7 +18,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline import schemas
 from plumbline.functions import naming, numbers
 
 # Longer texts are counted by their SHA-256, so that documents are not shuffled whole.
@@ -139,9 +139,9 @@ def _has_small_domain(data_type: T.DataType) -> bool:
 
 
 def _simple_metrics(
-    df: DataFrame, fields: list[T.StructField], blank_is_null: bool, rsd: float | None
+    df: DataFrame, fields: list[T.StructField], blank_is_null: bool
 ) -> DataFrame:
-    """PROF-1, 2, 7, 8, 12 and sizes: one global aggregate, then one row per column."""
+    """PROF-1, 2, 7, 8, 12: one global aggregate, then one row per column."""
     aggregates = [F.count(F.lit(1)).alias("rows")]
     rows = []
     for i, field in enumerate(fields):
@@ -161,10 +161,6 @@ def _simple_metrics(
             exprs |= {"lo": F.min(v).cast("string"), "hi": F.max(v).cast("string")}
         elif text:
             exprs |= {"lo": F.min(F.length(v)), "hi": F.max(F.length(v))}
-        if rsd is not None and _countable_type(field.dataType):
-            exprs["size"] = F.approx_count_distinct(v, rsd)
-        elif _has_small_domain(field.dataType):
-            exprs["size"] = F.approx_count_distinct(v)
         aggregates += [e.alias(f"{k}_{i}") for k, e in exprs.items()]
 
         def got(key: str, when: bool, kind: str) -> Column:
@@ -185,12 +181,52 @@ def _simple_metrics(
                 got("hi", text, "int").alias("max_length"),
                 got("mean", num, "double").alias("mean"),
                 got("stddev", num, "double").alias("stddev"),
-                got("size", True, "bigint").alias("size"),
             )
         )
     return df.agg(*aggregates).select(F.inline(F.array(*rows)))
 
 
+def _sizes(
+    df: DataFrame, fields: list[T.StructField], blank_is_null: bool, rsd: float
+) -> DataFrame:
+    """PROF-5: (column_name, size), the approximate distinct count of each column."""
+    aggregates = [
+        F.approx_count_distinct(present(f, blank_is_null), rsd).alias(f"s_{i}")
+        for i, f in enumerate(fields)
+    ]
+    rows = [
+        F.struct(F.lit(f.name).alias("column_name"), F.col(f"s_{i}").alias("size"))
+        for i, f in enumerate(fields)
+    ]
+    return df.agg(*aggregates).select(F.inline(F.array(*rows)))
+
+
+# Enough to tell a column of up to MAX_SET_SIZE values from a large one.
+SIZE_CLASS_RSD = 0.1
+
+
+def _first_pass(
+    name: str, df: DataFrame, blank_is_null: bool, approx: bool, rsd: float
+) -> list[DataFrame]:
+    """Frames of one row per column, to be run together."""
+    fields = list(df.schema.fields)
+    sized = [
+        f
+        for f in fields
+        if _has_small_domain(f.dataType) or (approx and _countable_type(f.dataType))
+    ]
+    step = COLUMNS_PER_AGGREGATE
+    frames = [
+        _simple_metrics(df, fields[i : i + step], blank_is_null)
+        for i in range(0, len(fields), step)
+    ]
+    frames += [
+        _sizes(df, sized[i : i + step], blank_is_null, rsd if approx else SIZE_CLASS_RSD)
+        for i in range(0, len(sized), step)
+    ]
+    return [f.withColumn("table_name", F.lit(name)) for f in frames]
+
+
 RANKED_TYPE = "array<struct<rank:bigint,value:string>>"
 
 
@@ -200,42 +236,73 @@ def profile(
     *,
     primary_keys: Iterable[str] = (),
     foreign_keys: Iterable[str] = (),
+    **options,
+) -> DataFrame:
+    """PROF-1..9, 12, 13: the profile DataFrame of one table; options as profile_tables."""
+    return profile_tables(
+        {table_name: df}, {table_name: primary_keys}, {table_name: foreign_keys}, **options
+    )
+
+
+def profile_tables(
+    tables: Mapping[str, DataFrame],
+    primary_keys: Mapping[str, Iterable[str]] | None = None,
+    foreign_keys: Mapping[str, Iterable[str]] | None = None,
+    *,
     blank_is_null: bool = True,
     approx: bool = False,
     rsd: float = 0.02,
 ) -> DataFrame:
-    """PROF-1..9, 12, 13: the profile DataFrame of one table.
+    """PROF-20: several tables in one profile DataFrame, in one job per pass.
 
     ``approx=True`` keeps the HyperLogLog counts of the first pass for large columns, so that
     no high-cardinality value is ever shuffled (PROF-5). Small columns stay exact.
     """
-    spark = df.sparkSession
-    fields = list(df.schema.fields)
-    if not fields:
-        return spark.createDataFrame([], schemas.PROFILE)
-    batches = [
-        fields[i : i + COLUMNS_PER_AGGREGATE]
-        for i in range(0, len(fields), COLUMNS_PER_AGGREGATE)
+    tables = {n: df for n, df in tables.items() if df.columns}
+    if not tables:
+        raise ValueError("no columns to profile")
+    spark = next(iter(tables.values())).sparkSession
+    first = [
+        f
+        for name, df in tables.items()
+        for f in _first_pass(name, df, blank_is_null, approx, rsd)
     ]
-    scan = _union(
-        _simple_metrics(df, b, blank_is_null, rsd if approx else None) for b in batches
-    )
-    measured = scan.collect()  # one row per column
-    simple = spark.createDataFrame(measured, scan.schema)
-    small = {r["column_name"] for r in measured if r["size"] and _is_small(r["size"])}
-    large = [
-        f.name for f in fields if _countable_type(f.dataType) and f.name not in small
+    scan = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), first)
+    if "size" not in scan.columns:
+        scan = scan.withColumn("size", F.lit(None).cast("bigint"))
+    measured = scan.collect()  # two rows per column at most
+    sizes = {
+        (r["table_name"], r["column_name"]): r["size"] for r in measured if r["size"] is not None
+    }
+    merged = [
+        {**r.asDict(), "size": sizes.get((r["table_name"], r["column_name"]))}
+        for r in measured
+        if r["row_count"] is not None
     ]
+    simple = spark.createDataFrame(merged, scan.schema)
     counted = []
-    if small:
-        counted.append(top_values(value_frequencies(df, sorted(small), blank_is_null)))
-    if large and not approx:
-        keyed = value_frequencies(df, large, blank_is_null, digest=True)
-        counted.append(
-            distinct_counts(keyed).withColumn("ranked", F.lit(None).cast(RANKED_TYPE))
-        )
+    for name, df in tables.items():
+        small = sorted(c for (t, c), size in sizes.items() if t == name and _is_small(size))
+        large = [
+            f.name
+            for f in df.schema.fields
+            if _countable_type(f.dataType) and f.name not in small
+        ]
+        if small:
+            counted.append(
+                top_values(value_frequencies(df, small, blank_is_null)).withColumn(
+                    "table_name", F.lit(name)
+                )
+            )
+        if large and not approx:
+            keyed = value_frequencies(df, large, blank_is_null, digest=True)
+            counted.append(
+                distinct_counts(keyed)
+                .withColumn("ranked", F.lit(None).cast(RANKED_TYPE))
+                .withColumn("table_name", F.lit(name))
+            )
     if counted:
-        joined = simple.join(_union(counted), "column_name", "left")
+        joined = simple.join(_union(counted), ["table_name", "column_name"], "left")
     else:
         joined = simple.withColumn("distinct_count", F.lit(None).cast("bigint"))
         joined = joined.withColumn("ranked", F.lit(None).cast(RANKED_TYPE))
@@ -245,28 +312,35 @@ def profile(
         "ranked",
         F.when(F.col("distinct_count") <= naming.MAX_SET_SIZE, F.col("ranked")),
     )
-    return _finish(joined, table_name, fields, set(primary_keys), set(foreign_keys))
-
-
-def _finish(
-    metrics: DataFrame,
-    table_name: str,
-    fields: list[T.StructField],
-    primary: set[str],
-    foreign: set[str],
-) -> DataFrame:
-    """Types, keys and ratios (PROF-3, 6, 13) beside the measured values."""
+    keys, foreign = primary_keys or {}, foreign_keys or {}
+    described = [
+        (
+            name,
+            f.name,
+            i,
+            f.dataType.simpleString(),
+            naming.type_class(f.dataType),
+            f.name in set(keys.get(name, ())),
+            f.name in set(foreign.get(name, ())),
+            _countable_type(f.dataType) is not None,
+        )
+        for name, df in tables.items()
+        for i, f in enumerate(df.schema.fields)
+    ]
+    types = spark.createDataFrame(
+        described,
+        "table_name string, column_name string, ordinal int, data_type string, "
+        "type_class string, is_primary_key boolean, is_foreign_key boolean, countable boolean",
+    )
+    return _finish(joined.join(types, ["table_name", "column_name"]))
 
-    def by_name(value) -> Column:
-        pairs = [x for f in fields for x in (F.lit(f.name), F.lit(value(f)))]
-        return F.create_map(*pairs)[F.col("column_name")]
 
-    place = {f.name: i for i, f in enumerate(fields)}
+def _finish(metrics: DataFrame) -> DataFrame:
+    """Ratios (PROF-3, 6) and the shape of the profile schema."""
     rows, non_null = F.col("row_count"), F.col("non_null_count")
     nulls = rows - non_null
-    countable = by_name(lambda f: _countable_type(f.dataType) is not None)
+    countable, is_pk = F.col("countable"), F.col("is_primary_key")
     distinct = F.when(countable, F.coalesce("distinct_count", F.lit(0)))
-    is_pk = by_name(lambda f: f.name in primary)
     tops = F.transform(
         F.coalesce("ranked", F.array().cast(RANKED_TYPE)),
         lambda e: F.struct(
@@ -276,13 +350,13 @@ def _finish(
         ),
     )
     return metrics.select(
-        F.lit(table_name).alias("table_name"),
-        by_name(lambda f: place[f.name]).alias("ordinal"),
+        "table_name",
+        "ordinal",
         "column_name",
-        by_name(lambda f: f.dataType.simpleString()).alias("data_type"),
-        by_name(lambda f: naming.type_class(f.dataType)).alias("type_class"),
-        is_pk.alias("is_primary_key"),
-        by_name(lambda f: f.name in foreign).alias("is_foreign_key"),
+        "data_type",
+        "type_class",
+        "is_primary_key",
+        "is_foreign_key",
         ((nulls > 0) | ~is_pk).alias("nullable"),
         rows.alias("row_count"),
         nulls.alias("null_count"),
@@ -302,26 +376,6 @@ def _finish(
     )
 
 
-def profile_tables(
-    tables: Mapping[str, DataFrame],
-    primary_keys: Mapping[str, Iterable[str]] | None = None,
-    foreign_keys: Mapping[str, Iterable[str]] | None = None,
-    **options,
-) -> DataFrame:
-    """PROF-20: several tables in one profile DataFrame."""
-    keys, foreign = primary_keys or {}, foreign_keys or {}
-    return _union(
-        profile(
-            df,
-            name,
-            primary_keys=keys.get(name, ()),
-            foreign_keys=foreign.get(name, ()),
-            **options,
-        )
-        for name, df in tables.items()
-    )
-
-
 def histogram(
     df: DataFrame, columns: Iterable[str] | None = None, bins: int = BINS
 ) -> DataFrame:

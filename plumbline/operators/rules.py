@@ -108,12 +108,15 @@ def violating_rows(
     rule: Mapping[str, Any],
     columns: Sequence[str] | None = None,
     limit: int | None = None,
+    order: Sequence[str] = (),
 ) -> DataFrame:
     """RULE-4, 5: rows that break a rule; chosen columns and the first N on request."""
     if rule["rule_type"] == checks.UNIQUE:
         found = checks.repeated_rows(df, rule["target_columns"]).drop("n")
     else:
         found = df.where(predicate(rule, df).violation)
+    if order:
+        found = found.orderBy(*order)
     if columns is not None:
         found = found.select(*[column(c) for c in columns])
     return found if limit is None else found.limit(limit)

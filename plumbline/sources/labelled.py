@@ -15,15 +15,24 @@ def read_records(spark: SparkSession, path: str, record: T.StructType) -> DataFr
 
     One document is parsed in one task; large sets come as many documents or as a table.
     """
-    document = schemas.struct(records=T.ArrayType(schemas.labelled(record)))
     return (
-        spark.read.schema(document)
+        spark.read.schema(_document(record))
         .option("multiLine", True)
         .json(path)
         .select(F.inline("records"))
     )
 
 
+def records_in(texts: DataFrame, text: str, record: T.StructType) -> DataFrame:
+    """SRC-2: the same from a table with one JSON document per row."""
+    parsed = F.from_json(text, _document(record))
+    return texts.select(F.inline(parsed["records"]))
+
+
+def _document(record: T.StructType) -> T.StructType:
+    return schemas.struct(records=T.ArrayType(schemas.labelled(record)))
+
+
 def read_expected(spark: SparkSession, path: str) -> DataFrame:
     """SRC-3: expected rules, from a JSON document with a map of tables."""
     documents = (
