@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import naming
+from plumbline.local import on_driver
 from plumbline.operators import evaluate, mine, profile, recommend, ruletable
 from plumbline.operators import rules as rule_ops
 from plumbline.sources import labelled
@@ -91,7 +92,7 @@ def labelled_benchmark(
     proposed, detections = [], []
     for name, rows in records.items():
         rules = recommend.recommend(record_profile(labelled.clean_rows(rows), name))
-        local = rules.sparkSession.createDataFrame(rules.collect(), rules.schema)
+        local = on_driver(rules)
         proposed.append(local)
         tested = evaluate.tested_rows(rows, local)
         detections.append(evaluate.detection_scores(tested, name, digits))
@@ -105,7 +106,7 @@ def mine_rules(
     df: DataFrame, table_name: str, profiled: DataFrame, min_confidence: float = 0.95
 ) -> DataFrame:
     """REC-9..14 on one table, deduplicated and above the confidence threshold."""
-    local = profile.on_driver(profiled.where(F.col("table_name") == table_name))
+    local = profiled.where(F.col("table_name") == table_name)
     groups = mine.column_groups(local)
     times = mine.pairs_of(groups, table_name, "TEMPORAL")
     numbers = mine.pairs_of(groups, table_name, "CROSS_COLUMN")
