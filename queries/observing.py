@@ -1 +1,146 @@
-"""."""
+"""OBS-*."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from plumbline.operators import checks, observe, profile
+from queries.base import query, table
+
+NOW = "2024-02-01 00:00:00"
+
+
+@query(
+    f"""SELECT CAST(max(ts) AS VARCHAR) AS newest, date_sub('second', max(ts), TIMESTAMP '{NOW}') / 60 AS delay_minutes, 1440.0::DOUBLE AS target_minutes,
+        date_sub('second', max(ts), TIMESTAMP '{NOW}') / 60 <= 1440 AS on_time FROM events"""
+)
+def obs_freshness(spark, sf_dir):
+    now = F.lit(NOW).cast("timestamp_ntz")
+    found = observe.freshness(table(spark, sf_dir, "events"), "ts", 1440, now)
+    return found.withColumn("newest", F.col("newest").cast("string"))
+
+
+@query(
+    """
+    WITH d AS (SELECT event_type, CAST(ts AS DATE) AS day, count(*) AS rows FROM events GROUP BY ALL),
+    w AS (SELECT *, lag(rows) OVER o AS before, avg(rows) OVER t AS mean, stddev_samp(rows) OVER t AS sd FROM d
+          WINDOW o AS (PARTITION BY event_type ORDER BY day), t AS (PARTITION BY event_type ORDER BY day ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING))
+    SELECT event_type, CAST(day AS VARCHAR) AS day, rows, rows - before AS change, round((rows - before) / before * 100, 4) AS change_pct,
+           round(mean - 2 * sd, 4) AS expected_low, round(mean + 2 * sd, 4) AS expected_high,
+           COALESCE(rows < mean - 2 * sd OR rows > mean + 2 * sd, FALSE) AS anomaly FROM w
+    """
+)
+def obs_daily_volume(spark, sf_dir):
+    found = observe.daily_volume(table(spark, sf_dir, "events"), "ts", ["event_type"], 2.0)
+    rounded = [F.round(c, 4).alias(c) for c in ("change_pct", "expected_low", "expected_high")]
+    return found.select("event_type", F.col("day").cast("string").alias("day"), "rows", "change", *rounded, "anomaly")
+
+
+TYPES = [checks.NOT_NULL, checks.UNIQUE, checks.BETWEEN, "TEMPORAL", "CROSS_COLUMN"]
+TYPES_SQL = "CASE left(o_orderpriority, 1) " + " ".join(f"WHEN '{i + 1}' THEN '{t}'" for i, t in enumerate(TYPES)) + " END"
+RUNS_SQL = f"""(SELECT {TYPES_SQL} AS rule_type, CASE o_orderstatus WHEN 'O' THEN 'PASSED' WHEN 'F' THEN 'FAILED' ELSE 'WARNING' END AS status,
+    o_totalprice / 500000 AS pass_rate, o_orderdate AS run_at FROM orders)"""
+
+
+def runs(spark, sf_dir) -> DataFrame:
+    """Orders as rule runs: the priority is the rule type, the status the outcome."""
+    first, status = F.left("o_orderpriority", F.lit(1)), F.col("o_orderstatus")
+    pairs = [x for i, t in enumerate(TYPES) for x in (F.lit(str(i + 1)), F.lit(t))]
+    return table(spark, sf_dir, "orders").select(
+        F.create_map(*pairs)[first].alias("rule_type"),
+        F.when(status == "O", "PASSED").when(status == "F", "FAILED").otherwise("WARNING").alias("status"),
+        (F.col("o_totalprice") / 500000).alias("pass_rate"),
+        F.col("o_orderdate").alias("run_at"),
+    )
+
+
+@query(
+    f"""SELECT count(*) AS total_tests, count(*) FILTER (status = 'PASSED') AS passed, count(*) FILTER (status = 'WARNING') AS warning,
+        count(*) FILTER (status = 'FAILED') AS failed, count(*) FILTER (status = 'PASSED') / count(*) * 100 AS pass_rate FROM {RUNS_SQL}"""
+)
+def obs_suite_status(spark, sf_dir):
+    return observe.suite_status(runs(spark, sf_dir))
+
+
+@query(
+    """SELECT * FROM (VALUES ('lineitem', 'l_tax', 'double', NULL, 'REMOVED'), ('lineitem', 'l_linenumber', 'int', 'string', 'RETYPED'),
+       ('lineitem', 'l_note', NULL, 'string', 'ADDED')) AS v(table_name, column_name, old_type, new_type, change)"""
+)
+def obs_schema_drift(spark, sf_dir):
+    before = table(spark, sf_dir, "lineitem")
+    after = before.drop("l_tax").withColumns(
+        {"l_linenumber": F.col("l_linenumber").cast("string"), "l_note": F.col("l_returnflag")}
+    )
+    old, new = (profile.profile(df, "lineitem", approx=True) for df in (before, after))
+    return observe.schema_drift(old, new)
+
+
+DIMENSION_SQL = f"""(SELECT CASE rule_type WHEN '{checks.NOT_NULL}' THEN 'completeness' WHEN '{checks.UNIQUE}' THEN 'uniqueness'
+    WHEN '{checks.BETWEEN}' THEN 'validity' WHEN 'TEMPORAL' THEN 'timeliness' ELSE 'consistency' END AS dimension, avg(pass_rate) * 100 AS score, count(*) AS runs
+    FROM {RUNS_SQL} GROUP BY 1)"""
+
+
+@query(f"SELECT dimension, round(score, 6) AS score, runs FROM {DIMENSION_SQL}")
+def obs_dimension_scores(spark, sf_dir):
+    return observe.dimension_scores(runs(spark, sf_dir)).withColumn("score", F.round("score", 6))
+
+
+@query(f"SELECT round(avg(score), 6) AS health_score FROM {DIMENSION_SQL}")
+def obs_health_score(spark, sf_dir):
+    found = observe.health_score(observe.dimension_scores(runs(spark, sf_dir)))
+    return found.select(F.round("health_score", 6).alias("health_score"))
+
+
+@query(
+    f"""SELECT CAST(CAST(run_at AS DATE) AS VARCHAR) AS day, count(*) FILTER (status = 'PASSED') AS passed, count(*) FILTER (status = 'WARNING') AS warning,
+        count(*) FILTER (status = 'FAILED') AS failed FROM {RUNS_SQL}
+        WHERE CAST(run_at AS DATE) > (SELECT CAST(max(run_at) AS DATE) FROM {RUNS_SQL}) - 7 GROUP BY 1"""
+)
+def obs_run_history(spark, sf_dir):
+    return observe.run_history(runs(spark, sf_dir)).withColumn("day", F.col("day").cast("string"))
+
+
+SNAPSHOT_SQL = """(SELECT event_type AS table_name, 'mark' AS column_name, CAST(ts AS DATE) AS day, count(*) AS row_count,
+    list(DISTINCT user_id % 12) AS marks FROM events GROUP BY ALL)"""
+
+
+def mark_snapshots(spark, sf_dir) -> DataFrame:
+    """Daily profile snapshots of a twelve-valued column per event type."""
+    mark = (F.col("user_id") % 12).cast("string")
+    per_value = (
+        table(spark, sf_dir, "events")
+        .groupBy(F.col("event_type").alias("table_name"), F.to_date("ts").alias("timestamp"), mark.alias("value"))
+        .agg(F.count(F.lit(1)).alias("count"))
+    )
+    return per_value.groupBy("table_name", "timestamp").agg(
+        F.lit("mark").alias("column_name"),
+        F.sum("count").alias("row_count"),
+        F.collect_list(F.struct("value", "count")).alias("top_values"),
+    )
+
+
+@query(
+    f"""SELECT table_name, count(*) AS snapshots, min(row_count) AS min_rows, max(row_count) AS max_rows, avg(row_count) AS mean_rows,
+        count(*) >= 3 AS reliable FROM {SNAPSHOT_SQL} GROUP BY 1"""
+)
+def obs_history_bounds(spark, sf_dir):
+    return observe.history_bounds(mark_snapshots(spark, sf_dir))
+
+
+@query(
+    f"""SELECT table_name, column_name, CAST(m AS VARCHAR) AS value, count(DISTINCT day) AS seen, snapshots, count(DISTINCT day) = snapshots AS stable
+        FROM (SELECT table_name, column_name, day, unnest(marks) AS m FROM {SNAPSHOT_SQL})
+        JOIN (SELECT table_name, count(DISTINCT day) AS snapshots FROM {SNAPSHOT_SQL} GROUP BY 1) USING (table_name) GROUP BY table_name, column_name, m, snapshots"""
+)
+def obs_stable_values(spark, sf_dir):
+    return observe.stable_values(mark_snapshots(spark, sf_dir))
+
+
+@query(
+    f"""SELECT table_name, column_name, CAST(day AS VARCHAR) AS day, row_count, row_count - lag(row_count) OVER (PARTITION BY table_name ORDER BY day) AS change
+        FROM {SNAPSHOT_SQL}"""
+)
+def obs_profile_drift(spark, sf_dir):
+    found = observe.profile_drift(mark_snapshots(spark, sf_dir), "row_count")
+    return found.select("table_name", "column_name", F.col("timestamp").cast("string").alias("day"), "row_count", "change")
