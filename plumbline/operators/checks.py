@@ -6,6 +6,7 @@ by key first, so a key that holds most rows shrinks before it is shuffled.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -13,8 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.functions import numbers
-from plumbline.operators.predicates import column
-from plumbline.operators.skew import rows_of_keys
+from plumbline.operators.predicates import any_of, column
+from plumbline.operators.profile import value_frequencies
+from plumbline.operators.skew import rows_of_keys, with_short_keys
 
 NOT_NULL = "columnValuesToBeNotNull"
 UNIQUE = "columnValuesToBeUnique"
@@ -27,63 +29,101 @@ CUSTOM_SQL = "tableCustomSQLQuery"
 
 # Some character that is no white space in any script.
 NOT_BLANK = r"(?U)[^\s\x1c-\x1f]"
+# Up to here every integer is a double, and bounds can be compared as integers.
+EXACT_DOUBLE = 2**53
 
 
-def _true_if_unknown(c: Column) -> Column:
-    return F.coalesce(c, F.lit(True))
+def passes(broken: Column) -> Column:
+    """The check that a violation breaks: true unless it is known to be broken."""
+    return ~F.coalesce(broken, F.lit(False))
 
 
-def _within(value: Column, low, high) -> Column:
-    """Inclusive, either bound optional, null passes."""
+def outside(value: Column, low, high) -> Column:
+    """Beyond a bound; bounds are inclusive and either may be left out."""
     tests = []
     if low is not None:
-        tests.append(value >= F.lit(low))
+        tests.append(value < F.lit(low))
     if high is not None:
-        tests.append(value <= F.lit(high))
-    if not tests:
-        return F.lit(True)
-    return _true_if_unknown(tests[0] if len(tests) == 1 else tests[0] & tests[1])
+        tests.append(value > F.lit(high))
+    return any_of(tests)
 
 
-def not_null(name: str, data_type: T.DataType) -> Column:
-    """CHK-1: present, and not blank once trimmed."""
+# Violations: true on broken rows, and false or null on the others, so that filters on them
+# reach the file scan and can skip row groups by their minimum and maximum.
+
+
+def null_violation(name: str, data_type: T.DataType) -> Column:
+    """CHK-1: missing, or blank once trimmed."""
     c = column(name)
     if isinstance(data_type, T.StringType):
-        return F.coalesce(c.rlike(NOT_BLANK), F.lit(False))
-    return c.isNotNull()
+        return c.isNull() | ~c.rlike(NOT_BLANK)
+    return c.isNull()
+
+
+def between_violation(name: str, data_type: T.DataType, low=None, high=None) -> Column:
+    """CHK-3: a number beyond the bounds; null, NaN and text that is no number pass."""
+    low = None if low is None else float(low)
+    high = None if high is None else float(high)
+    bounds = [b for b in (low, high) if b is not None]
+    if isinstance(data_type, T.IntegralType) and all(abs(b) <= EXACT_DOUBLE for b in bounds):
+        return outside(
+            column(name),
+            None if low is None else math.ceil(low),
+            None if high is None else math.floor(high),
+        )
+    if isinstance(data_type, (T.FloatType, T.DoubleType)):
+        value = column(name)
+        beyond = outside(value, low, high)
+        return beyond if high is None else beyond & ~F.isnan(value)
+    value = F.nanvl(numbers.parse_number(column(name), data_type), F.lit(None).cast("double"))
+    return outside(value, low, high)
+
+
+def set_violation(name: str, allowed: Iterable) -> Column:
+    """CHK-4: a value outside the set, whatever its case; null passes."""
+    lowered = [str(v).lower() for v in allowed]
+    if not lowered:
+        return column(name).isNotNull()
+    return ~F.lower(column(name).cast("string")).isin(lowered)
+
+
+def length_violation(name: str, low=None, high=None) -> Column:
+    """CHK-5: null passes."""
+    return outside(F.length(column(name).cast("string")), low, high)
+
+
+def pattern_violation(name: str, pattern: str) -> Column:
+    """CHK-7: null passes."""
+    return ~column(name).cast("string").rlike(pattern)
+
+
+def expression_violation(expression: str) -> Column:
+    """CHK-8: a SQL expression that must hold; unknown counts as held."""
+    return ~F.expr(expression)
+
+
+def not_null(name: str, data_type: T.DataType) -> Column:
+    return passes(null_violation(name, data_type))
 
 
 def between(name: str, data_type: T.DataType, low=None, high=None) -> Column:
-    """CHK-3: null, NaN and text that is no number pass."""
-    value = F.nanvl(numbers.parse_number(column(name), data_type), F.lit(None).cast("double"))
-    return _within(
-        value,
-        None if low is None else float(low),
-        None if high is None else float(high),
-    )
+    return passes(between_violation(name, data_type, low, high))
 
 
 def in_set(name: str, allowed: Iterable) -> Column:
-    """CHK-4: ignores case; null passes."""
-    lowered = [str(v).lower() for v in allowed]
-    if not lowered:
-        return column(name).isNull()
-    return _true_if_unknown(F.lower(column(name).cast("string")).isin(lowered))
+    return passes(set_violation(name, allowed))
 
 
 def length_between(name: str, low=None, high=None) -> Column:
-    """CHK-5: null passes."""
-    return _within(F.length(column(name).cast("string")), low, high)
+    return passes(length_violation(name, low, high))
 
 
 def matches(name: str, pattern: str) -> Column:
-    """CHK-7: null passes."""
-    return _true_if_unknown(column(name).cast("string").rlike(pattern))
+    return passes(pattern_violation(name, pattern))
 
 
 def holds(expression: str) -> Column:
-    """CHK-8: a SQL expression; unknown counts as held."""
-    return _true_if_unknown(F.expr(expression))
+    return passes(expression_violation(expression))
 
 
 def key_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -99,21 +139,26 @@ def repeated_values(df: DataFrame, name: str) -> DataFrame:
 
 def repeated_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """CHK-2: the rows behind repeated keys, with ``n``, the number of rows per key."""
-    columns = list(columns)
-    return rows_of_keys(
-        df, key_counts(df, columns).where(F.col("n") > 1), columns, "n"
-    )
+    rows, short = with_short_keys(df, list(columns))
+    repeated = key_counts(rows, short).where(F.col("n") > 1)
+    return rows_of_keys(rows, repeated, short, "n").drop(*short)
 
 
-def unique_summary(df: DataFrame, name: str) -> DataFrame:
-    """One row: rows, non-null rows, repeated values and rows with a repeated value."""
-    counted = df.groupBy(column(name).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    n, known = F.col("n"), F.col("v").isNotNull()
-    return counted.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
-        F.coalesce(F.sum(F.when(known, n)), F.lit(0)).alias("applicable"),
-        F.count_if(known & (n > 1)).alias("repeated_values"),
-        F.coalesce(F.sum(F.when(known & (n > 1), n)), F.lit(0)).alias("violations"),
+def unique_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Per column: non-null rows, repeated values, and rows with a repeated value.
+
+    All columns of one type share a shuffle; long texts are counted by digest. A column with
+    no value at all has no row here.
+    """
+    n = F.col("n")
+    return (
+        value_frequencies(df, columns, blank_is_null=False, digest=True)
+        .groupBy("column_name")
+        .agg(
+            F.sum(n).alias("applicable"),
+            F.count_if(n > 1).alias("repeated_values"),
+            F.coalesce(F.sum(F.when(n > 1, n)), F.lit(0)).alias("violations"),
+        )
     )
 
 
@@ -121,7 +166,7 @@ def row_count_between(df: DataFrame, low: float | None, high: float | None) -> D
     """CHK-6: one row with the row count and whether it lies within the bounds."""
     rows = F.col("rows")
     return df.agg(F.count(F.lit(1)).alias("rows")).withColumn(
-        "passed", _within(rows, low, high)
+        "passed", passes(outside(rows, low, high))
     )
 
 

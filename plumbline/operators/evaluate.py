@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import naming, numbers
 from plumbline.operators import checks, rules as rule_ops
+from plumbline.operators.skew import rows_of_keys
 
 # Overlap of value sets, the duplicate key fault and the grades.
 SET_OVERLAP = 0.7
@@ -30,29 +31,45 @@ def _share(part: Column, whole: Column, digits: int | None, empty: float = 0.0)
 # Rules against expected rules -------------------------------------------------------------
 
 
+def _variants(rules: DataFrame) -> DataFrame:
+    """Rules with all that matters for a match, and ``variant``, one digest of it."""
+    kind, given = F.col("rule_type"), F.col("params")
+    allowed = F.array_sort(F.array_distinct(F.transform(given["allowed_values"], F.lower)))
+    is_length = kind == checks.LENGTH
+    parts = [
+        "table_name",
+        "rule_type",
+        F.array_sort(F.transform("target_columns", F.lower)).alias("key"),
+        F.when(kind == checks.IN_SET, allowed).alias("allowed"),
+        F.when(is_length, given["min_length"]).alias("min_length"),
+        F.when(is_length, given["max_length"]).alias("max_length"),
+    ]
+    shaped = rules.select("*", *parts[2:])
+    names = ["table_name", "rule_type", "key", "allowed", "min_length", "max_length"]
+    return shaped.withColumn("variant", F.sha2(F.to_json(F.struct(*names)), 256))
+
+
 def matches(proposed: DataFrame, expected: DataFrame) -> DataFrame:
     """EV-1, 2: (table_name, rule_id, expected_index): the first expected rule each one meets.
 
     Same type and same columns, whatever their case and order. Value sets must share 70 % of
     the smaller one. Lengths must be equal where the expected rule gives them.
+
+    Both sides are reduced to their distinct variants before they meet, so repeated proposals
+    cost nothing; what is left to compare is what was written down for one column.
     """
-    def keyed(df: DataFrame, *more: str) -> DataFrame:
-        low = F.transform("target_columns", F.lower)
-        return df.select("table_name", "rule_type", F.array_sort(low).alias("key"), "params", *more)
-
-    left = keyed(proposed, "rule_id").alias("p")
-    right = keyed(expected, "expected_index").alias("e")
-    on = ["table_name", "rule_type", "key"]
-    lowered = lambda side: F.array_distinct(
-        F.transform(F.col(f"{side}.params.allowed_values"), F.lower)
-    )
-    mine, theirs = lowered("p"), lowered("e")
-    smaller = F.least(F.size(mine), F.size(theirs))
-    common = F.size(F.array_intersect(mine, theirs))
+    names = ["table_name", "rule_type", "key", "allowed", "min_length", "max_length"]
+    mine = _variants(proposed.select("table_name", "rule_id", "rule_type", "target_columns", "params"))
+    theirs = _variants(expected.select("table_name", "expected_index", "rule_type", "target_columns", "params"))
+    left = mine.groupBy("variant", *names).agg(F.count(F.lit(1)).alias("n")).alias("p")
+    right = theirs.groupBy(*names).agg(F.min("expected_index").alias("expected_index")).alias("e")
+    allowed, wanted = F.col("p.allowed"), F.col("e.allowed")
+    smaller = F.least(F.size(allowed), F.size(wanted))
+    common = F.size(F.array_intersect(allowed, wanted))
     sets_meet = F.coalesce((smaller > 0) & (common >= smaller * SET_OVERLAP), F.lit(False))
 
     def same(field: str) -> Column:
-        e, p = F.col(f"e.params.{field}"), F.col(f"p.params.{field}")
+        e, p = F.col(f"e.{field}"), F.col(f"p.{field}")
         return e.isNull() | e.eqNullSafe(p)
 
     kind = F.col("rule_type")
@@ -61,11 +78,14 @@ def matches(proposed: DataFrame, expected: DataFrame) -> DataFrame:
         .when(kind == checks.LENGTH, same("min_length") & same("max_length"))
         .otherwise(F.lit(True))
     )
-    return (
-        left.join(right, on)
+    met = (
+        left.join(right, ["table_name", "rule_type", "key"])
         .where(fits)
-        .groupBy("table_name", "rule_id")
-        .agg(F.min("expected_index").alias("expected_index"))
+        .groupBy("variant")
+        .agg(F.min("e.expected_index").alias("expected_index"), F.first("p.n").alias("n"))
+    )
+    return rows_of_keys(mine.select("table_name", "rule_id", "variant"), met, ["variant"], "n").select(
+        "table_name", "rule_id", "expected_index"
     )
 
 
@@ -105,7 +125,7 @@ def rule_scores(
 
 def missing_expected(proposed: DataFrame, expected: DataFrame) -> DataFrame:
     """EV-4: expected rules that no proposal met."""
-    met = matches(proposed, expected).select("table_name", "expected_index")
+    met = matches(proposed, expected).select("table_name", "expected_index").distinct()
     return expected.join(met, ["table_name", "expected_index"], "left_anti")
 
 

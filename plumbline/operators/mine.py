@@ -456,16 +456,20 @@ def conditional_rules(
         F.coalesce(F.sum(F.when(~present, F.col("n"))), F.lit(0)).alias("all_nulls"),
         F.sum("n").alias("all_rows"),
     )
-    keys = ["if_column", "if_value", "then_column"]
-    # Categories have few values by definition, so the list below is short.
-    cases = counted.groupBy(*keys).agg(
-        F.sum("n").alias("support"),
-        F.coalesce(F.sum(F.when(present, F.col("n"))), F.lit(0)).alias("present"),
-        F.array_sort(F.collect_list(F.when(present, F.col("then_value")))).alias("values"),
-        F.coalesce(F.max(F.when(present, F.struct("n", "then_value"))), F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(None).cast("string").alias("then_value"))).alias("top"),
-    )
-    joined = cases.join(F.broadcast(whole), ["if_column", "then_column"]).where(
-        F.col("support") >= min_support
+    # Values are listed for columns of few values only; those beyond give no value set.
+    few = F.col("all_values") <= naming.MAX_SET_SIZE
+    no_top = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(None).cast("string").alias("then_value"))
+    joined = (
+        counted.join(F.broadcast(whole), ["if_column", "then_column"])
+        .groupBy("if_column", "if_value", "then_column")
+        .agg(
+            F.sum("n").alias("support"),
+            F.coalesce(F.sum(F.when(present, F.col("n"))), F.lit(0)).alias("present"),
+            F.array_sort(F.collect_list(F.when(present & few, F.col("then_value")))).alias("values"),
+            F.coalesce(F.max(F.when(present, F.struct("n", "then_value"))), no_top).alias("top"),
+            *[F.first(c).alias(c) for c in ("all_values", "all_nulls", "all_rows")],
+        )
+        .where(F.col("support") >= min_support)
     )
     need = F.col("support") * F.lit(min_confidence)
     is_category = F.col("then_column").isin(*categories)
@@ -479,6 +483,7 @@ def conditional_rules(
         ),
         F.when(
             is_category
+            & few
             & (F.size("values") < F.col("all_values"))
             & (F.col("present") >= need),
             F.struct(F.lit("IN").alias("kind"), F.col("present").alias("holds")),

@@ -21,10 +21,8 @@ from pyspark.sql import types as T
 from plumbline import schemas
 from plumbline.functions import naming, numbers
 from plumbline.local import local_frame, side_by_side
+from plumbline.operators.skew import text_key
 
-# Longer texts are counted by their SHA-256, so that documents are not shuffled whole.
-DIGEST_OVER = 64
-DIGEST_MARK = "#"
 # Columns per global aggregate: keeps generated code within the size the JIT compiles.
 COLUMNS_PER_AGGREGATE = 16
 BINS = 5
@@ -73,8 +71,7 @@ def value_frequencies(
 ) -> DataFrame:
     """(column_name, value, n) for every distinct value of the columns.
 
-    With ``digest``, text over DIGEST_OVER characters appears as '#' and its SHA-256; such a
-    key is longer than any text kept as it is, so the two cannot meet.
+    With ``digest``, long texts appear as their digest.
     """
     wanted = list(columns) if columns is not None else df.columns
     by_type: dict[str, list[T.StructField]] = {}
@@ -94,7 +91,7 @@ def value_frequencies(
             .where("value IS NOT NULL")
         )
         if kind == "string" and digest:
-            long = long.withColumn("value", _value_key(F.col("value")))
+            long = long.withColumn("value", text_key(F.col("value")))
         branches.append(
             long.groupBy("column_name", "value")
             .agg(F.count(F.lit(1)).alias("n"))
@@ -107,12 +104,6 @@ def value_frequencies(
     return _union(branches)
 
 
-def _value_key(value: Column) -> Column:
-    return F.when(
-        F.length(value) > DIGEST_OVER, F.concat(F.lit(DIGEST_MARK), F.sha2(value, 256))
-    ).otherwise(value)
-
-
 def distinct_counts(frequencies: DataFrame) -> DataFrame:
     """PROF-4: (column_name, distinct_count)."""
     return frequencies.groupBy("column_name").agg(

@@ -14,7 +14,9 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline import schemas
 from plumbline.functions import numbers
+from plumbline.local import local_frame
 from plumbline.operators import checks, predicates
 from plumbline.operators.predicates import RuleError, column
 
@@ -26,7 +28,7 @@ MULTI_COLUMN = tuple(predicates.ALLOWED_CONDITIONS)
 
 @dataclass(frozen=True)
 class Predicate:
-    """A row rule as Columns: broken, and known to be kept or broken."""
+    """A row rule as Columns: broken, and known to be kept or broken. Null is no."""
 
     rule_id: str
     rule_type: str
@@ -62,45 +64,38 @@ def predicate(rule: Mapping[str, Any], df: DataFrame) -> Predicate:
     unknown = [n for n in names if n not in df.columns]
     if unknown:
         raise RuleError(f"Unknown target column: {', '.join(sorted(unknown))}")
+    made = lambda bad, known: Predicate(rule["rule_id"], kind, _label(rule), bad, known)
     if kind in MULTI_COLUMN:
         conditions = [
             c if "right_type" not in c else predicates.from_struct(c)
             for c in rule.get("conditions") or []
         ]
         bad = predicates.violation(kind, conditions)
-        known = bad | predicates.valid(kind, conditions)
-        return Predicate(
-            rule["rule_id"], kind, _label(rule), _no_null(bad), _no_null(known)
-        )
+        return made(bad, bad | predicates.valid(kind, conditions))
     if kind == checks.CUSTOM_SQL:
-        held = F.expr(params["sql_expression"])
-        return Predicate(
-            rule["rule_id"], kind, _label(rule), _no_null(~held), held.isNotNull()
-        )
-    passes, known = F.lit(True), F.lit(True)
+        expression = params["sql_expression"]
+        return made(checks.expression_violation(expression), F.expr(expression).isNotNull())
+    broken, known = [], []
     for n in names:
-        data_type = df.schema[n].dataType
-        present = column(n).isNotNull()
+        data_type, present = df.schema[n].dataType, column(n).isNotNull()
         if kind == checks.NOT_NULL:
-            passes = passes & checks.not_null(n, data_type)
+            broken.append(checks.null_violation(n, data_type))
             continue
         if kind == checks.BETWEEN:
-            test = checks.between(n, data_type, params.get("min_value"), params.get("max_value"))
+            bounds = params.get("min_value"), params.get("max_value")
+            broken.append(checks.between_violation(n, data_type, *bounds))
             present = numbers.parse_number(column(n), data_type).isNotNull()
         elif kind == checks.IN_SET:
-            test = checks.in_set(n, params.get("allowed_values") or [])
+            broken.append(checks.set_violation(n, params.get("allowed_values") or []))
         elif kind == checks.LENGTH:
-            test = checks.length_between(n, params.get("min_length"), params.get("max_length"))
+            bounds = params.get("min_length"), params.get("max_length")
+            broken.append(checks.length_violation(n, *bounds))
         elif kind == checks.REGEX:
-            test = checks.matches(n, params["regex"])
+            broken.append(checks.pattern_violation(n, params["regex"]))
         else:
             raise RuleError(f"Unsupported rule type: {kind}")
-        passes, known = passes & test, known & present
-    return Predicate(rule["rule_id"], kind, _label(rule), ~passes, known)
-
-
-def _no_null(c: Column) -> Column:
-    return F.coalesce(c, F.lit(False))
+        known.append(present)
+    return made(predicates.any_of(broken), predicates.all_of(known))
 
 
 def violating_rows(
@@ -141,8 +136,8 @@ def bound_sql(spark: SparkSession, sql: str, params: Mapping[str, Any], **views:
 def run_rules(df: DataFrame, rules: DataFrame | Iterable[Mapping[str, Any]]) -> DataFrame:
     """RULE-8: every rule of a table: rows, applicable rows, violations, pass rate.
 
-    Row rules and the row count share one scan per RULES_PER_SCAN rules; each uniqueness
-    rule adds one aggregate by value.
+    Row rules and the row count share one scan per RULES_PER_SCAN rules; the uniqueness
+    rules add one shuffle of values per physical type.
     """
     found = rule_rows(rules)
     row_rules = [predicate(r, df) for r in found if is_row_rule(r)]
@@ -153,7 +148,9 @@ def run_rules(df: DataFrame, rules: DataFrame | Iterable[Mapping[str, Any]]) ->
     ]
     if counts:
         frames.append(_count_table_rules(df, counts))
-    frames += [_count_unique(df, r) for r in found if r["rule_type"] == checks.UNIQUE]
+    unique = [r for r in found if r["rule_type"] == checks.UNIQUE]
+    if unique:
+        frames.append(_count_unique(df, unique))
     if not frames:
         return df.sparkSession.createDataFrame(
             [],
@@ -195,27 +192,37 @@ def _count_table_rules(df: DataFrame, rules: list[dict[str, Any]]) -> DataFrame:
     rows = []
     for r in rules:
         params = effective_params(r)
-        passed = checks._within(F.col("rows"), params.get("min_value"), params.get("max_value"))
+        wrong = checks.outside(F.col("rows"), params.get("min_value"), params.get("max_value"))
         rows.append(
             F.struct(
                 F.lit(r["rule_id"]).alias("rule_id"),
                 F.lit(r["rule_type"]).alias("rule_type"),
                 F.col("rows"),
                 F.lit(1).cast("bigint").alias("applicable"),
-                F.when(passed, F.lit(0)).otherwise(F.lit(1)).cast("bigint").alias("violations"),
+                F.when(wrong, F.lit(1)).otherwise(F.lit(0)).cast("bigint").alias("violations"),
             )
         )
     return df.agg(F.count(F.lit(1)).alias("rows")).select(F.inline(F.array(*rows)))
 
 
-def _count_unique(df: DataFrame, rule: Mapping[str, Any]) -> DataFrame:
-    (name,) = rule["target_columns"]
-    return checks.unique_summary(df, name).select(
-        F.lit(rule["rule_id"]).alias("rule_id"),
-        F.lit(rule["rule_type"]).alias("rule_type"),
-        "rows",
-        "applicable",
-        "violations",
+def _count_unique(df: DataFrame, rules: list[dict[str, Any]]) -> DataFrame:
+    named = [
+        {"rule_id": r["rule_id"], "rule_type": r["rule_type"], "column_name": c}
+        for r in rules
+        for c in r["target_columns"]
+    ]
+    asked = local_frame(
+        df.sparkSession, named, schemas.struct(rule_id=schemas.S, rule_type=schemas.S, column_name=schemas.S)
+    )
+    columns = sorted({r["column_name"] for r in named})
+    summary = checks.unique_summary(df, columns)
+    rows = df.agg(F.count(F.lit(1))).scalar()
+    return asked.join(summary, "column_name", "left").select(
+        "rule_id",
+        "rule_type",
+        rows.alias("rows"),
+        F.coalesce("applicable", F.lit(0)).alias("applicable"),
+        F.coalesce("violations", F.lit(0)).alias("violations"),
     )
 
 

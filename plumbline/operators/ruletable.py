@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import naming
 from plumbline.operators import checks
-from plumbline.operators.skew import rows_of_keys
+from plumbline.operators.skew import look_up, rows_of_keys
 
 # Thresholds of the confidence gate.
 SERVICE_THRESHOLD = 0.75
@@ -104,31 +104,44 @@ def canonical_key(
     )
 
 
+def _used_columns(rules: DataFrame) -> DataFrame:
+    return rules.select(
+        "rule_id",
+        "table_name",
+        "rule_type",
+        F.explode(F.array_distinct("target_columns")).alias("column_name"),
+    )
+
+
+def _messages(used: DataFrame, wrong: DataFrame, on: list[str]) -> DataFrame:
+    """(rule_id, messages) of the rules that use a wrong key; a rule has few columns."""
+    return (
+        rows_of_keys(used, wrong, on, "n")
+        .groupBy("rule_id")
+        .agg(F.array_sort(F.collect_set("message")).alias("messages"))
+    )
+
+
 def schema_messages(rules: DataFrame, profile: DataFrame) -> DataFrame:
-    """RT-11: (rule_id, messages) of rules that name unknown columns."""
-    known = profile.select("table_name", "column_name")
-    used = rules.select(
-        "rule_id", "table_name", F.explode("target_columns").alias("column_name")
-    ).distinct()
-    unknown = used.join(known, ["table_name", "column_name"], "left_anti")
-    message = F.concat(F.lit("Unknown target column: "), F.col("column_name"))
-    return unknown.groupBy("rule_id").agg(
-        F.array_sort(F.collect_set(message)).alias("messages")
+    """RT-11: (rule_id, messages) of rules that name unknown columns.
+
+    Columns are looked up once each, however many rules use them.
+    """
+    on = ["table_name", "column_name"]
+    used = _used_columns(rules)
+    unknown = (
+        used.groupBy(*on)
+        .agg(F.count(F.lit(1)).alias("n"))
+        .join(profile.select(*on), on, "left_anti")
+        .withColumn("message", F.concat(F.lit("Unknown target column: "), F.col("column_name")))
     )
+    return _messages(used, unknown, on)
 
 
 def type_messages(rules: DataFrame, profile: DataFrame) -> DataFrame:
     """RT-12: (rule_id, messages) of rules on columns of an unfit type."""
-    used = rules.select(
-        "rule_id",
-        "table_name",
-        "rule_type",
-        F.explode("target_columns").alias("column_name"),
-    )
-    typed = used.join(
-        profile.select("table_name", "column_name", "type_class"),
-        ["table_name", "column_name"],
-    )
+    on = ["table_name", "rule_type", "column_name"]
+    used = _used_columns(rules)
     cls, kind = F.col("type_class"), F.col("rule_type")
     numeric, temporal = naming.is_numeric_class(cls), naming.is_temporal_class(cls)
     needed = (
@@ -136,12 +149,18 @@ def type_messages(rules: DataFrame, profile: DataFrame) -> DataFrame:
         .when((kind == checks.LENGTH) & (cls != "STRING"), "text")
         .when((kind == "TEMPORAL") & ~temporal, "a time")
     )
-    message = F.concat(F.lit("Column "), F.col("column_name"), F.lit(" must be "), needed)
-    return (
-        typed.where(needed.isNotNull())
-        .groupBy("rule_id")
-        .agg(F.array_sort(F.collect_set(message)).alias("messages"))
+    unfit = (
+        used.groupBy(*on)
+        .agg(F.count(F.lit(1)).alias("n"))
+        .join(
+            profile.select("table_name", "column_name", "type_class"),
+            ["table_name", "column_name"],
+        )
+        .where(needed.isNotNull())
+        .withColumn("message", F.concat(F.lit("Column "), F.col("column_name"), F.lit(" must be "), needed))
+        .drop("type_class")
     )
+    return _messages(used, unfit, on)
 
 
 def conflicts(rules: DataFrame) -> DataFrame:
@@ -212,9 +231,10 @@ def validate(rules: DataFrame, profile: DataFrame) -> DataFrame:
 def classify(candidates: DataFrame, existing: DataFrame) -> DataFrame:
     """RT-14: NEW, DUPLICATE or POSSIBLE_CONFLICT against rules that exist already.
 
-    The existing rules are reduced to one row per key before the joins, so no candidate is
-    multiplied.
+    Both sides are reduced to one row per key before the joins, so no candidate is
+    multiplied and no hot key is gathered.
     """
+
     def keyed(df: DataFrame) -> DataFrame:
         return df.withColumn(
             "_canonical",
@@ -227,21 +247,21 @@ def classify(candidates: DataFrame, existing: DataFrame) -> DataFrame:
         ).withColumn("_columns", F.array_sort("target_columns"))
 
     old = keyed(existing)
-    same = old.select("_canonical").distinct().withColumn("_same", F.lit(True))
     group = ["table_name", "rule_type", "_columns"]
+    same = old.select("_canonical").distinct().withColumn("_same", F.lit(True))
     near = old.select(*group).distinct().withColumn("_near", F.lit(True))
-    return (
-        keyed(candidates)
-        .join(same, "_canonical", "left")
-        .join(near, group, "left")
-        .withColumn(
-            "classification",
-            F.when(F.col("_same"), "DUPLICATE")
-            .when(F.col("_near"), "POSSIBLE_CONFLICT")
-            .otherwise("NEW"),
-        )
-        .drop("_canonical", "_columns", "_same", "_near")
+    new = keyed(candidates)
+    # Keys first: one row per canonical key of the candidates, each looked up once.
+    keys = new.groupBy("_canonical", *group).agg(F.count(F.lit(1)).alias("n"))
+    kind = (
+        F.when(F.col("_same"), "DUPLICATE")
+        .when(F.col("_near"), "POSSIBLE_CONFLICT")
+        .otherwise("NEW")
+    )
+    known = look_up(keys.join(same, "_canonical", "left"), near, group).select(
+        "_canonical", kind.alias("classification"), "n"
     )
+    return rows_of_keys(new, known, ["_canonical"], "n").drop("_canonical", "_columns", "n")
 
 
 def latest_reviews(reviews: DataFrame) -> DataFrame:
