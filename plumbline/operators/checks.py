@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.functions import numbers
-from plumbline.operators.predicates import any_of, column
+from plumbline.operators.predicates import all_of, any_of, column
 from plumbline.operators.profile import value_frequencies
 from plumbline.operators.skew import rows_of_keys, with_short_keys
 
@@ -26,6 +26,7 @@ LENGTH = "columnValuesLengthToBeBetween"
 ROW_COUNT = "tableRowCountToBeBetween"
 REGEX = "columnValuesToMatchRegex"
 CUSTOM_SQL = "tableCustomSQLQuery"
+DEPENDENCY = "FUNCTIONAL_DEPENDENCY"
 
 # Some character that is no white space in any script.
 NOT_BLANK = r"(?U)[^\s\x1c-\x1f]"
@@ -128,7 +129,7 @@ def holds(expression: str) -> Column:
 
 def key_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Rows per key, keys with a null left out."""
-    present = df.dropna("any", subset=list(columns))
+    present = df.where(all_of(column(c).isNotNull() for c in columns))
     return present.groupBy(*columns).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -224,9 +225,8 @@ def dependency_breaks(
     when the second aggregate combines them. Nulls of the dependent are no value.
     """
     determinant = list(determinant)
-    pairs = df.dropna("any", subset=determinant).groupBy(*determinant, dependent).agg(
-        F.count(F.lit(1)).alias("pair_rows")
-    )
+    known = df.where(all_of(column(c).isNotNull() for c in determinant))
+    pairs = known.groupBy(*determinant, dependent).agg(F.count(F.lit(1)).alias("pair_rows"))
     return (
         pairs.groupBy(*determinant)
         .agg(F.count(column(dependent)).alias("n_values"), F.sum("pair_rows").alias("n"))

@@ -36,17 +36,17 @@ def _variants(rules: DataFrame) -> DataFrame:
     kind, given = F.col("rule_type"), F.col("params")
     allowed = F.array_sort(F.array_distinct(F.transform(given["allowed_values"], F.lower)))
     is_length = kind == checks.LENGTH
-    parts = [
-        "table_name",
-        "rule_type",
+    shaped = rules.select(
+        "*",
         F.array_sort(F.transform("target_columns", F.lower)).alias("key"),
         F.when(kind == checks.IN_SET, allowed).alias("allowed"),
         F.when(is_length, given["min_length"]).alias("min_length"),
         F.when(is_length, given["max_length"]).alias("max_length"),
-    ]
-    shaped = rules.select("*", *parts[2:])
-    names = ["table_name", "rule_type", "key", "allowed", "min_length", "max_length"]
-    return shaped.withColumn("variant", F.sha2(F.to_json(F.struct(*names)), 256))
+    )
+    return shaped.withColumn("variant", F.sha2(F.to_json(F.struct(*VARIANT)), 256))
+
+
+VARIANT = ["table_name", "rule_type", "key", "allowed", "min_length", "max_length"]
 
 
 def matches(proposed: DataFrame, expected: DataFrame) -> DataFrame:
@@ -58,11 +58,10 @@ def matches(proposed: DataFrame, expected: DataFrame) -> DataFrame:
     Both sides are reduced to their distinct variants before they meet, so repeated proposals
     cost nothing; what is left to compare is what was written down for one column.
     """
-    names = ["table_name", "rule_type", "key", "allowed", "min_length", "max_length"]
     mine = _variants(proposed.select("table_name", "rule_id", "rule_type", "target_columns", "params"))
     theirs = _variants(expected.select("table_name", "expected_index", "rule_type", "target_columns", "params"))
-    left = mine.groupBy("variant", *names).agg(F.count(F.lit(1)).alias("n")).alias("p")
-    right = theirs.groupBy(*names).agg(F.min("expected_index").alias("expected_index")).alias("e")
+    left = mine.groupBy("variant", *VARIANT).agg(F.count(F.lit(1)).alias("n")).alias("p")
+    right = theirs.groupBy(*VARIANT).agg(F.min("expected_index").alias("expected_index")).alias("e")
     allowed, wanted = F.col("p.allowed"), F.col("e.allowed")
     smaller = F.least(F.size(allowed), F.size(wanted))
     common = F.size(F.array_intersect(allowed, wanted))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from plumbline import schemas
 from plumbline.functions import naming
-from plumbline.operators import recommend
+from plumbline.operators import checks, recommend
 from plumbline.operators.predicates import column
 
 # Name words that pair up, and words of status-like and dependent columns.
@@ -274,17 +274,24 @@ def _mined(
 
 
 def _strongest(support: DataFrame, min_confidence: float) -> DataFrame:
-    """The tightest comparison that holds on enough rows, as ``operator`` and ``holds``."""
+    """The comparison that holds on enough rows, as ``operator`` and ``holds``.
+
+    Equality where it is frequent enough, else the direction; strict when no row is equal.
+    """
     less, equal, greater = F.col("less"), F.col("equal"), F.col("greater")
     need = F.col("support") * F.lit(min_confidence)
+    never = equal == 0
     options = [
-        ("EQ", equal), ("LT", less), ("GT", greater),
-        ("LTE", less + equal), ("GTE", greater + equal),
+        ("EQ", equal, F.lit(True)),
+        ("LT", less, never),
+        ("GT", greater, never),
+        ("LTE", less + equal, ~never),
+        ("GTE", greater + equal, ~never),
     ]
     best = F.coalesce(
         *[
-            F.when(n >= need, F.struct(F.lit(o).alias("operator"), n.alias("holds")))
-            for o, n in options
+            F.when(fits & (n >= need), F.struct(F.lit(o).alias("operator"), n.alias("holds")))
+            for o, n, fits in options
         ]
     )
     return (
@@ -569,3 +576,21 @@ def dependencies(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return dependency_support(df, columns).where(
         (F.col("n_values") > 1) & (F.col("n_broken") == 0)
     )
+
+
+def dependency_rules(
+    df: DataFrame, table_name: str, columns: Sequence[str], min_confidence: float = 0.95
+) -> DataFrame:
+    """REC-15: FUNCTIONAL_DEPENDENCY rules; confidence is the share of values that hold."""
+    found = (
+        dependency_support(df, columns)
+        .where(F.col("n_values") > 1)
+        .withColumn("support", F.col("n_values"))
+        .withColumn("holds", F.col("n_values") - F.col("n_broken"))
+        .where(F.col("holds") >= F.col("support") * F.lit(min_confidence))
+    )
+    return _mined(
+        found, table_name, checks.DEPENDENCY, F.array("determinant", "dependent"),
+        F.array().cast(schemas.RULES["conditions"].dataType), F.col("holds"),
+        F.format_string("%s determines %s", "determinant", "dependent"),
+    )

@@ -19,7 +19,7 @@ DIMENSIONS = {
     "TEMPORAL": "timeliness",
     "CROSS_COLUMN": "consistency",
     "CONDITIONAL_DEPENDENCY": "consistency",
-    "FUNCTIONAL_DEPENDENCY": "consistency",
+    checks.DEPENDENCY: "consistency",
     checks.CUSTOM_SQL: "consistency",
 }
 TRAILING_DAYS = 7

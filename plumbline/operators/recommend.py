@@ -286,3 +286,17 @@ BASIC: tuple[Recommender, ...] = (not_null, unique, between, in_set, length)
 def recommend(profile: DataFrame, recommenders: tuple[Recommender, ...] = BASIC) -> DataFrame:
     """REC-1..5: the basic rules of every profiled column."""
     return reduce(DataFrame.unionByName, [profile.transform(r) for r in recommenders])
+
+
+def in_column_order(rules: DataFrame, profile: DataFrame) -> DataFrame:
+    """Rules by table, by the place of their first column, then by kind."""
+    kinds = [checks.NOT_NULL, checks.UNIQUE, checks.BETWEEN, checks.IN_SET, checks.LENGTH]
+    places = profile.select(
+        "table_name", F.array("column_name").alias("target_columns"), F.col("ordinal").alias("_place")
+    )
+    kind = F.array_position(F.array(*[F.lit(k) for k in kinds]), F.col("rule_type"))
+    return (
+        rules.join(places, ["table_name", "target_columns"], "left")
+        .orderBy("table_name", "_place", kind)
+        .select(*rules.columns)
+    )

@@ -54,7 +54,8 @@ def _label(rule: Mapping[str, Any]) -> str:
 
 
 def is_row_rule(rule: Mapping[str, Any]) -> bool:
-    return rule["rule_type"] not in (checks.UNIQUE, checks.ROW_COUNT)
+    """Whether one row alone can break the rule."""
+    return rule["rule_type"] not in (checks.UNIQUE, checks.ROW_COUNT, checks.DEPENDENCY)
 
 
 def predicate(rule: Mapping[str, Any], df: DataFrame) -> Predicate:
@@ -108,6 +109,9 @@ def violating_rows(
     """RULE-4, 5: rows that break a rule; chosen columns and the first N on request."""
     if rule["rule_type"] == checks.UNIQUE:
         found = checks.repeated_rows(df, rule["target_columns"]).drop("n")
+    elif rule["rule_type"] == checks.DEPENDENCY:
+        *determinant, dependent = rule["target_columns"]
+        found = checks.dependency_break_rows(df, determinant, dependent).select(df.columns)
     else:
         found = df.where(predicate(rule, df).violation)
     if order:
@@ -137,7 +141,7 @@ def run_rules(df: DataFrame, rules: DataFrame | Iterable[Mapping[str, Any]]) ->
     """RULE-8: every rule of a table: rows, applicable rows, violations, pass rate.
 
     Row rules and the row count share one scan per RULES_PER_SCAN rules; the uniqueness
-    rules add one shuffle of values per physical type.
+    rules add one shuffle of values per physical type, each dependency one of its own.
     """
     found = rule_rows(rules)
     row_rules = [predicate(r, df) for r in found if is_row_rule(r)]
@@ -151,6 +155,7 @@ def run_rules(df: DataFrame, rules: DataFrame | Iterable[Mapping[str, Any]]) ->
     unique = [r for r in found if r["rule_type"] == checks.UNIQUE]
     if unique:
         frames.append(_count_unique(df, unique))
+    frames += [_count_dependency(df, r) for r in found if r["rule_type"] == checks.DEPENDENCY]
     if not frames:
         return df.sparkSession.createDataFrame(
             [],
@@ -226,6 +231,22 @@ def _count_unique(df: DataFrame, rules: list[dict[str, Any]]) -> DataFrame:
     )
 
 
+def _count_dependency(df: DataFrame, rule: Mapping[str, Any]) -> DataFrame:
+    *determinant, dependent = rule["target_columns"]
+    known = predicates.all_of(column(c).isNotNull() for c in determinant)
+    broken = checks.dependency_breaks(df, determinant, dependent)
+    bad = broken.agg(F.coalesce(F.sum("n"), F.lit(0))).scalar()
+    return df.agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(known).alias("applicable")
+    ).select(
+        F.lit(rule["rule_id"]).alias("rule_id"),
+        F.lit(rule["rule_type"]).alias("rule_type"),
+        "rows",
+        "applicable",
+        bad.alias("violations"),
+    )
+
+
 def failing_rules(
     df: DataFrame,
     rules: DataFrame | Iterable[Mapping[str, Any]],

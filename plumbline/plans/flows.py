@@ -16,6 +16,10 @@ from plumbline.operators import rules as rule_ops
 from plumbline.sources import labelled
 
 
+# Columns of more values are not searched for dependencies.
+MAX_CODES = 1000
+
+
 def check_own_rules(df: DataFrame, table_name: str, **options) -> DataFrame:
     """How many rows break each rule that the table itself suggests."""
     profiled = profile.profile(df, table_name, **options)
@@ -81,6 +85,12 @@ def record_profile(clean: DataFrame, table_name: str) -> DataFrame:
     )
 
 
+def record_rules(records: DataFrame, table_name: str) -> DataFrame:
+    """Basic rules proposed from the clean rows, in column order, as a local table."""
+    profiled = record_profile(labelled.clean_rows(records), table_name)
+    return on_driver(recommend.in_column_order(recommend.recommend(profiled), profiled))
+
+
 def labelled_benchmark(
     records: Mapping[str, DataFrame], expected: DataFrame, digits: int | None = 2
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -91,8 +101,7 @@ def labelled_benchmark(
     """
     proposed, detections = [], []
     for name, rows in records.items():
-        rules = recommend.recommend(record_profile(labelled.clean_rows(rows), name))
-        local = on_driver(rules)
+        local = record_rules(rows, name)
         proposed.append(local)
         tested = evaluate.tested_rows(rows, local)
         detections.append(evaluate.detection_scores(tested, name, digits))
@@ -105,7 +114,7 @@ def labelled_benchmark(
 def mine_rules(
     df: DataFrame, table_name: str, profiled: DataFrame, min_confidence: float = 0.95
 ) -> DataFrame:
-    """REC-9..14 on one table, deduplicated and above the confidence threshold."""
+    """REC-9..15 on one table, deduplicated and above the confidence threshold."""
     local = profiled.where(F.col("table_name") == table_name)
     groups = mine.column_groups(local)
     times = mine.pairs_of(groups, table_name, "TEMPORAL")
@@ -129,6 +138,16 @@ def mine_rules(
         found.append(
             mine.conditional_rules(df, table_name, categories, dependents, min_confidence)
         )
+    codes = [
+        r["column_name"]
+        for r in local.where(
+            F.col("distinct_count").between(2, MAX_CODES)
+            & F.col("type_class").isin("STRING", "INTEGER")
+            & (F.col("distinct_ratio") < 0.5)
+        ).collect()
+    ]
+    if len(codes) > 1:
+        found.append(mine.dependency_rules(df, table_name, codes, min_confidence))
     if not found:
         return recommend.recommend(local.limit(0))
     united = ruletable.confident(ruletable.union_rules(*found))

@@ -224,8 +224,8 @@ def mine_column_groups(spark, sf_dir):
 
 @query(
     f"""
-    SELECT 'ordered' AS a, 'shipped' AS b, CASE WHEN lt >= 0.5 * n THEN 'BEFORE' ELSE 'BEFORE_EQUAL' END AS operator,
-           CASE WHEN lt >= 0.5 * n THEN lt ELSE le END / n AS confidence, n AS support
+    SELECT 'ordered' AS a, 'shipped' AS b, CASE WHEN lt = le THEN 'BEFORE' ELSE 'BEFORE_EQUAL' END AS operator,
+           le / n AS confidence, n AS support
     FROM (SELECT count(*) FILTER (ordered < shipped) AS lt, count(*) FILTER (ordered <= shipped) AS le, count(shipped) AS n FROM {SHIPPED_SQL})
     WHERE le >= 0.5 * n
     """
@@ -277,10 +277,9 @@ def mine_comparison_support(spark, sf_dir):
 @query(
     f"""
     SELECT a, b, operator, confidence FROM (
-      SELECT a, b, CASE WHEN eq >= 0.55 * n THEN 'EQ' WHEN lt >= 0.55 * n THEN 'LT' WHEN gt >= 0.55 * n THEN 'GT'
-                        WHEN lt + eq >= 0.55 * n THEN 'LTE' WHEN gt + eq >= 0.55 * n THEN 'GTE' END AS operator,
-             CASE WHEN eq >= 0.55 * n THEN eq WHEN lt >= 0.55 * n THEN lt WHEN gt >= 0.55 * n THEN gt
-                  WHEN lt + eq >= 0.55 * n THEN lt + eq ELSE gt + eq END / n AS confidence
+      SELECT a, b, CASE WHEN eq >= 0.55 * n THEN 'EQ' WHEN lt + eq >= 0.55 * n THEN CASE WHEN eq = 0 THEN 'LT' ELSE 'LTE' END
+                        WHEN gt + eq >= 0.55 * n THEN CASE WHEN eq = 0 THEN 'GT' ELSE 'GTE' END END AS operator,
+             CASE WHEN eq >= 0.55 * n THEN eq WHEN lt + eq >= 0.55 * n THEN lt + eq ELSE gt + eq END / n AS confidence
       FROM ({' UNION ALL '.join(
           f"SELECT '{a}' AS a, '{b}' AS b, count(*) FILTER ({a} < {b}) AS lt, count(*) FILTER ({a} = {b}) AS eq, count(*) FILTER ({a} > {b}) AS gt, count(*) AS n FROM lineitem"
           for a, b in PAIRS)}))
