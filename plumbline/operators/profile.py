@@ -11,6 +11,7 @@ digest, so no group and no broadcast grows with the data.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Mapping
 from functools import reduce
 
@@ -63,6 +64,13 @@ def present(field: T.StructField, blank_is_null: bool = True) -> str:
     return quoted(field.name)
 
 
+def number_of(field: T.StructField) -> str:
+    """SQL of a numeric column with NaN taken as no number."""
+    if isinstance(field.dataType, (T.FloatType, T.DoubleType)):
+        return f"nanvl({quoted(field.name)}, NULL)"
+    return quoted(field.name)
+
+
 def value_frequencies(
     df: DataFrame,
     columns: Iterable[str] | None = None,
@@ -147,7 +155,7 @@ def _simple_metrics(
         got = dict.fromkeys(MEASURES, "NULL")
         if cls in ("INTEGER", "NUMBER"):
             for key, fn in (("min_num", "min"), ("max_num", "max"), ("mean", "avg"), ("stddev", "stddev")):
-                aggregates.append(f"CAST({fn}({v}) AS double) AS {key}_{i}")
+                aggregates.append(f"CAST({fn}({number_of(field)}) AS double) AS {key}_{i}")
                 got[key] = f"{key}_{i}"
         elif cls in ("DATE", "DATETIME"):
             for key, fn in (("min_str", "min"), ("max_str", "max")):
@@ -322,58 +330,52 @@ def histogram(
     """PROF-10: equal-width bins of numeric columns with labels, counts and percents.
 
     Columns with a single value have no bins. Empty bins are reported with count 0. The
-    broadcast side has one row per column.
+    bounds of each column come to the driver; the bins are then counted in one scan without
+    a shuffle of rows.
     """
     names = list(columns) if columns is not None else [
         f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)
     ]
-    cols = [F.col(f"`{c}`").cast("double").alias(c) for c in names]
-    wide = df.select(*cols)
-    bounds = wide.agg(
-        F.count(F.lit(1)).alias("rows"),
-        *[F.min(f"`{c}`").alias(f"lo_{i}") for i, c in enumerate(names)],
-        *[F.max(f"`{c}`").alias(f"hi_{i}") for i, c in enumerate(names)],
-    ).select(
-        F.inline(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(c).alias("column_name"),
-                        F.col("rows").alias("row_count"),
-                        F.col(f"lo_{i}").alias("lo"),
-                        F.col(f"hi_{i}").alias("hi"),
-                    )
-                    for i, c in enumerate(names)
-                ]
+    ends = df.selectExpr(
+        "count(1)",
+        *[
+            f"CAST({fn}({number_of(df.schema[c])}) AS double)"
+            for c in names
+            for fn in ("min", "max")
+        ],
+    ).first()
+    total, aggregates, rows = ends[0], [], []
+    for i, c in enumerate(names):
+        low, high = ends[1 + 2 * i], ends[2 + 2 * i]
+        if low is None or not high > low or not math.isfinite(high - low):
+            continue
+        step = (high - low) / bins
+        place = F.floor((F.expr(number_of(df.schema[c])) - F.lit(low)) / F.lit(step))
+        place = F.when(place >= bins, bins - 1).otherwise(place)
+        for b in range(bins):
+            aggregates.append(F.count_if(place == b).alias(f"n_{i}_{b}"))
+            rows.append(
+                F.struct(
+                    F.lit(c).alias("column_name"),
+                    F.lit(b).alias("bin"),
+                    F.lit(low + b * step).alias("low"),
+                    F.lit(low + (b + 1) * step).alias("high"),
+                    F.col(f"n_{i}_{b}").alias("count"),
+                )
             )
+    if not rows:
+        return df.sparkSession.createDataFrame(
+            [], "column_name string, bin int, low double, high double, label string, "
+            "count bigint, percentage double",
         )
-    ).where(F.col("hi") > F.col("lo")).withColumn(
-        "step", (F.col("hi") - F.col("lo")) / bins
-    )
-    long = wide.unpivot([], [F.col(f"`{c}`") for c in names], "column_name", "x").where(
-        F.col("x").isNotNull()
-    )
-    counted = (
-        long.join(F.broadcast(bounds), "column_name")
-        .withColumn(
-            "bin",
-            F.least(F.floor((F.col("x") - F.col("lo")) / F.col("step")).cast("int"), F.lit(bins - 1)),
-        )
-        .groupBy("column_name", "bin")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    slots = bounds.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
-    low = F.col("lo") + F.col("bin") * F.col("step")
-    high = F.col("lo") + (F.col("bin") + 1) * F.col("step")
-    n = F.coalesce("n", F.lit(0))
-    return slots.join(counted, ["column_name", "bin"], "left").select(
+    return df.agg(*aggregates).select(F.inline(F.array(*rows))).select(
         "column_name",
         "bin",
-        low.alias("low"),
-        high.alias("high"),
-        numbers.range_label(low, high).alias("label"),
-        n.alias("count"),
-        numbers.percent(n, F.col("row_count")).alias("percentage"),
+        "low",
+        "high",
+        numbers.range_label(F.col("low"), F.col("high")).alias("label"),
+        "count",
+        numbers.percent(F.col("count"), F.lit(total)).alias("percentage"),
     )
 
 

@@ -67,6 +67,12 @@ def test_empty_and_all_null_tables(spark):
         assert rules.count() == 0
 
 
+def test_nan_is_no_number(spark):
+    df = spark.createDataFrame([(1.0,), (2.0,), (float("nan"),), (None,)], "x double")
+    row = profile.profile(df, "t").first()
+    assert (row.min_num, row.max_num, row.mean, row.null_count, row.distinct_count) == (1.0, 2.0, 1.5, 1, 3)
+
+
 def test_wide_table(spark):
     df = spark.range(50).select(*[(F.col("id") % (i + 1)).alias(f"c{i}") for i in range(120)])
     got = {r.column_name: r.distinct_count for r in profile.profile(df, "t").collect()}
@@ -164,7 +170,7 @@ def test_mined_rules_can_be_run(spark):
     assert "net = each MULTIPLY units" in found
     assert "IF status = open THEN end_day IS_NULL" in found
     assert "IF status = done THEN end_day IS_NOT_NULL" in found
-    assert "start_day LTE end_day" in found
+    assert "start_day BEFORE_EQUAL end_day" in found
     from plumbline.operators import rules as rule_ops
 
     ran = {r.rule_id: r for r in rule_ops.run_rules(df, mined).collect()}
@@ -194,3 +200,22 @@ def test_safety_of_proposed_rules(spark, mixed):
     profiled = profile.profile(mixed[1], "t")
     row = evaluate.safety(recommend.recommend(profiled), profiled).first()
     assert row.is_safe and row.invalid_columns == 0
+
+
+def test_histogram(spark):
+    rows = [(float(i), None if i % 3 else 5, 7) for i in range(101)]
+    rows += [(100.0, 6, 7), (float("nan"), None, 7)]
+    df = spark.createDataFrame(rows, "a double, `b.c` int, same int")
+    got = {(r.column_name, r.bin): r for r in profile.histogram(df).collect()}
+    assert [got["a", b]["count"] for b in range(5)] == [20, 20, 20, 20, 22]
+    assert [got["a", b].label for b in range(5)] == ["0 - 20", "20 - 40", "40 - 60", "60 - 80", "80 - 100"]
+    assert [got["b.c", b]["count"] for b in range(5)] == [34, 0, 0, 0, 1]
+    assert got["b.c", 1].label == "5.2 - 5.4"
+    assert len(got) == 10 and got["a", 0].percentage == 20 * 100.0 / 103
+
+
+def test_first_of_a_group_is_cut_before_the_shuffle(spark, sf_dir):
+    from queries import QUERIES
+
+    plan = QUERIES["rt_dedupe_rules"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "Partial" in plan
