@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.operators import checks
+from plumbline.operators.skew import look_up
 
 # Dimension of each rule type, and the grades of a score in percent.
 DIMENSIONS = {
@@ -167,7 +168,7 @@ def stable_values(snapshots: DataFrame) -> DataFrame:
         *keys, "timestamp", F.explode("top_values.value").alias("value")
     )
     seen = values.groupBy(*keys, "value").agg(F.count_distinct("timestamp").alias("seen"))
-    return seen.join(times, keys).select(
+    return look_up(seen, times, keys).select(
         *keys, "value", "seen", "snapshots", (F.col("seen") == F.col("snapshots")).alias("stable")
     )
 

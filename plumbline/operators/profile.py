@@ -272,8 +272,8 @@ def _profile_rows(
 
     def distinct_values() -> tuple[dict[str, int], dict[str, Row]]:
         sizes: dict[str, int] = {}
-        for part in _in_steps(sized):
-            sizes.update(_sizes(df, part, blank_is_null, lg_k))
+        for found in side_by_side(lambda p: _sizes(df, p, blank_is_null, lg_k), _in_steps(sized)):
+            sizes.update(found)
         small = sorted(c for c, size in sizes.items() if _is_small(size))
         large = [f.name for f in fields if f.name in countable and f.name not in small]
         frames = []

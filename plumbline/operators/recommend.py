@@ -183,7 +183,7 @@ def unique(profile: DataFrame) -> DataFrame:
 
 
 def between(profile: DataFrame) -> DataFrame:
-    """REC-3. Histograms of the columns come from ``profile.histogram``."""
+    """REC-3. ``with_histograms`` adds the distribution to the evidence."""
     low, high = F.col("min_num"), F.col("max_num")
     found = profile.where(low.isNotNull() & high.isNotNull() & ~_temporal() & _numeric())
     return as_rules(
@@ -199,6 +199,30 @@ def between(profile: DataFrame) -> DataFrame:
     )
 
 
+def with_histograms(rules: DataFrame, histogram: DataFrame) -> DataFrame:
+    """REC-3: range rules with the bins of their column as evidence (PROF-10).
+
+    ``histogram`` holds a few bins per column of one table.
+    """
+    bins = F.array_sort(F.collect_list(F.struct("bin", "label", "count", "percentage")))
+    shown = F.transform(
+        bins, lambda b: F.struct(b["label"].alias("label"), b["count"].alias("count"), b["percentage"].alias("percentage"))
+    )
+    per_column = histogram.groupBy(F.array("column_name").alias("target_columns")).agg(
+        F.to_json(shown).alias("_bins")
+    )
+    is_range = F.col("rule_type") == checks.BETWEEN
+    added = F.map_concat("evidence", F.create_map(F.lit("distribution"), F.col("_bins")))
+    return (
+        rules.join(per_column, "target_columns", "left")
+        .withColumn(
+            "evidence",
+            F.when(is_range & F.col("_bins").isNotNull(), added).otherwise(F.col("evidence")),
+        )
+        .select(*rules.columns)
+    )
+
+
 def in_set(profile: DataFrame) -> DataFrame:
     """REC-4."""
     name = F.col("column_name")

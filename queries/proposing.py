@@ -9,7 +9,7 @@ from plumbline.operators import checks, mine, profile, recommend
 from plumbline.plans import flows
 from queries.base import TABLES, all_tables, query, table
 from queries.predicates import LINES_SQL, SHIPPED_SQL, lines, shipped
-from queries.profiles import profile_sql
+from queries.profiles import HISTOGRAM_COLUMNS, histogram_sql, profile_sql
 
 KEYS = {"orders": ["o_orderkey"], "customer": ["c_custkey"], "documents": ["doc_id"], "part": ["p_partkey"]}
 
@@ -132,6 +132,20 @@ def recommend_row_count(spark, sf_dir):
     )
 
 
+@query(
+    f"""SELECT column_name, bin, count FROM ({histogram_sql('lineitem', HISTOGRAM_COLUMNS)})
+        UNION ALL SELECT column_name, CAST(NULL AS INTEGER), CAST(NULL AS BIGINT) FROM (VALUES ('l_tax'), ('l_linenumber'), ('l_partkey'), ('l_suppkey')) AS v(column_name)"""
+)
+def recommend_with_histograms(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem")
+    rules = recommend.between(profile.profile(lines, "lineitem", approx=True))
+    found = recommend.with_histograms(rules, profile.histogram(lines, HISTOGRAM_COLUMNS))
+    bins = F.from_json(F.col("evidence")["distribution"], "array<struct<label:string,count:bigint,percentage:double>>")
+    return found.select(
+        F.element_at("target_columns", 1).alias("column_name"), F.posexplode_outer(bins).alias("bin", "b")
+    ).select("column_name", "bin", F.col("b.count").alias("count"))
+
+
 OWN = {t: TABLES[t] for t in ("orders", "customer")}
 
 
