@@ -46,7 +46,8 @@ def _union(frames: Iterable[DataFrame]) -> DataFrame:
 def column_groups(profile: DataFrame) -> DataFrame:
     """REC-9: column groups that may hold a multi-column rule, at most MAX_GROUP columns.
 
-    Works on the profile alone: its rows are columns of tables, not data.
+    Works on the profile alone: its rows are columns of tables, not data. More columns than
+    fit in one group make more groups.
     """
     name = F.lower("column_name")
     usable = profile.where(
@@ -115,22 +116,30 @@ def column_groups(profile: DataFrame) -> DataFrame:
         naming.name_has(F.col("column_name"), STATUS_WORDS)
         & F.col("distinct_count").between(2, naming.MAX_SET_SIZE)
     ).select("table_name", F.col("column_name").alias("status"))
-    dependent = (
+    # The columns that may be empty, best names first, in parts that fit beside the status.
+    size = MAX_GROUP - 1
+    late = ~naming.name_has(F.col("column_name"), DEPENDENT_WORDS)
+    names = F.array_sort(F.collect_list(F.struct(late.alias("late"), "ordinal", "column_name")))
+    empty = (
         usable.where((F.col("null_count") > 0) & (F.col("null_count") < F.col("row_count")))
-        .withColumn("named", naming.name_has(F.col("column_name"), DEPENDENT_WORDS))
         .groupBy("table_name")
-        .agg(F.array_sort(F.collect_list(F.struct((~F.col("named")).alias("late"), "ordinal", "column_name"))).alias("d"))
-        .select("table_name", F.slice(F.col("d.column_name"), 1, MAX_GROUP - 1).alias("dependents"))
+        .agg(names["column_name"].alias("names"))
+    )
+    conditional = (
+        status.join(empty, "table_name")
+        .withColumn("names", F.array_except("names", F.array("status")))
+        .where(F.size("names") > 0)
+        .withColumn("start", F.explode(F.sequence(F.lit(1), F.size("names"), F.lit(size))))
+        .select(
+            "table_name",
+            F.lit("CONDITIONAL_DEPENDENCY").alias("rule_type"),
+            F.concat(F.array("status"), F.slice("names", F.col("start"), F.lit(size))).alias(
+                "target_columns"
+            ),
+            F.lit(0.8).alias("confidence"),
+            F.lit("status-like column and columns that may be empty").alias("reason"),
+        )
     )
-    conditional = status.join(dependent, "table_name").select(
-        "table_name",
-        F.lit("CONDITIONAL_DEPENDENCY").alias("rule_type"),
-        F.concat(
-            F.array("status"), F.array_except("dependents", F.array("status"))
-        ).alias("target_columns"),
-        F.lit(0.8).alias("confidence"),
-        F.lit("status-like column and columns that may be empty").alias("reason"),
-    ).where(F.size("target_columns") > 1)
     return _union([time_pairs, number_pairs, conditional])
 
 

@@ -37,18 +37,24 @@ def obs_daily_volume(spark, sf_dir):
     return found.select("event_type", F.col("day").cast("string").alias("day"), "rows", "change", *rounded, "anomaly")
 
 
-TYPES = [checks.NOT_NULL, checks.UNIQUE, checks.BETWEEN, "TEMPORAL", "CROSS_COLUMN"]
-TYPES_SQL = "CASE left(o_orderpriority, 1) " + " ".join(f"WHEN '{i + 1}' THEN '{t}'" for i, t in enumerate(TYPES)) + " END"
+TYPES = {
+    "1-URGENT": checks.NOT_NULL,
+    "2-HIGH": checks.UNIQUE,
+    "3-MEDIUM": checks.BETWEEN,
+    "4-NOT SPECIFIED": "TEMPORAL",
+    "5-LOW": "CROSS_COLUMN",
+}
+TYPES_SQL = "CASE o_orderpriority " + " ".join(f"WHEN '{p}' THEN '{t}'" for p, t in TYPES.items()) + " END"
 RUNS_SQL = f"""(SELECT {TYPES_SQL} AS rule_type, CASE o_orderstatus WHEN 'O' THEN 'PASSED' WHEN 'F' THEN 'FAILED' ELSE 'WARNING' END AS status,
     o_totalprice / 500000 AS pass_rate, o_orderdate AS run_at FROM orders)"""
 
 
 def runs(spark, sf_dir) -> DataFrame:
     """Orders as rule runs: the priority is the rule type, the status the outcome."""
-    first, status = F.left("o_orderpriority", F.lit(1)), F.col("o_orderstatus")
-    pairs = [x for i, t in enumerate(TYPES) for x in (F.lit(str(i + 1)), F.lit(t))]
+    status = F.col("o_orderstatus")
+    types = F.create_map(*[F.lit(x) for kv in TYPES.items() for x in kv])
     return table(spark, sf_dir, "orders").select(
-        F.create_map(*pairs)[first].alias("rule_type"),
+        types[F.col("o_orderpriority")].alias("rule_type"),
         F.when(status == "O", "PASSED").when(status == "F", "FAILED").otherwise("WARNING").alias("status"),
         (F.col("o_totalprice") / 500000).alias("pass_rate"),
         F.col("o_orderdate").alias("run_at"),

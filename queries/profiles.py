@@ -174,8 +174,6 @@ def histogram_5(spark, sf_dir):
       ('order_date', 0.0, 'time'), ('plate', 0.0, 'text'), ('o_custkey', 1.0, 'count'),
       ('o_totalprice', 1.0, 'money')) AS v(column_name, numeric_share, kind)
     UNION ALL
-    SELECT 'first_mark', count(TRY_CAST(left(o_orderpriority, 1) AS DOUBLE)) / count(*), 'text' FROM orders
-    UNION ALL
     SELECT 'mixed_cost', count(*) FILTER (o_orderstatus <> 'O') / count(*), 'text' FROM orders
     """
 )
@@ -189,7 +187,6 @@ def semantic_kinds(spark, sf_dir):
         F.col("o_orderstatus").alias("plate"),
         "o_custkey",
         "o_totalprice",
-        F.left("o_orderpriority", F.lit(1)).alias("first_mark"),
         F.when(F.col("o_orderstatus") == "O", "n/a").otherwise(price).alias("mixed_cost"),
     )
     return profile.semantic_kinds(shaped)

@@ -221,16 +221,18 @@ def fn_labels_and_percents(spark, sf_dir):
 
 @query(
     """
-    SELECT source, count(*) AS texts, count(TRY_CAST(left(text, 1) AS DOUBLE)) AS numeric_starts,
-           count(TRY_CAST(substr(source, 4) AS DOUBLE)) AS numeric_sources
-    FROM documents GROUP BY source
+    SELECT event_type, count(*) AS events, count(TRY_CAST(props AS DOUBLE)) AS numeric_props,
+           count(TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE)) AS numeric_keys,
+           count(TRY_CAST(json_extract_string(props, '$.k') || event_type AS DOUBLE)) AS numeric_joined
+    FROM events GROUP BY event_type
     """
 )
 def fn_parse_number(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    text = T.StringType()
-    return docs.groupBy("source").agg(
-        F.count(F.lit(1)).alias("texts"),
-        F.count(numbers.parse_number(F.left("text", F.lit(1)), text)).alias("numeric_starts"),
-        F.count(numbers.parse_number(F.substr("source", F.lit(4)), text)).alias("numeric_sources"),
+    key = F.get_json_object("props", "$.k")
+    numeric = lambda c: F.count(numbers.parse_number(c, T.StringType()))
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(
+        F.count(F.lit(1)).alias("events"),
+        numeric(F.col("props")).alias("numeric_props"),
+        numeric(key).alias("numeric_keys"),
+        numeric(F.concat(key, "event_type")).alias("numeric_joined"),
     )

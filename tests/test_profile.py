@@ -180,6 +180,21 @@ def test_mined_rules_can_be_run(spark):
     assert set(ran) == {r.rule_id for r in found.values()}
 
 
+def test_column_groups_leave_no_column_out(spark):
+    cols = [column_profile("job_status", "string", "STRING", distinct=3)]
+    cols += [column_profile(f"part{i}", "string", "STRING", nulls=10, distinct=500) for i in range(7)]
+    cols += [column_profile("end_date", "date", "DATE", nulls=10, distinct=500)]
+    cols += [column_profile("start_date", "date", "DATE", distinct=500), column_profile("email", "string", "STRING", nulls=5)]
+    rows = [c | {"ordinal": i} for i, c in enumerate(cols)]
+    got = mine.column_groups(local_frame(spark, rows, schemas.PROFILE)).collect()
+    conditional = [r.target_columns for r in got if r.rule_type == "CONDITIONAL_DEPENDENCY"]
+    assert sorted(map(len, conditional)) == [3, 4, 4]
+    assert all(g[0] == "job_status" for g in conditional)
+    assert sorted(c for g in conditional for c in g[1:]) == sorted([f"part{i}" for i in range(7)] + ["end_date"])
+    assert any(g[1] == "end_date" for g in conditional)
+    assert [r.target_columns for r in got if r.rule_type == "TEMPORAL"] == [["start_date", "end_date"]]
+
+
 def test_dependencies(spark):
     rows = [(i % 12, i % 4, "abc"[i % 3], None if i % 12 == 5 else i % 2) for i in range(240)]
     df = spark.createDataFrame(rows, "a int, b int, c string, d int")
