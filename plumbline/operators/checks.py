@@ -130,7 +130,7 @@ def holds(expression: str) -> Column:
 def key_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Rows per key, keys with a null left out."""
     present = df.where(all_of(column(c).isNotNull() for c in columns))
-    return present.groupBy(*columns).agg(F.count(F.lit(1)).alias("n"))
+    return present.groupBy(*map(column, columns)).agg(F.count(F.lit(1)).alias("n"))
 
 
 def repeated_values(df: DataFrame, name: str) -> DataFrame:
@@ -181,7 +181,7 @@ def primary_key(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     for c in columns:
         has_null = has_null | column(c).isNull()
     return (
-        df.groupBy(*columns)
+        df.groupBy(*map(column, columns))
         .agg(F.count(F.lit(1)).alias("n"))
         .withColumn("problem", F.when(has_null, "NULL").when(F.col("n") > 1, "DUPLICATE"))
         .where(F.col("problem").isNotNull())
@@ -226,9 +226,10 @@ def dependency_breaks(
     """
     determinant = list(determinant)
     known = df.where(all_of(column(c).isNotNull() for c in determinant))
-    pairs = known.groupBy(*determinant, dependent).agg(F.count(F.lit(1)).alias("pair_rows"))
+    keys = [column(c) for c in determinant]
+    pairs = known.groupBy(*keys, column(dependent)).agg(F.count(F.lit(1)).alias("pair_rows"))
     return (
-        pairs.groupBy(*determinant)
+        pairs.groupBy(*keys)
         .agg(F.count(column(dependent)).alias("n_values"), F.sum("pair_rows").alias("n"))
         .where(F.col("n_values") > 1)
     )

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.operators.predicates import column
+
 # The heaviest keys are broadcast. Of the keys left, none can hold more than 1/HOT_KEYS of
 # all rows, so the shuffled part has no hot partition.
 HOT_KEYS = 1000
@@ -37,7 +39,7 @@ def with_short_keys(df: DataFrame, on: list[str]) -> tuple[DataFrame, list[str]]
     """The frame with a bounded form of each key column, and the names of these."""
     names = [f"_key_{i}" for i in range(len(on))]
     added = {
-        k: short_key(F.col(f"`{c}`"), df.schema[c].dataType) for k, c in zip(names, on)
+        k: short_key(column(c), df.schema[c].dataType) for k, c in zip(names, on)
     }
     return df.withColumns(added), names
 
@@ -54,11 +56,11 @@ def rows_of_keys(
     extra = [c for c in keys.columns if c not in on]
     rows, short = with_short_keys(df, on)
     short_keys, _ = with_short_keys(keys, on)
-    short_keys = short_keys.select(*short, *extra)
+    short_keys = short_keys.select(*short, *map(column, extra))
     hot = short_keys.orderBy(F.desc(weight), *short).limit(HOT_KEYS)
     hot_keys = hot.select(*short)
     cold = short_keys.join(F.broadcast(hot_keys), short, "left_anti")
-    columns = df.columns + extra
+    columns = [column(c) for c in df.columns + extra]
     hot_rows = rows.join(F.broadcast(hot), short)
     cold_rows = rows.join(F.broadcast(hot_keys), short, "left_anti").join(cold, short)
     return hot_rows.select(*columns).unionByName(cold_rows.select(*columns))
@@ -70,6 +72,6 @@ def look_up(df: DataFrame, lookup: DataFrame, on: list[str]) -> DataFrame:
     A left join that holds no hot group in one task: the keys of ``df`` are counted, looked
     up once each, and joined back by weight. Keys must not be null.
     """
-    counted = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
+    counted = df.groupBy(*map(column, on)).agg(F.count(F.lit(1)).alias("_rows"))
     found = counted.join(lookup, on, "left")
     return rows_of_keys(df, found, on, "_rows").drop("_rows")

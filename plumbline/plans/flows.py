@@ -23,15 +23,11 @@ MAX_CODES = 1000
 def check_own_rules(df: DataFrame, table_name: str, **options) -> DataFrame:
     """How many rows break each rule that the table itself suggests."""
     profiled = profile.profile(df, table_name, **options)
-    rules = rule_ops.rule_rows(recommend.recommend(profiled))
-    targets = {r["rule_id"]: ",".join(r["target_columns"]) for r in rules}
-    names = F.create_map(*[F.lit(x) for kv in targets.items() for x in kv]) if targets else None
-    ran = rule_ops.run_rules(df, rules)
-    if names is None:
-        return ran.withColumn("table_name", F.lit(table_name)).withColumn("columns", F.lit(None).cast("string"))
-    return ran.withColumn("table_name", F.lit(table_name)).withColumn(
-        "columns", names[F.col("rule_id")]
+    rules = on_driver(recommend.recommend(profiled))
+    names = rules.select(
+        "rule_id", "table_name", F.array_join("target_columns", ",").alias("columns")
     )
+    return rule_ops.run_rules(df, rules).join(F.broadcast(names), "rule_id")
 
 
 def rule_runs(

@@ -184,3 +184,20 @@ def test_violation_filters_reach_the_scan(spark, sf_dir):
     plan = rule_ops.violating_rows(lines, rule, ["l_orderkey"])._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [Or(LessThan(l_linenumber,1),GreaterThan(l_linenumber,6))]" in plan
     assert "ReadSchema: struct<l_orderkey:bigint,l_linenumber:int>" in plan
+
+
+def test_names_with_dots_and_ticks(spark):
+    rows = [(1, "a", 1), (1, "a", 2), (2, "b", 1), (3, None, None)]
+    df = spark.createDataFrame(rows, "`k.1` int, `v``2` string, `w x` int")
+    assert [r.n for r in checks.key_counts(df, ["k.1"]).where("n > 1").collect()] == [2]
+    assert checks.repeated_rows(df, ["k.1", "v`2"]).count() == 2
+    assert checks.primary_key(df, ["v`2"]).count() == 2
+    assert checks.dependency_break_rows(df, ["k.1"], "w x").count() == 2
+    parents = spark.createDataFrame([(1,)], "`id.x` int")
+    assert sorted(r["k.1"] for r in checks.orphan_rows(df, ["k.1"], parents, ["id.x"]).collect()) == [2, 3]
+    rules = [
+        {"rule_id": "u", "rule_type": checks.UNIQUE, "target_columns": ["k.1"]},
+        {"rule_id": "n", "rule_type": checks.NOT_NULL, "target_columns": ["v`2"]},
+    ]
+    assert {r.rule_id: r.violations for r in rule_ops.run_rules(df, rules).collect()} == {"u": 2, "n": 1}
+    assert rule_ops.violating_rows(df, rules[0], ["k.1"]).count() == 2
