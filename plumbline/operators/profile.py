@@ -422,6 +422,41 @@ def semantic_kinds(df: DataFrame, blank_is_null: bool = True) -> DataFrame:
     return df.agg(*parts).select(F.inline(F.array(*rows)))
 
 
+def supplied(rows: DataFrame) -> DataFrame:
+    """A profile measured elsewhere, in the shape of the profile schema.
+
+    Needs table_name, column_name and data_type; what is not given is derived or null. Types
+    are judged by their names. The row count of a table is that of its fullest column
+    (PROF-16), and a column without counts has row count 0, so that no rule is drawn from it
+    for want of nulls.
+    """
+    for f in schemas.PROFILE.fields:
+        if f.name not in rows.columns:
+            rows = rows.withColumn(f.name, F.lit(None).cast(f.dataType))
+    per_table = rows.groupBy("table_name").agg(F.max("row_count").alias("_rows"))
+    total = F.when(F.col("null_count").isNotNull(), F.coalesce("row_count", "_rows"))
+    total = F.coalesce(total, F.lit(0)).cast("bigint")
+    is_pk = F.coalesce("is_primary_key", F.lit(False))
+    nulls = F.coalesce("null_count", F.lit(0)).cast("bigint")
+    derived = {
+        "type_class": F.coalesce("type_class", naming.type_class_of_text(F.col("data_type"))),
+        "is_primary_key": is_pk,
+        "is_foreign_key": F.coalesce("is_foreign_key", F.lit(False)),
+        "nullable": (nulls > 0) | ~is_pk,
+        "row_count": total,
+        "null_count": nulls,
+        "null_ratio": F.coalesce("null_ratio", numbers.ratio(nulls, total)),
+        "distinct_ratio": F.coalesce("distinct_ratio", numbers.ratio(F.col("distinct_count"), total)),
+        "top_values": F.coalesce("top_values", F.array().cast(schemas.TOP_VALUES)),
+    }
+    return rows.join(per_table, "table_name").select(
+        *[
+            derived.get(f.name, F.col(f.name)).cast(f.dataType).alias(f.name)
+            for f in schemas.PROFILE.fields
+        ]
+    )
+
+
 def latest_profiles(history: DataFrame) -> DataFrame:
     """PROF-15: the newest profile of every (table, column)."""
     rest = [c for c in history.columns if c not in ("table_name", "column_name")]

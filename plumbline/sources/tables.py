@@ -15,8 +15,11 @@ def read_table(spark: SparkSession, where: str, format: str = "parquet", **optio
 
 
 def save_results(results: DataFrame, path: str) -> None:
-    """SRC-6: append rules, rule runs or profiles, one folder per table."""
-    results.write.mode("append").partitionBy("table_name").parquet(path)
+    """SRC-6: append rules, rule runs or profiles, one folder per table.
+
+    Rebalancing merges small parts and splits large tables, so files come out even.
+    """
+    results.hint("rebalance", "table_name").write.mode("append").partitionBy("table_name").parquet(path)
 
 
 def preview(df: DataFrame, n: int, *order: Column | str, masked: bool = True) -> DataFrame:

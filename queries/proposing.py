@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline.functions import naming
+from plumbline.local import on_driver
 from plumbline.operators import checks, mine, profile, recommend
 from plumbline.plans import flows
 from queries.base import TABLES, all_tables, query, table
@@ -146,6 +147,39 @@ def recommend_with_histograms(spark, sf_dir):
     ).select("column_name", "bin", F.col("b.count").alias("count"))
 
 
+@query(
+    f"""
+    WITH p AS (SELECT event_type AS t, count(*) AS n, count(DISTINCT props) AS d, min(value) AS lo, max(value) AS hi,
+                      min(length(props)) AS l0, max(length(props)) AS l1 FROM events GROUP BY event_type)
+    SELECT t AS table_name, c AS column_name, '{checks.NOT_NULL}' AS rule_type, NULL::DOUBLE AS min_value, NULL::DOUBLE AS max_value,
+           NULL::INTEGER AS min_length, NULL::INTEGER AS max_length FROM p, (VALUES ('value'), ('token')) AS v(c)
+    UNION ALL SELECT t, 'token', '{checks.UNIQUE}', NULL, NULL, NULL, NULL FROM p WHERE d / n >= 0.99
+    UNION ALL SELECT t, 'value', '{checks.BETWEEN}', lo, hi, NULL, NULL FROM p
+    UNION ALL SELECT t, 'token', '{checks.LENGTH}', NULL, NULL, CAST(l0 AS INTEGER), CAST(l1 AS INTEGER) FROM p
+    """
+)
+def recommend_from_supplied_profile(spark, sf_dir):
+    """Rules from profiles measured elsewhere: here two columns per event type and one unmeasured."""
+    rows = F.count(F.lit(1)).alias("row_count")
+    nothing = F.lit(0).cast("bigint").alias("null_count")
+    events = table(spark, sf_dir, "events")
+    name = F.col("event_type").alias("table_name")
+    value = events.groupBy(name).agg(
+        F.lit("value").alias("column_name"), F.lit("DOUBLE PRECISION").alias("data_type"), rows, nothing,
+        F.min("value").alias("min_num"), F.max("value").alias("max_num"),
+    )
+    token = events.groupBy(name).agg(
+        F.lit("token").alias("column_name"), F.lit("VARCHAR(9)").alias("data_type"), rows, nothing,
+        F.count_distinct("props").alias("distinct_count"),
+        F.min(F.length("props")).alias("min_length"), F.max(F.length("props")).alias("max_length"),
+    )
+    unmeasured = events.select(name).distinct().select(
+        "table_name", F.lit("ghost").alias("column_name"), F.lit("text").alias("data_type")
+    )
+    given = value.unionByName(token, allowMissingColumns=True).unionByName(unmeasured, allowMissingColumns=True)
+    return flat(recommend.recommend(on_driver(profile.supplied(given)))).drop("confidence", "allowed")
+
+
 OWN = {t: TABLES[t] for t in ("orders", "customer")}
 
 

@@ -129,6 +129,20 @@ def test_rules_of_a_supplied_profile(spark):
     assert again == {r["rule_id"] for r in rules}
 
 
+def test_profile_supplied_with_gaps(spark):
+    rows = [
+        ("t", "id", "uuid", True, 100, 0, 100), ("t", "seen_at", "timestamp", False, 98, 2, 50),
+        ("t", "bare", "varchar(9)", False, None, None, None),
+    ]
+    given = spark.createDataFrame(rows, "table_name string, column_name string, data_type string, is_primary_key boolean, row_count bigint, null_count bigint, distinct_count bigint")
+    got = {r.column_name: r for r in profile.supplied(given).collect()}
+    assert [f.name for f in schemas.PROFILE.fields] == profile.supplied(given).columns
+    assert (got["id"].type_class, got["id"].distinct_ratio, got["id"].nullable) == ("UUID", 1.0, False)
+    assert (got["bare"].row_count, got["bare"].null_ratio) == (0, 0.0)
+    rules = {(r.rule_type, r.target_columns[0]) for r in recommend.recommend(profile.supplied(given)).collect()}
+    assert rules == {(checks.NOT_NULL, "id"), (checks.UNIQUE, "id")}
+
+
 def test_type_names(spark):
     from plumbline.functions import naming
 
