@@ -234,9 +234,8 @@ def profile_tables(
     ``approx=True`` keeps the sketched counts for large columns, so that no high-cardinality
     value is ever shuffled (PROF-5). Small columns stay exact.
     """
-    tables = {n: df for n, df in tables.items() if df.columns}
     if not tables:
-        raise ValueError("no columns to profile")
+        raise ValueError("no tables to profile")
     keys, foreign = primary_keys or {}, foreign_keys or {}
 
     def one(item: tuple[str, DataFrame]) -> list[dict]:
@@ -247,7 +246,8 @@ def profile_tables(
         )
 
     spark = next(iter(tables.values())).sparkSession
-    rows = [r for found in side_by_side(one, tables.items()) for r in found]
+    with_columns = [(n, df) for n, df in tables.items() if df.columns]
+    rows = [r for found in side_by_side(one, with_columns) for r in found]
     return local_frame(spark, rows, schemas.PROFILE)
 
 

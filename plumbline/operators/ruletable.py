@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import naming
 from plumbline.operators import checks
-from plumbline.operators.skew import look_up, rows_of_keys
+from plumbline.operators.skew import SALTS, rows_of_keys
 
 # Thresholds of the confidence gate.
 SERVICE_THRESHOLD = 0.75
@@ -251,15 +251,21 @@ def classify(candidates: DataFrame, existing: DataFrame) -> DataFrame:
     same = old.select("_canonical").distinct().withColumn("_same", F.lit(True))
     near = old.select(*group).distinct().withColumn("_near", F.lit(True))
     new = keyed(candidates)
-    # Keys first: one row per canonical key of the candidates, each looked up once.
+    # Keys first: one row per canonical key of the candidates. A group may hold many of them,
+    # so it is split by a salt taken from the key, and the few columns of ``near`` repeated.
     keys = new.groupBy("_canonical", *group).agg(F.count(F.lit(1)).alias("n"))
+    salt = F.pmod(F.xxhash64("_canonical"), F.lit(SALTS)).cast("int")
+    salted = near.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     kind = (
         F.when(F.col("_same"), "DUPLICATE")
         .when(F.col("_near"), "POSSIBLE_CONFLICT")
         .otherwise("NEW")
     )
-    known = look_up(keys.join(same, "_canonical", "left"), near, group).select(
-        "_canonical", kind.alias("classification"), "n"
+    known = (
+        keys.withColumn("_salt", salt)
+        .join(same, "_canonical", "left")
+        .join(salted, [*group, "_salt"], "left")
+        .select("_canonical", kind.alias("classification"), "n")
     )
     return rows_of_keys(new, known, ["_canonical"], "n").drop("_canonical", "_columns", "n")
 

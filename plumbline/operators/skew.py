@@ -12,6 +12,9 @@ from plumbline.operators.predicates import column
 # all rows, so the shuffled part has no hot partition.
 HOT_KEYS = 1000
 
+# Parts a group is split into where its members are told apart by another key.
+SALTS = 16
+
 # Longer texts are compared by their SHA-256, so that documents are not shuffled whole.
 DIGEST_OVER = 64
 DIGEST_MARK = "#"

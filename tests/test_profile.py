@@ -1,6 +1,9 @@
 """Profiles against plain Python, and rules proposed from them."""
 
+import datetime as dt
+import random
 from collections import Counter
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +12,7 @@ from pyspark.sql import types as T
 from plumbline import schemas
 from plumbline.local import local_frame
 from plumbline.operators import checks, evaluate, mine, profile, recommend
+from plumbline.operators import rules as rule_ops
 from plumbline.plans import flows
 
 LONG = ["first " * 40, "second " * 40, "third " * 40]
@@ -73,6 +77,51 @@ def test_nan_is_no_number(spark):
     assert (row.min_num, row.max_num, row.mean, row.null_count, row.distinct_count) == (1.0, 2.0, 1.5, 1, 3)
 
 
+def test_table_without_columns(spark):
+    empty = profile.profile(spark.createDataFrame([], T.StructType()), "t")
+    assert empty.count() == 0 and recommend.recommend(empty).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_rules_of_a_table_hold_on_it(spark, seed):
+    """Random tables of all types with nulls, NaN and odd characters."""
+    rng = random.Random(seed)
+    pick = lambda make: None if rng.random() < 0.1 else make()
+    words = ["a", "Ä ß", "é" * 70, "it's", "tab\tend", "日本", "x|y", "0", "-1.5", "NaN"]
+    size = rng.choice([1, 19, 60])
+    rows = [
+        (
+            i,
+            pick(lambda: rng.choice(words)),
+            pick(lambda: f"k{rng.randint(0, 10**6)}"),
+            pick(lambda: rng.choice([1.5, -0.0, 0.0, float("nan"), 1e300, 3.25])),
+            pick(lambda: rng.randint(-(2**62), 2**62)),
+            pick(lambda: rng.random() < 0.5),
+            pick(lambda: Decimal(rng.randint(-(10**6), 10**6)).scaleb(-2)),
+            pick(lambda: dt.date(2020, 1, 1) + dt.timedelta(rng.randint(0, 900))),
+        )
+        for i in range(size)
+    ]
+    schema = "row_id bigint, word string, `a key` string, x double, big bigint, flag boolean, price decimal(12,2), day date"
+    df = spark.createDataFrame(rows, schema)
+    rules = recommend.recommend(profile.profile(df, "t", primary_keys=["row_id"]))
+    ran = {r.rule_id: r for r in rule_ops.run_rules(df, rules).collect()}
+    assert len(ran) == rules.count() > 8
+    for r in rules.collect():
+        if r.rule_type != checks.UNIQUE or r.confidence == 1.0:
+            assert ran[r.rule_id].violations == 0, r
+
+
+def test_blanks_are_missing_in_profiles_but_break_sets_and_lengths(spark):
+    df = spark.createDataFrame([("a",), ("b",), ("",), (None,)], "kind string")
+    profiled = profile.profile(df, "t")
+    assert profiled.first().null_count == 2
+    rules = {r.rule_type: r.asDict(True) for r in recommend.recommend(profiled).collect()}
+    assert set(rules) == {checks.IN_SET, checks.LENGTH}
+    ran = {r.rule_type: r.violations for r in rule_ops.run_rules(df, rules.values()).collect()}
+    assert ran == {checks.IN_SET: 1, checks.LENGTH: 1}
+
+
 def test_wide_table(spark):
     df = spark.range(50).select(*[(F.col("id") % (i + 1)).alias(f"c{i}") for i in range(120)])
     got = {r.column_name: r.distinct_count for r in profile.profile(df, "t").collect()}
@@ -185,8 +234,6 @@ def test_mined_rules_can_be_run(spark):
     assert "IF status = open THEN end_day IS_NULL" in found
     assert "IF status = done THEN end_day IS_NOT_NULL" in found
     assert "start_day BEFORE_EQUAL end_day" in found
-    from plumbline.operators import rules as rule_ops
-
     ran = {r.rule_id: r for r in rule_ops.run_rules(df, mined).collect()}
     for r in found.values():
         if r.confidence == 1.0:
@@ -214,8 +261,6 @@ def test_dependencies(spark):
     df = spark.createDataFrame(rows, "a int, b int, c string, d int")
     got = {(r.determinant, r.dependent) for r in mine.dependencies(df, ["a", "b", "c", "d"]).collect()}
     assert got == {("a", "b"), ("a", "c"), ("a", "d"), ("b", "d")}
-    from plumbline.operators import rules as rule_ops
-
     rules = mine.dependency_rules(df, "t", ["a", "b", "c", "d"], 0.0)
     ran = {r.rule_id: r for r in rule_ops.run_rules(df, rules).collect()}
     for r in rules.collect():
