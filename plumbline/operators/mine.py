@@ -14,6 +14,7 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline import schemas
 from plumbline.functions import naming
@@ -32,6 +33,8 @@ MAX_GROUP = 4
 # Fewer rows than this behind a mined rule make it a warning.
 SMALL_SUPPORT = 30
 AGGREGATES_PER_SCAN = 200
+# A grouping id is a 64-bit number.
+MAX_GROUPING_SETS = 32
 
 Pair = tuple[str, str]
 
@@ -544,37 +547,70 @@ def conditional_rules(
 # REC-15 -----------------------------------------------------------------------------------
 
 
+def _codes(df: DataFrame, name: str) -> list[Column]:
+    """Numbers that are equal for equal values only: the value itself where it is fixed in
+    width, else two unrelated hashes. Null stays null."""
+    c, data_type = column(name), df.schema[name].dataType
+    if isinstance(data_type, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return [c]
+    return [F.when(c.isNotNull(), F.xxhash64(c)), F.when(c.isNotNull(), F.hash(c))]
+
+
 def dependency_support(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """REC-15: for every ordered pair of columns: values of a, and how many have several b.
 
-    The table is reduced to its distinct combinations, then grouped by each column in one
-    pass of grouping sets. Within a group the smallest and largest b differ exactly when b
-    is not determined.
+    One pass of grouping sets, one set per column: within a group the smallest and largest
+    code of b differ exactly when b is not determined. Each task shrinks its rows to the
+    distinct values of the columns before anything is shuffled, and numbers as codes keep
+    that a hash aggregate. Many columns take several passes.
     """
     columns = list(columns)
-    keys = [f"k{i}" for i in range(len(columns))]
-    combos = df.select(*[column(c).alias(k) for c, k in zip(columns, keys)]).distinct()
-    grouped = combos.groupingSets(
-        [[F.col(k)] for k in keys], *[F.col(k) for k in keys]
-    ).agg(
-        F.grouping_id(*keys).alias("gid"),
-        *[(F.min(k) != F.max(k)).alias(f"several_{k}") for k in keys],
-    )
-    ids = {i: sum(1 << (len(keys) - 1 - j) for j in range(len(keys)) if j != i) for i in range(len(keys))}
+    keys = {c: f"k{i}" for i, c in enumerate(columns)}
+    codes = {
+        c: {f"{keys[c]}_{j}": code for j, code in enumerate(_codes(df, c))} for c in columns
+    }
+    shaped = df.select(
+        *[column(c).alias(k) for c, k in keys.items()],
+        *[code.alias(name) for found in codes.values() for name, code in found.items()],
+    )
+    several = [
+        reduce(lambda a, b: a | b, [F.min(n) != F.max(n) for n in codes[c]]).alias(
+            f"several_{keys[c]}"
+        )
+        for c in columns
+    ]
+    step = max(1, min(MAX_GROUPING_SETS, AGGREGATES_PER_SCAN // len(columns)))
+    return _union(
+        _determined(shaped, columns[i : i + step], keys, several)
+        for i in range(0, len(columns), step)
+    )
+
+
+def _determined(
+    shaped: DataFrame, determinants: Sequence[str], keys: dict[str, str], several: list[Column]
+) -> DataFrame:
+    """The rows of ``dependency_support`` for some of the columns."""
+    own = [keys[a] for a in determinants]
+    grouped = shaped.groupingSets(
+        [[F.col(k)] for k in own], *[F.col(k) for k in own]
+    ).agg(F.grouping_id(*own).alias("gid"), *several)
+    # The grouping id has a bit set for each column that is not the one grouped by.
+    every = (1 << len(own)) - 1
     aggregates, rows = [], []
-    for i, a in enumerate(columns):
-        here = (F.col("gid") == ids[i]) & F.col(keys[i]).isNotNull()
+    for i, a in enumerate(determinants):
+        gid = every - (1 << (len(own) - 1 - i))
+        here = (F.col("gid") == gid) & F.col(keys[a]).isNotNull()
         aggregates.append(F.count_if(here).alias(f"n_{i}"))
-        for j, b in enumerate(columns):
-            if i == j:
+        for b, k in keys.items():
+            if a == b:
                 continue
-            aggregates.append(F.count_if(here & F.col(f"several_{keys[j]}")).alias(f"b_{i}_{j}"))
+            aggregates.append(F.count_if(here & F.col(f"several_{k}")).alias(f"b_{i}_{k}"))
             rows.append(
                 F.struct(
                     F.lit(a).alias("determinant"),
                     F.lit(b).alias("dependent"),
                     F.col(f"n_{i}").alias("n_values"),
-                    F.col(f"b_{i}_{j}").alias("n_broken"),
+                    F.col(f"b_{i}_{k}").alias("n_broken"),
                 )
             )
     return grouped.agg(*aggregates).select(F.inline(F.array(*rows)))

@@ -270,6 +270,14 @@ def test_dependencies(spark):
         assert bad.columns == df.columns and bad.count() == ran[r.rule_id].violations
 
 
+def test_dependencies_in_several_passes(spark, monkeypatch):
+    monkeypatch.setattr(mine, "AGGREGATES_PER_SCAN", 12)
+    df = spark.range(300).select(*[(F.col("id") % m).alias(f"m{m}") for m in (2, 3, 4, 6, 12)])
+    got = {(r.determinant, r.dependent) for r in mine.dependencies(df, df.columns).collect()}
+    names = {f"m{m}": m for m in (2, 3, 4, 6, 12)}
+    assert got == {(a, b) for a, x in names.items() for b, y in names.items() if a != b and x % y == 0}
+
+
 def test_safety_of_proposed_rules(spark, mixed):
     profiled = profile.profile(mixed[1], "t")
     row = evaluate.safety(recommend.recommend(profiled), profiled).first()
