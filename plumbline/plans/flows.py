@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import naming
 from plumbline.local import on_driver
-from plumbline.operators import evaluate, mine, profile, recommend, ruletable
+from plumbline.operators import checks, evaluate, mine, profile, recommend, ruletable
 from plumbline.operators import rules as rule_ops
 from plumbline.sources import labelled
 
@@ -50,6 +50,58 @@ def rule_runs(
     return reduce(DataFrame.unionByName, frames)
 
 
+def check_constraints(
+    tables: Mapping[str, DataFrame], constraints: DataFrame
+) -> DataFrame:
+    """CHK-11..13 for a table of constraints: breaking keys and rows of each one.
+
+    ``constraint_type`` is PRIMARY_KEY, UNIQUE or FOREIGN_KEY. Constraints are metadata and
+    are read on the driver; every one is an aggregate by key over its own columns.
+    """
+    frames = []
+    for c in constraints.collect():
+        df, columns = tables[c["table_name"]], c["columns"]
+        if c["constraint_type"] == "PRIMARY_KEY":
+            broken = checks.primary_key(df, columns)
+        elif c["constraint_type"] == "UNIQUE":
+            broken = checks.unique_key(df, columns)
+        elif c["constraint_type"] == "FOREIGN_KEY":
+            broken = checks.orphan_keys(df, columns, tables[c["ref_table"]], c["ref_columns"])
+        else:
+            raise rule_ops.RuleError(f"Unsupported constraint type: {c['constraint_type']}")
+        frames.append(
+            broken.agg(
+                F.count(F.lit(1)).alias("broken_keys"),
+                F.coalesce(F.sum("n"), F.lit(0)).alias("broken_rows"),
+            ).select(
+                F.lit(c["constraint_name"]).alias("constraint_name"),
+                F.lit(c["constraint_type"]).alias("constraint_type"),
+                F.lit(c["table_name"]).alias("table_name"),
+                F.lit(",".join(columns)).alias("columns"),
+                "broken_keys",
+                "broken_rows",
+                (F.col("broken_keys") == 0).alias("passed"),
+            )
+        )
+    if not frames:
+        raise ValueError("no constraints to check")
+    return reduce(DataFrame.unionByName, frames)
+
+
+def profile_with_constraints(
+    tables: Mapping[str, DataFrame], constraints: DataFrame, **options
+) -> DataFrame:
+    """Profiles whose key columns are those declared: keys of one column, and all references."""
+    primary: dict[str, list[str]] = {}
+    foreign: dict[str, list[str]] = {}
+    for c in constraints.collect():
+        if c["constraint_type"] == "PRIMARY_KEY" and len(c["columns"]) == 1:
+            primary.setdefault(c["table_name"], []).extend(c["columns"])
+        elif c["constraint_type"] == "FOREIGN_KEY":
+            foreign.setdefault(c["table_name"], []).extend(c["columns"])
+    return profile.profile_tables(tables, primary, foreign, **options)
+
+
 def record_profile(clean: DataFrame, table_name: str) -> DataFrame:
     """The profile of labelled records, whose types come from values and names.
 

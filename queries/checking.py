@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from plumbline import schemas
+from plumbline.local import local_frame
 from plumbline.operators import checks
 from plumbline.operators import rules as rule_ops
-from queries.base import query, table
+from plumbline.plans import flows
+from queries.base import all_tables, query, table
 from queries.predicates import LINES_SQL, ONE_PASS, lines
 
 # Texts with blanks, white space and nulls.
@@ -193,3 +196,58 @@ def chk_dependency(spark, sf_dir):
 def chk_dependency_rows(spark, sf_dir):
     df = table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_type")
     return checks.dependency_break_rows(df, ["p_size"], "p_type").drop("n_values")
+
+
+CONSTRAINTS = [
+    ("pk_orders", "PRIMARY_KEY", "orders", ["o_orderkey"], None, None),
+    ("pk_lineitem", "PRIMARY_KEY", "lineitem", ["l_orderkey", "l_linenumber"], None, None),
+    ("pk_part", "PRIMARY_KEY", "part", ["p_partkey"], None, None),
+    ("pk_events", "PRIMARY_KEY", "events", ["event_id"], None, None),
+    ("uq_part_name", "UNIQUE", "part", ["p_name"], None, None),
+    ("uq_turn", "UNIQUE", "conversations", ["conv_id", "turn"], None, None),
+    ("fk_order_customer", "FOREIGN_KEY", "orders", ["o_custkey"], "customer", ["c_custkey"]),
+    ("fk_line_order", "FOREIGN_KEY", "lineitem", ["l_orderkey"], "orders", ["o_orderkey"]),
+    ("fk_customer_nation", "FOREIGN_KEY", "customer", ["c_nationkey"], "nation", ["n_nationkey"]),
+    ("fk_nation_region", "FOREIGN_KEY", "nation", ["n_regionkey"], "region", ["r_regionkey"]),
+    ("fk_document_label", "FOREIGN_KEY", "documents", ["doc_id"], "labels", ["doc_id"]),
+    ("fk_user_customer", "FOREIGN_KEY", "events", ["user_id"], "supplier", ["s_suppkey"]),
+]
+
+
+def constraints_sql() -> str:
+    parts = []
+    for name, kind, t, columns, ref, ref_columns in CONSTRAINTS:
+        keys = ", ".join(columns)
+        if kind == "FOREIGN_KEY":
+            meets = " AND ".join(f"r.{b} = t.{a}" for a, b in zip(columns, ref_columns))
+            inner = f"SELECT {keys}, count(*) AS n FROM {t} t WHERE NOT EXISTS (SELECT 1 FROM {ref} r WHERE {meets}) GROUP BY {keys}"
+        else:
+            inner = f"SELECT {keys}, count(*) AS n FROM {t} GROUP BY {keys} HAVING count(*) > 1"
+        parts.append(
+            f"""SELECT '{name}' AS constraint_name, '{kind}' AS constraint_type, '{t}' AS table_name, '{",".join(columns)}' AS columns,
+                count(*) AS broken_keys, CAST(COALESCE(sum(n), 0) AS BIGINT) AS broken_rows, count(*) = 0 AS passed FROM ({inner})"""
+        )
+    return " UNION ALL ".join(parts)
+
+
+def constraints(spark):
+    names = [f.name for f in schemas.CONSTRAINTS.fields]
+    return local_frame(spark, [dict(zip(names, c)) for c in CONSTRAINTS], schemas.CONSTRAINTS)
+
+
+@query(constraints_sql())
+def chk_constraints(spark, sf_dir):
+    return flows.check_constraints(all_tables(spark, sf_dir), constraints(spark))
+
+
+@query(
+    """SELECT column_name, is_primary_key, is_foreign_key, nullable, row_count FROM (VALUES
+         ('o_orderkey', TRUE, FALSE, FALSE), ('o_custkey', FALSE, TRUE, TRUE), ('o_orderstatus', FALSE, FALSE, TRUE),
+         ('o_totalprice', FALSE, FALSE, TRUE), ('o_orderdate', FALSE, FALSE, TRUE), ('o_orderpriority', FALSE, FALSE, TRUE))
+         AS v(column_name, is_primary_key, is_foreign_key, nullable), (SELECT count(*) AS row_count FROM orders)"""
+)
+def profile_with_constraints(spark, sf_dir):
+    orders = {"orders": table(spark, sf_dir, "orders")}
+    return flows.profile_with_constraints(orders, constraints(spark), approx=True).select(
+        "column_name", "is_primary_key", "is_foreign_key", "nullable", "row_count"
+    )
