@@ -58,8 +58,9 @@ def matches(proposed: DataFrame, expected: DataFrame) -> DataFrame:
     Both sides are reduced to their distinct variants before they meet, so repeated proposals
     cost nothing; what is left to compare is what was written down for one column.
     """
-    mine = _variants(proposed.select("table_name", "rule_id", "rule_type", "target_columns", "params"))
-    theirs = _variants(expected.select("table_name", "expected_index", "rule_type", "target_columns", "params"))
+    shared = ["table_name", "rule_type", "target_columns", "params"]
+    mine = _variants(proposed.select("rule_id", *shared))
+    theirs = _variants(expected.select("expected_index", *shared))
     left = mine.groupBy("variant", *VARIANT).agg(F.count(F.lit(1)).alias("n")).alias("p")
     right = theirs.groupBy(*VARIANT).agg(F.min("expected_index").alias("expected_index")).alias("e")
     allowed, wanted = F.col("p.allowed"), F.col("e.allowed")
@@ -117,8 +118,9 @@ def rule_scores(
         .withColumn("precision", _share(F.col("true_positives"), F.col("generated"), digits))
         .withColumn("recall", _share(F.col("found_expected"), F.col("expected"), digits))
     )
-    total = F.col("precision") + F.col("recall")
-    f1 = F.when(total > 0, F.lit(2) * (F.col("precision") * F.col("recall")) / total).otherwise(F.lit(0.0))
+    precision, recall = F.col("precision"), F.col("recall")
+    total = precision + recall
+    f1 = F.when(total > 0, F.lit(2) * (precision * recall) / total).otherwise(F.lit(0.0))
     return joined.withColumn("f1", _rounded(f1, digits))
 
 
@@ -194,12 +196,13 @@ def expected_violations(tested: DataFrame) -> DataFrame:
     """EV-15: per defect row: expected but not detected, and detected beyond expectation."""
     want = F.coalesce("_expected_violations", F.array().cast("array<string>"))
     got = F.array_distinct("failed")
+    missed, extra = F.array_except(want, got), F.array_except(got, want)
     return tested.where(~valid_label()).select(
         "*",
-        F.array_sort(F.array_except(want, got)).alias("not_detected"),
-        F.array_sort(F.array_except(got, want)).alias("not_expected"),
-        (F.size(F.array_except(want, got)) == 0).alias("found_all"),
-        ((F.size(F.array_except(want, got)) == 0) & (F.size(F.array_except(got, want)) == 0)).alias("exact"),
+        F.array_sort(missed).alias("not_detected"),
+        F.array_sort(extra).alias("not_expected"),
+        (F.size(missed) == 0).alias("found_all"),
+        ((F.size(missed) == 0) & (F.size(extra) == 0)).alias("exact"),
     )
 
 
@@ -268,9 +271,10 @@ def safety(rules: DataFrame, profile: DataFrame, digits: int | None = None) -> D
     )
     total = F.col("total_rules")
     rate = lambda c: _rounded(numbers.ratio(F.col(c), total), digits)
+    covered, columns_ = F.col("covered_columns"), F.col("column_count")
     return filled.select(
         "*",
-        _share(F.col("covered_columns"), F.col("column_count"), 1 if digits else None).alias("coverage_pct"),
+        _share(covered, columns_, 1 if digits else None).alias("coverage_pct"),
         rate("invalid_columns").alias("invalid_column_rate"),
         rate("duplicates").alias("duplicate_rate"),
         rate("type_failures").alias("type_failure_rate"),
@@ -291,12 +295,14 @@ def full_evaluation(safety_: DataFrame, digits: int | None = None) -> DataFrame:
     rate = lambda c: _rounded(
         F.when(total > 0, F.sum(c) / total).otherwise(F.lit(0.0)), digits
     )
+    covered, columns = F.sum("covered_columns"), F.sum("column_count")
+    tables = F.greatest(F.lit(1), F.count(F.lit(1)))
     return safety_.agg(
         F.count(F.lit(1)).alias("tables"),
-        F.sum("column_count").alias("columns"),
+        columns.alias("columns"),
         total.alias("rules"),
-        _share(F.sum("covered_columns"), F.sum("column_count"), 2 if digits else None).alias("coverage_pct"),
-        _rounded(total / F.greatest(F.lit(1), F.count(F.lit(1))), 1 if digits else None).alias("rules_per_table"),
+        _share(covered, columns, 2 if digits else None).alias("coverage_pct"),
+        _rounded(total / tables, 1 if digits else None).alias("rules_per_table"),
         rate("invalid_columns").alias("invalid_column_rate"),
         rate("duplicates").alias("duplicate_rate"),
         rate("type_failures").alias("type_failure_rate"),

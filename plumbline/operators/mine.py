@@ -418,7 +418,8 @@ def conditional_support(
     which shrinks it to its distinct combinations before anything is paired or shuffled.
     """
     categories, dependents = list(categories), list(dependents)
-    combos = df.groupBy(*[column(c).cast("string").alias(f"c{i}") for i, c in enumerate(categories)]).agg(
+    values = [column(c).cast("string").alias(f"c{i}") for i, c in enumerate(categories)]
+    combos = df.groupBy(*values).agg(
         F.count(F.lit(1)).alias("n"),
         *[F.count(column(d)).alias(f"d{i}") for i, d in enumerate(dependents)],
     )
@@ -477,7 +478,6 @@ def conditional_rules(
     )
     # Values are listed for columns of few values only; those beyond give no value set.
     few = F.col("all_values") <= naming.MAX_SET_SIZE
-    no_top = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(None).cast("string").alias("then_value"))
     joined = (
         counted.join(F.broadcast(whole), ["if_column", "then_column"])
         .groupBy("if_column", "if_value", "then_column")
@@ -485,7 +485,7 @@ def conditional_rules(
             F.sum("n").alias("support"),
             F.coalesce(F.sum(F.when(present, F.col("n"))), F.lit(0)).alias("present"),
             F.array_sort(F.collect_list(F.when(present & few, F.col("then_value")))).alias("values"),
-            F.coalesce(F.max(F.when(present, F.struct("n", "then_value"))), no_top).alias("top"),
+            F.max(F.when(present, F.struct("n", "then_value"))).alias("top"),
             *[F.first(c).alias(c) for c in ("all_values", "all_nulls", "all_rows")],
         )
         .where(F.col("support") >= min_support)

@@ -154,7 +154,8 @@ def _simple_metrics(
         aggregates.append(f"count({v}) AS non_null_{i}")
         got = dict.fromkeys(MEASURES, "NULL")
         if cls in ("INTEGER", "NUMBER"):
-            for key, fn in (("min_num", "min"), ("max_num", "max"), ("mean", "avg"), ("stddev", "stddev")):
+            moments = {"min_num": "min", "max_num": "max", "mean": "avg", "stddev": "stddev"}
+            for key, fn in moments.items():
                 aggregates.append(f"CAST({fn}({number_of(field)}) AS double) AS {key}_{i}")
                 got[key] = f"{key}_{i}"
         elif cls in ("DATE", "DATETIME"):

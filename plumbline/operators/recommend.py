@@ -191,7 +191,10 @@ def between(profile: DataFrame) -> DataFrame:
         checks.BETWEEN,
         _column(),
         RANGE,
-        F.format_string("Values of '%s' lie between %s and %s.", F.col("column_name"), low.cast("string"), high.cast("string")),
+        F.format_string(
+            "Values of '%s' lie between %s and %s.",
+            "column_name", low.cast("string"), high.cast("string"),
+        ),
         params_=params(min_value=low, max_value=high),
         evidence_=evidence(
             min_observed=low, max_observed=high, total_rows=F.col("row_count")
@@ -205,9 +208,7 @@ def with_histograms(rules: DataFrame, histogram: DataFrame) -> DataFrame:
     ``histogram`` holds a few bins per column of one table.
     """
     bins = F.array_sort(F.collect_list(F.struct("bin", "label", "count", "percentage")))
-    shown = F.transform(
-        bins, lambda b: F.struct(b["label"].alias("label"), b["count"].alias("count"), b["percentage"].alias("percentage"))
-    )
+    shown = F.transform(bins, lambda b: b.dropFields("bin"))
     per_column = histogram.groupBy(F.array("column_name").alias("target_columns")).agg(
         F.to_json(shown).alias("_bins")
     )
@@ -280,7 +281,9 @@ def length(profile: DataFrame) -> DataFrame:
         checks.LENGTH,
         _column(),
         LENGTH,
-        F.format_string("Texts of '%s' have %d to %d characters.", "column_name", "min_length", "max_length"),
+        F.format_string(
+            "Texts of '%s' have %d to %d characters.", "column_name", "min_length", "max_length"
+        ),
         params_=params(min_length=low, max_length=high),
         evidence_=evidence(min_length=low, max_length=high, total_rows=F.col("row_count")),
     )

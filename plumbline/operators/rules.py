@@ -216,9 +216,9 @@ def _count_unique(df: DataFrame, rules: list[dict[str, Any]]) -> DataFrame:
         for r in rules
         for c in r["target_columns"]
     ]
-    asked = local_frame(
-        df.sparkSession, named, schemas.struct(rule_id=schemas.S, rule_type=schemas.S, column_name=schemas.S)
-    )
+    text = schemas.S
+    shape = schemas.struct(rule_id=text, rule_type=text, column_name=text)
+    asked = local_frame(df.sparkSession, named, shape)
     columns = sorted({r["column_name"] for r in named})
     summary = checks.unique_summary(df, columns)
     rows = df.agg(F.count(F.lit(1))).scalar()

@@ -157,7 +157,7 @@ def type_messages(rules: DataFrame, profile: DataFrame) -> DataFrame:
             ["table_name", "column_name"],
         )
         .where(needed.isNotNull())
-        .withColumn("message", F.concat(F.lit("Column "), F.col("column_name"), F.lit(" must be "), needed))
+        .withColumn("message", F.format_string("Column %s must be %s", "column_name", needed))
         .drop("type_class")
     )
     return _messages(used, unfit, on)
@@ -170,9 +170,9 @@ def conflicts(rules: DataFrame) -> DataFrame:
     exists exactly when the rule ends before the highest start in its group, or starts after
     the lowest end, so the extremes of each group replace the pairs.
     """
-    p = F.coalesce("edited_params", "params")
-    low = F.when(F.col("rule_type") == checks.LENGTH, p["min_length"].cast("double")).otherwise(p["min_value"])
-    high = F.when(F.col("rule_type") == checks.LENGTH, p["max_length"].cast("double")).otherwise(p["max_value"])
+    p, is_length = F.coalesce("edited_params", "params"), F.col("rule_type") == checks.LENGTH
+    low = F.when(is_length, p["min_length"].cast("double")).otherwise(p["min_value"])
+    high = F.when(is_length, p["max_length"].cast("double")).otherwise(p["max_value"])
     ranged = rules.where(
         F.col("rule_type").isin(checks.BETWEEN, checks.LENGTH, checks.ROW_COUNT)
     ).select(
