@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from plumbline.functions import numbers
 from plumbline.operators.predicates import all_of, any_of, column
 from plumbline.operators.profile import value_frequencies
-from plumbline.operators.skew import rows_of_keys, with_short_keys
+from plumbline.operators.skew import rows_of_keys, short_key, with_short_keys
 
 NOT_NULL = "columnValuesToBeNotNull"
 UNIQUE = "columnValuesToBeUnique"
@@ -152,8 +152,11 @@ def unique_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     no value at all has no row here.
     """
     n = F.col("n")
+    shaped = df.select(
+        *[short_key(column(c), df.schema[c].dataType).alias(c) for c in columns]
+    )
     return (
-        value_frequencies(df, columns, blank_is_null=False, digest=True)
+        value_frequencies(shaped, blank_is_null=False)
         .groupBy("column_name")
         .agg(
             F.sum(n).alias("applicable"),

@@ -160,6 +160,14 @@ def test_run_rules_on_all_kinds(spark, skewed):
     assert rule_ops.run_rules(df, []).collect() == []
 
 
+def test_unique_on_nested_values(spark):
+    df = spark.createDataFrame([([1, 2],), ([1, 2],), ([2, 1],), (None,)], "a array<int>")
+    rule = {"rule_id": "u", "rule_type": checks.UNIQUE, "target_columns": ["a"]}
+    row = rule_ops.run_rules(df, [rule]).first()
+    assert (row.rows, row.applicable, row.violations) == (4, 3, 2)
+    assert rule_ops.violating_rows(df, rule).count() == 2
+
+
 def test_rules_beyond_one_scan(spark):
     df = spark.range(100).selectExpr("id", "id % 7 AS v")
     rules = [
