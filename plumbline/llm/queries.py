@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate
+from plumbline.llm import decontaminate, repeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -72,3 +72,26 @@ def op2_decontaminate(spark, sf_dir):
         decontaminate.digest(F.col("items")).alias("items_sha256"),
         (hit > 0).alias("contaminated"),
     )
+
+
+@query(
+    r"""
+    WITH worded AS (
+      SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    wins AS (
+      SELECT doc_id, i, array_to_string(list_slice(w, i, i + 12), ' ') AS win
+      FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 12)) AS i FROM worded WHERE len(w) >= 13)),
+    first AS (SELECT win, min(doc_id) AS d FROM wins GROUP BY win),
+    gone AS (
+      SELECT DISTINCT doc_id, unnest(generate_series(i, i + 12)) AS p
+      FROM wins JOIN first USING (win) WHERE d < doc_id),
+    lists AS (SELECT doc_id, list(p) AS gone, count(*) AS n FROM gone GROUP BY doc_id)
+    SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed,
+           sha256(coalesce(array_to_string(CASE WHEN n IS NULL THEN w ELSE
+             list_filter(w, lambda x, i: NOT list_contains(gone, i)) END, ' '), '')) AS kept_sha256
+    FROM worded LEFT JOIN lists USING (doc_id)
+    """
+)
+def op6_repeated_windows(spark, sf_dir):
+    found = repeats.deduplicate(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
