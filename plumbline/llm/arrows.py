@@ -6,7 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Rows that a Python worker gathers before it works on them, in bytes of their texts.
@@ -76,6 +76,28 @@ def text_bytes(df: DataFrame, column: str) -> int:
     return df.agg(F.sum(F.octet_length(column))).first()[0] or 0
 
 
+# Rows of a small table, about 200 bytes each, that may be broadcast.
+BROADCAST_ROWS = 20_000
+SALTS = 32
+
+
+def beside(rows: DataFrame, side: DataFrame, key: str, n: int) -> DataFrame:
+    """Left join with a table of `n` rows that has each key once.
+
+    Broadcast while that is small; beyond, every hot key is spread over SALTS tasks.
+    """
+    if n <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(side), key, "left")
+    salted = side.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = rows.withColumn("salt", F.floor(F.rand(7) * SALTS).cast("int"))
+    return rows.join(salted, [key, "salt"], "left").drop("salt")
+
+
+def told_apart(*columns: Column) -> list[Column]:
+    """Columns that tell null from every value, for hashes."""
+    return [c for column in columns for c in (column.isNull(), column.cast("string"))]
+
+
 def free_name(taken: Sequence[str], wish: str) -> str:
     """A column name that is not taken, whatever the case of letters."""
     low = {t.lower() for t in taken}

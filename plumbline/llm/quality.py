@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm import words as W
-from plumbline.llm.arrows import checkpointed, quoted, shards, texts_of
+from plumbline.llm.arrows import beside, checkpointed, quoted, shards, texts_of, told_apart
 
 _SYMBOL = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", dtype=np.uint8))
 
@@ -96,9 +96,6 @@ LEAST_ROWS = 100
 # a tail of 4e-8 there.
 CUTOFF = 40.0
 STEPS = 4
-# Groups of which the estimates, about 200 bytes each, may be broadcast.
-BROADCAST_GROUPS = 20_000
-SALTS = 32
 
 # Transformed statistics are held in thousandths. Their scatter is not taken to be smaller than
 # these standard deviations, so that a group without any variation keeps what is merely unusual.
@@ -206,16 +203,6 @@ def _distance(values: list[Column]) -> Column:
     return F.greatest(sum(parts[1:], parts[0]), F.lit(0.0))
 
 
-def _beside(rows: DataFrame, estimates: DataFrame, n_groups: int) -> DataFrame:
-    """The rows with the estimates of their group, if it has any."""
-    if n_groups <= BROADCAST_GROUPS:
-        return rows.join(F.broadcast(estimates), "group", "left")
-    # a hot group is spread over SALTS tasks
-    salted = estimates.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = rows.withColumn("salt", F.floor(F.rand(7) * SALTS).cast("int"))
-    return rows.join(salted, ["group", "salt"], "left").drop("salt")
-
-
 class Rules:
     """Groups of a corpus and their estimates."""
 
@@ -226,29 +213,23 @@ class Rules:
         """The rows with base_failed and the squared distance, null where there is none."""
         s = F.col(quoted(statistics))
         rows = _grouped(rows, self.groups, self.n_groups, lang, source)
-        rows = _beside(rows, self.estimates, self.n_groups)
+        rows = beside(rows, self.estimates, "group", self.n_groups)
         near = F.when(~base_failed(s), _distance(vector(s)))
         return rows.withColumn(failed, base_failed(s)).withColumn(distance, near).drop("group", "n", "centre", "weight")
 
 
 def _grouped(rows: DataFrame, groups: DataFrame, n_groups: int, lang: str, source: str) -> DataFrame:
     """The rows with the number of their group."""
-    rows = rows.withColumn("lang_source", F.xxhash64(*_keys(F.col(quoted(lang)), F.col(quoted(source)))))
-    side = F.broadcast(groups) if n_groups <= BROADCAST_GROUPS else groups
-    return rows.join(side, "lang_source", "left").drop("lang_source")
-
-
-def _keys(*columns: Column) -> list[Column]:
-    """Columns that tell null from every value, for hashes."""
-    return [c for column in columns for c in (column.isNull(), column.cast("string"))]
+    key = F.xxhash64(*told_apart(F.col(quoted(lang)), F.col(quoted(source))))
+    return beside(rows.withColumn("lang_source", key), groups, "lang_source", n_groups).drop("lang_source")
 
 
 def fit(stats: DataFrame, lang: str, source: str, statistics: str, least_rows: int = LEAST_ROWS, cutoff: float = CUTOFF) -> Rules:
     """Estimates of every group from rows with a column of statistics, which are read several times."""
     s = F.col(quoted(statistics))
     rows = stats.where(~base_failed(s)).select(
-        F.xxhash64(*_keys(F.col(quoted(lang)), F.col(quoted(source)))).alias("lang_source"),
-        F.xxhash64(*_keys(F.col(quoted(lang)))).alias("lang"),
+        F.xxhash64(*told_apart(F.col(quoted(lang)), F.col(quoted(source)))).alias("lang_source"),
+        F.xxhash64(*told_apart(F.col(quoted(lang)))).alias("lang"),
         *vector(s),
     )
     sizes = checkpointed(rows.groupBy("lang_source", "lang").agg(F.count("*").alias("n")))
@@ -261,8 +242,7 @@ def fit(stats: DataFrame, lang: str, source: str, statistics: str, least_rows: i
         .otherwise(F.lit(3).cast("bigint"))
     )
     groups = checkpointed(sizes.join(pooled, "lang", "left").select("lang_source", group.alias("group")))
-    side = F.broadcast(groups) if n_groups <= BROADCAST_GROUPS else groups
-    rows = checkpointed(rows.join(side, "lang_source").select("group", *FEATURES))
+    rows = checkpointed(beside(rows, groups, "lang_source", n_groups).select("group", *FEATURES))
     places = F.array(*(F.struct(F.lit(k).alias("feature"), F.floor(F.col(c) / _BIN).alias("place")) for k, c in enumerate(FEATURES)))
     estimates = checkpointed(
         rows.select("group", F.explode(places).alias("p"))
@@ -274,9 +254,9 @@ def fit(stats: DataFrame, lang: str, source: str, statistics: str, least_rows: i
     )
     columns = [F.col(c) for c in FEATURES]
     for _ in range(STEPS):
-        beside = _beside(rows, estimates, n_groups).where("n is not null")
+        near = beside(rows, estimates, "group", n_groups).where("n is not null")
         place = F.least(F.floor(16 * F.log2(1 + _distance(columns))), F.lit(400)).alias("place")
-        binned = beside.select("group", place, *FEATURES).groupBy("group", "place").agg(
+        binned = near.select("group", place, *FEATURES).groupBy("group", "place").agg(
             F.count("*").alias("count"),
             *(F.sum(c).alias(f"s{i}") for i, c in enumerate(FEATURES)),
             *(F.sum(columns[i] * columns[j]).alias(f"s{i}{j}") for i, j in _PAIRS),
