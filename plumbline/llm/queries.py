@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, minhash, mixture, quality, repeats
+from plumbline.llm import decontaminate, minhash, mixture, quality, repeats, templates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -113,3 +113,56 @@ def op4_quality_outliers(spark, sf_dir):
 @query()
 def op3_mixture(spark, sf_dir):
     return mixture.mixture(table(spark, sf_dir, "documents")).drop("copies")
+
+
+@query(
+    r"""
+    WITH raw AS (
+      SELECT doc_id, text, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL),
+    lines AS (
+      SELECT doc_id, CAST(number AS INTEGER) AS number,
+             list_transform(regexp_extract_all(line, '[^\x20\x09-\x0D]+'),
+               lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS w
+      FROM (SELECT doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) - 1 AS number FROM raw)),
+    around AS (
+      SELECT doc_id, number, w,
+             lag(w) OVER d AS before, lead(w) OVER d AS after, list_slice(w, 1, 3) AS lead3
+      FROM lines WINDOW d AS (PARTITION BY doc_id ORDER BY number)),
+    deep AS (SELECT * FROM around WHERE len(w) > 3),
+    counted AS (
+      SELECT len(w) AS n, lead3, w, count(*) AS c, min((doc_id, number)) AS first FROM deep GROUP BY ALL),
+    leaves AS (
+      SELECT n, lead3, arg_min(w, (-c, first)) AS seed FROM counted GROUP BY ALL
+      HAVING count(*) > 1 AND sum(c) >= 5),
+    mapped AS (
+      SELECT w, CASE WHEN len(list_filter(list_zip(w, seed), lambda p: p[1] = p[2])) / len(w) >= 0.6
+                     THEN seed ELSE w END AS template
+      FROM counted JOIN leaves USING (n, lead3)),
+    placed AS (
+      SELECT doc_id, number, coalesce(template, deep.w) AS template, before, after
+      FROM deep LEFT JOIN mapped USING (w)),
+    one AS (
+      SELECT template, doc_id, arg_min((before, after), number) AS around
+      FROM placed GROUP BY ALL),
+    ringed AS (SELECT template, around, count(*) AS n FROM one GROUP BY ALL),
+    found AS (
+      SELECT template FROM ringed GROUP BY ALL
+      HAVING sum(n) >= 5 AND count(*) >= 5 AND 2 * max(n) <= sum(n)),
+    gone AS (SELECT doc_id, list(number) AS gone FROM placed SEMI JOIN found USING (template) GROUP BY doc_id)
+    SELECT documents.doc_id, CAST(coalesce(len(parts), 0) AS BIGINT) AS n_lines,
+           CAST(coalesce(len(gone), 0) AS BIGINT) AS n_dropped,
+           sha256(array_to_string(CASE WHEN gone IS NULL THEN parts ELSE
+             list_filter(parts, lambda x, i: NOT list_contains(gone, i - 1)) END, chr(10))) AS kept_sha256
+    FROM documents LEFT JOIN raw USING (doc_id) LEFT JOIN gone ON gone.doc_id = documents.doc_id
+    """
+)
+def op9_line_templates(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("text").alias("whole"))
+    found = templates.drop_lines(docs, dropped="dropped")
+    lines = F.coalesce(F.length("whole") - F.length(F.replace(F.col("whole"), F.lit("\n"), F.lit(""))) + 1, F.lit(0))
+    return found.select(
+        "doc_id",
+        lines.cast("bigint").alias("n_lines"),
+        F.size("dropped").cast("bigint").alias("n_dropped"),
+        F.sha2("text", 256).alias("kept_sha256"),
+    )
