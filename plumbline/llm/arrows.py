@@ -98,6 +98,12 @@ def told_apart(*columns: Column) -> list[Column]:
     return [c for column in columns for c in (column.isNull(), column.cast("string"))]
 
 
+def keyed(docs: DataFrame, id: str, text: str) -> DataFrame:
+    """The rows with two hashes, k1 and k2, that name a document by its id and text."""
+    k1, k2 = F.xxhash64(*told_apart(F.col(id))), F.xxhash64(F.col(text))
+    return docs.withColumn("k1", k1).withColumn("k2", k2)
+
+
 def free_name(taken: Sequence[str], wish: str) -> str:
     """A column name that is not taken, whatever the case of letters."""
     low = {t.lower() for t in taken}

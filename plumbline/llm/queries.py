@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, minhash, mixture, quality, repeats, templates
+from plumbline.llm import decontaminate, minhash, mixture, quality, repeats, secrets, templates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -166,3 +166,50 @@ def op9_line_templates(spark, sf_dir):
         F.size("dropped").cast("bigint").alias("n_dropped"),
         F.sha2("text", 256).alias("kept_sha256"),
     )
+
+
+def _secrets_sql() -> str:
+    """Spans from the texts between matches and the matches, rule by rule."""
+    parts = []
+    for n, rule in enumerate(secrets.RULES):
+        regex = rule.regex.replace("'", "''")
+        parts.append(
+            f"""SELECT doc_id, {n} AS rule, '{rule.kind}' AS kind, {rule.least} AS least,
+                   string_split_regex(text, '{regex}') AS gaps,
+                   regexp_extract_all(text, '{regex}') AS found,
+                   regexp_extract_all(text, '{regex}', {rule.group}) AS held
+                FROM documents WHERE regexp_matches(text, '{regex}')"""
+        )
+    return f"""
+    WITH hits AS ({" UNION ALL ".join(parts)}),
+    placed AS (
+      SELECT doc_id, rule, kind, least, found[i] AS m, held[i] AS g,
+             CAST(list_sum(list_transform(gaps[1:i], lambda x: length(x)))
+               + coalesce(list_sum(list_transform(found[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS start
+      FROM (SELECT *, unnest(generate_series(1, len(found))) AS i FROM hits)),
+    spans AS (
+      SELECT doc_id, rule, start, kind || ':' || start || ':' || (start + length(m)) AS span
+      FROM placed WHERE length(g) >= least),
+    lists AS (
+      SELECT doc_id, count(*) FILTER (rule = 0) AS n_assign, count(*) FILTER (rule = 1) AS n_access,
+             count(*) FILTER (rule = 2) AS n_hex,
+             string_agg(span, ',' ORDER BY start, rule) FILTER (rule < 3) AS base,
+             string_agg(span, ',' ORDER BY start, rule) AS spans
+      FROM spans GROUP BY doc_id)
+    SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access,
+           coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+    FROM documents LEFT JOIN lists USING (doc_id)
+    """
+
+
+@query(_secrets_sql())
+def op10_secrets(spark, sf_dir):
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint")
+    base = F.filter("spans", lambda s: s["rule"] < len(secrets.BASE))
+    return found.select(
+        "doc_id",
+        *(of(rule.kind).alias(f"n_{rule.kind}") for rule in secrets.BASE),
+        F.sha2(secrets.joined(base), 256).alias("base_sha256"),
+        secrets.joined(F.col("spans")).alias("spans"),
+    )

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.arrows import beside, checkpointed, quoted, told_apart
+from plumbline.llm.arrows import beside, checkpointed, keyed, told_apart
 
 DEPTH = 3
 LEAST_DOCS = 5
@@ -119,11 +119,6 @@ def recurring(
     return placed, checkpointed(found)
 
 
-def _keyed(docs: DataFrame, id: str, text: str) -> DataFrame:
-    """The rows with two hashes that name a document."""
-    return docs.withColumn("k1", F.xxhash64(*told_apart(F.col(id)))).withColumn("k2", F.xxhash64(F.col(text)))
-
-
 def drop_lines(
     docs: DataFrame,
     id: str = "doc_id",
@@ -139,7 +134,7 @@ def drop_lines(
     """
     inner = [f"c{i}" for i in range(len(docs.columns))]
     of = dict(zip(docs.columns, inner))
-    rows = _keyed(docs.toDF(*inner), of[id], of[text])
+    rows = keyed(docs.toDF(*inner), of[id], of[text])
     slim = rows.select(F.col(of[id]).alias("id"), F.col(of[text]).alias("text"), "k1", "k2")
     placed, found = recurring(slim, depth, least_docs, similarity)
     hit = beside(placed, found.select("template", F.lit(True).alias("hit")), "template", found.count()).where("hit")
