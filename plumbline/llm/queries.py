@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, minhash, mixture, quality, repeats, secrets, templates
+from plumbline.llm import decontaminate, minhash, mixture, pages, quality, repeats, secrets, templates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -213,3 +213,22 @@ def op10_secrets(spark, sf_dir):
         F.sha2(secrets.joined(base), 256).alias("base_sha256"),
         secrets.joined(F.col("spans")).alias("spans"),
     )
+
+
+@query(
+    r"""
+    WITH cut AS (
+      SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article>(.*?)</article>', 1, 's') AS body FROM pages),
+    blocks AS (
+      SELECT page_id, url, list_filter(list_transform(string_split_regex(body, '</?(?:p|h1)>'),
+        lambda b: trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(
+          regexp_replace(b, '<[^>]*>', ' ', 'g'), '&#x27;', ''''), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'),
+          '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))), lambda b: b <> '') AS b
+      FROM cut)
+    SELECT page_id, url, coalesce(array_to_string(b, chr(10) || chr(10)), '') AS text,
+           CAST(coalesce(length(array_to_string(b, chr(10) || chr(10))), 0) AS BIGINT) AS n_chars
+    FROM blocks
+    """
+)
+def op8_main_text(spark, sf_dir):
+    return pages.extract(table(spark, sf_dir, "pages"))
