@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, minhash, mixture, pages, quality, repeats, secrets, templates
+from plumbline.llm import decontaminate, minhash, mixture, pages, quality, repeats, secrets, templates, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -232,3 +232,8 @@ def op10_secrets(spark, sf_dir):
 )
 def op8_main_text(spark, sf_dir):
     return pages.extract(table(spark, sf_dir, "pages"))
+
+
+@query()
+def op1_token_counts(spark, sf_dir):
+    return tokens.token_counts(table(spark, sf_dir, "documents"))
