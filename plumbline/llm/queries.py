@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, minhash, mixture, pages, quality, repeats, secrets, templates, tokens
+from plumbline.llm import decontaminate, lm, minhash, mixture, pages, quality, repeats, secrets, templates, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -237,3 +237,9 @@ def op8_main_text(spark, sf_dir):
 @query()
 def op1_token_counts(spark, sf_dir):
     return tokens.token_counts(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op5_pseudo_likelihood(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return lm.score(docs, lm.train(docs))
