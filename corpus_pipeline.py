@@ -1,22 +1,53 @@
-"""A corpus from raw documents: each stage keeps, cleans or weighs what the one before kept."""
+"""A corpus from raw documents: each stage keeps, cleans or weighs what the one before kept.
+
+Every stage takes any documents with the columns of the table, and gives them back with the same
+columns; the last one adds how often each is taken. Null and empty texts fail the quality rules.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate
+from plumbline.llm import decontaminate, minhash, mixture, quality, templates
 from plumbline.llm.queries import table
 
 
-def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the fixed limits and are no outliers of their language and source."""
+    return quality.keep_good(docs)
+
+
+def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that recur in many unlike documents."""
+    cleaned = templates.drop_lines(docs)
+    return cleaned.withColumn("n_chars", F.char_length("text").cast("bigint")).select(docs.columns)
+
+
+def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return minhash.keep_one(docs).select(docs.columns)
+
+
+def without_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no window of the benchmark occurs."""
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the mixture takes, with the number of copies."""
+    return mixture.mix(docs)
+
+
 STAGES = [
-    ("benchmark decontamination", drop_benchmark_passages),
+    ("quality rules", good_documents),
+    ("line dedup", without_repeated_lines),
+    ("MinHash near-dedup", without_near_duplicates),
+    ("benchmark decontamination", without_benchmark_passages),
+    ("mixing sources to target weights", mixed),
 ]
 
-# The stages run numeric code that SQL cannot express.
+# Robust estimates, MinHash components and the cube method are not expressed in SQL.
 ORACLE_SQL = None
 
 
