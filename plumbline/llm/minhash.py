@@ -6,9 +6,11 @@
 3. In each bucket of a band, the smallest class is compared with all others. A pair goes on when
    the share of equal low bits, counted on the planes and corrected for chance, does not exclude
    the threshold; pairs are then confirmed on their full sets of shingles.
-4. Links give components. Pairs of a bucket whose classes are not yet in one component are
-   compared in the same way: in one task where the bucket is small, else with one more class of
-   the bucket in each round. Pairs within a component need no comparison.
+4. Links give components. In buckets whose classes are not all in one component, classes of
+   different components are compared on their full sets, in one task where the bucket is small,
+   else in blocks of which each pair is a task. It returns only links that join components, so
+   that no pairs are listed, however many near copies a bucket holds. Pairs within a component
+   need no comparison.
 
 Two documents at a similarity of 0.85 share no bucket with a probability of 4e-7, and are put
 aside by their low bits, six standard deviations off, with one of about 1e-9; above 0.85 both fall.
@@ -39,7 +41,8 @@ BANDS, ROWS = 25, 5
 MINIMA = 128
 BITS = 4
 DEVIATIONS = 6
-SMALL_BUCKET = 1024
+BLOCK_SHINGLES = 4 << 20  # in a task that compares classes of one bucket
+COMMON = 16  # classes of a bucket beyond which a shingle is kept in a bit map
 
 # Odd multipliers, one for each hash function.
 _FACTORS = W.mixed(np.arange(1, MINIMA + 1, dtype=np.uint64)) | np.uint64(1)
@@ -177,19 +180,49 @@ def _confirmed(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.R
         yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
 
-def _across(table: pa.Table, least: float) -> pa.Table:
-    """Pairs of a bucket that are in two components and that the low bits do not exclude."""
+def _joining(table: pa.Table, percent: int) -> pa.Table:
+    """Links between the components of a bucket that join them, on full sets.
+
+    The shingles two classes share are counted exactly: those that many classes of the bucket have
+    on bit maps, the others from their short lists of classes.
+    """
     rep = table.column("rep").to_numpy()
-    label = table.column("label").to_numpy()
-    bits = _matrix(table.column("bits").combine_chunks())
-    left, right = [], []
-    for i in range(len(rep) - 1):
-        other = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
-        near = other[estimate(bits[other], bits[i]) >= least] if len(other) else other
-        left.append(np.full(len(near), rep[i]))
-        right.append(rep[near])
-    a, b = np.concatenate(left), np.concatenate(right)
-    return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+    part = table.column("label").to_numpy().copy()
+    sets = [np.frombuffer(s, np.uint64) for s in table.column("set").to_pylist()]
+    n = np.array([len(s) for s in sets])
+    m = len(rep)
+    owner = np.repeat(np.arange(m), n)
+    _, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    common = np.flatnonzero(count > COMMON)
+    bits = np.zeros((m, len(common)), dtype=bool)
+    many = count[place] > COMMON
+    bits[owner[many], np.searchsorted(common, place[many])] = True
+    bits = np.packbits(bits, axis=1)
+    few = np.flatnonzero(~many & (count[place] > 1))
+    few = few[np.argsort(place[few], kind="stable")]
+    keys = []
+    for step in range(1, COMMON):
+        a, b = few[:-step], few[step:]
+        same = place[a] == place[b]
+        keys.append(owner[a[same]] * m + owner[b[same]])
+    pair, shared = np.unique(np.concatenate(keys), return_counts=True)
+    bounds = np.searchsorted(pair, np.arange(m + 1) * m)
+    links = []
+    for i in range(m - 1):
+        other = np.flatnonzero(part[i + 1 :] != part[i]) + i + 1
+        if not len(other):
+            continue
+        both = np.zeros(m, dtype=np.int64)
+        own = slice(bounds[i], bounds[i + 1])
+        both[pair[own] - i * m] = shared[own]
+        both = both[other] + np.bitwise_count(bits[other] & bits[i]).sum(axis=1)
+        for j in other[100 * both >= percent * (n[i] + n[other] - both)]:
+            if part[j] != part[i]:
+                links.append((rep[i], rep[j]))
+                part[part == part[j]] = part[i]
+    return pa.table(
+        {"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())}
+    )
 
 
 def near_duplicates(
@@ -198,7 +231,7 @@ def near_duplicates(
     size: int = SHINGLE,
     id: str = "doc_id",
     text: str = "text",
-    small_bucket: int = SMALL_BUCKET,
+    block_shingles: int = BLOCK_SHINGLES,
 ) -> DataFrame:
     """A row per document: id, n_shingles, component_id, kept. Ids are integers."""
     least = least_estimate(percent / 100)
@@ -212,65 +245,66 @@ def near_duplicates(
     classes = checkpointed(
         signed.where("n > 0 and id is not null")
         .groupBy("digest")
-        .agg(F.min("id").alias("rep"), F.first("bits").alias("bits"), F.first("bands").alias("bands"))
+        .agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("bands").alias("bands"))
     )
     banded = classes.select("rep", F.explode("bands").alias("key"))
     buckets = checkpointed(banded.groupBy("key").agg(F.min("rep").alias("pivot"), F.count("*").alias("n")).where("n > 1").drop("n"))
     # members of buckets other than the class that all are compared with
     members = checkpointed(banded.join(buckets, "key").where("rep <> pivot"))
-    signatures = classes.select("rep", "bits")
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) that are links, confirmed on full sets."""
-        ends = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-        sets = rows.join(ends, "id", "left_semi").mapInArrow(lambda b: _sets(b, size), "id bigint, set binary")
-        sets = checkpointed(sets)
-        both = (
-            pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
-            .join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
-            .select("a", "b", "set_a", "set_b")
-        )
-        return both.mapInArrow(lambda b: _confirmed(b, percent), "a bigint, b bigint").distinct()
+    signatures = classes.select("rep", "bits", "n")
+
+    def sets_of(ends: DataFrame) -> DataFrame:
+        """The full sets of the classes in a column id."""
+        own = rows.join(ends.distinct(), "id", "left_semi")
+        return checkpointed(own.mapInArrow(lambda b: _sets(b, size), "id bigint, set binary"))
+
+    pairs = (
+        members.select(F.col("pivot").alias("a"), F.col("rep").alias("b"))
+        .distinct()
+        .join(signatures.select(F.col("rep").alias("a"), F.col("bits").alias("bits_a")), "a")
+        .join(signatures.select(F.col("rep").alias("b"), F.col("bits").alias("bits_b")), "b")
+        .select("a", "b", "bits_a", "bits_b")
+    )
+    pairs = checkpointed(pairs.mapInArrow(lambda b: _likely(b, least), "a bigint, b bigint"))
+    sets = sets_of(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))))
+    pairs = (
+        pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
+        .join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
+        .select("a", "b", "set_a", "set_b")
+    )
+    links = checkpointed(pairs.mapInArrow(lambda b: _confirmed(b, percent), "a bigint, b bigint"))
+    labels = components(links)
 
-    def likely(pairs: DataFrame) -> DataFrame:
-        both = (
-            pairs.join(signatures.select(F.col("rep").alias("a"), F.col("bits").alias("bits_a")), "a")
-            .join(signatures.select(F.col("rep").alias("b"), F.col("bits").alias("bits_b")), "b")
-            .select("a", "b", "bits_a", "bits_b")
-        )
-        return checkpointed(both.mapInArrow(lambda b: _likely(b, least), "a bigint, b bigint").distinct())
-
-    pairs = members.select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
-    links = checkpointed(linked(likely(pairs)))
-    while True:
-        labels = components(links)
-        placed = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
-            "key", "rep", F.coalesce("component", "rep").alias("label")
-        )
-        open_buckets = checkpointed(
-            placed.groupBy("key")
-            .agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n"), F.min("rep").alias("pivot"))
-            .where("low < high")
-            .select("key", "n", "pivot")
-        )
-        if open_buckets.isEmpty():
-            break
-        mixed = checkpointed(placed.join(open_buckets, "key"))
-        few = (
-            mixed.where(F.col("n") <= small_bucket)
-            .join(signatures, "rep")
-            .groupBy("key")
-            .applyInArrow(lambda t: _across(t, least), "a bigint, b bigint")
-        )
-        star = mixed.where((F.col("n") > small_bucket) & (F.col("rep") != F.col("pivot"))).select(
-            F.col("pivot").alias("a"), F.col("rep").alias("b")
-        )
-        found = linked(checkpointed(few.distinct()).union(likely(star.distinct())))
-        links = checkpointed(links.union(found))
-        # small buckets are done; large ones go on without the class that was compared
-        members = checkpointed(
-            mixed.where((F.col("n") > small_bucket) & (F.col("rep") != F.col("pivot"))).select("key", "rep", "pivot")
-        )
+    placed = checkpointed(
+        members.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+        .join(signatures.select("rep", "n"), "rep")
+        .select("key", "rep", "n", F.coalesce("component", "rep").alias("label"))
+    )
+    blocks = F.ceil(2 * F.sum("n") / F.lit(block_shingles)).cast("int")
+    unjoined = checkpointed(
+        placed.groupBy("key")
+        .agg(F.min("label").alias("low"), F.max("label").alias("high"), F.when(F.sum("n") > block_shingles, blocks).otherwise(1).alias("blocks"))
+        .where("low < high")
+        .select("key", "blocks")
+    )
+    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    dealt = (
+        placed.join(unjoined, "key")
+        .withColumn("own", own)
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .where("blocks = 1 or own <> other")
+        .select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "rep", "label")
+    )
+    dealt = checkpointed(dealt)
+    sets = sets_of(dealt.select(F.col("rep").alias("id"))).withColumnRenamed("id", "rep")
+    joining = (
+        dealt.join(sets, "rep")
+        .groupBy("key", "x", "y")
+        .applyInArrow(lambda t: _joining(t.select(["rep", "label", "set"]), percent), "a bigint, b bigint")
+    )
+    joining = checkpointed(joining.distinct())
+    if not joining.isEmpty():
+        labels = components(links.union(joining))
     named = classes.select("digest", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     named = checkpointed(named.select("digest", F.coalesce("component", "rep").alias("component")))
     out = signed.select("id", "n", "digest").join(named, "digest", "left")
