@@ -19,7 +19,7 @@ Words: A-Z lower-cased, then maximal runs of characters other than space and \\x
 is 5 consecutive words, or all words of a text that has fewer.
 
 Defined cases: texts without words, and null, have no shingles and are linked with nothing. Rows
-with a null id are linked with nothing and stay. Rows with the same id are one document, so they
+with a null id are linked with nothing, have no component and stay. Rows with the same id are one document, so they
 stay or go together. Further columns are ignored.
 """
 
@@ -308,11 +308,12 @@ def near_duplicates(
     named = classes.select("digest", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     named = checkpointed(named.select("digest", F.coalesce("component", "rep").alias("component")))
     out = signed.select("id", "n", "digest").join(named, "digest", "left")
+    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return out.select(
         F.col("id").alias(id),
         F.col("n").alias("n_shingles"),
-        F.coalesce("component", "id").alias("component_id"),
-        F.coalesce(F.col("id") == F.coalesce("component", "id"), F.lit(True)).alias("kept"),
+        component.alias("component_id"),
+        F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"),
     )
 
 
