@@ -214,7 +214,7 @@ class Rules:
         s = F.col(quoted(statistics))
         rows = _grouped(rows, self.groups, self.n_groups, lang, source)
         rows = beside(rows, self.estimates, "group", self.n_groups)
-        near = F.when(~base_failed(s), _distance(vector(s)))
+        near = F.when(~base_failed(s) & F.col("centre").isNotNull(), _distance(vector(s)))
         return rows.withColumn(failed, base_failed(s)).withColumn(distance, near).drop("group", "n", "centre", "weight")
 
 
