@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.arrows import beside, checkpointed, quoted, told_apart
+from plumbline.llm.arrows import beside, checkpointed, free_name, quoted, told_apart
 
 WEIGHTS = (1, 2, 3)
 MOST = 3  # times that a source, and so a document, may be taken
@@ -83,9 +83,10 @@ def _step(chance: np.ndarray, way: np.ndarray, draw: float) -> np.ndarray:
 def flight(size: np.ndarray, chance: np.ndarray, draw: np.ndarray, land: bool) -> np.ndarray:
     """Chances of documents, longest first, moved to 0 or 1: all but a few, or all when they land.
 
-    Every move of the flight keeps the sum of chances and the sum of chance * size.
+    The numbers in `draw`, one for each document, seed the random moves. Every move of the flight keeps the sum of chances and the sum of chance * size.
     """
     chance = np.where(chance < _NEAR, 0.0, np.where(chance > 1 - _NEAR, 1.0, chance))
+    chances = np.random.default_rng((draw * (1 << 40)).astype(np.uint64))
     stuck = []
     while True:
         held = np.flatnonzero((chance > 0) & (chance < 1))
@@ -103,12 +104,12 @@ def flight(size: np.ndarray, chance: np.ndarray, draw: np.ndarray, land: bool) -
         else:  # nothing among the rest makes up for its words
             stuck.append(first)
             continue
-        chance[held] = _step(chance[held], way, float(draw[first]))
+        chance[held] = _step(chance[held], way, chances.random())
     if land:
         held = np.flatnonzero((chance > 0) & (chance < 1))
         while len(held) > _LANDING:
             pair = held[:2]
-            chance[pair] = _step(chance[pair], np.array([1.0, -1.0]), float(draw[pair[0]]))
+            chance[pair] = _step(chance[pair], np.array([1.0, -1.0]), chances.random())
             held = held[(chance[held] > 0) & (chance[held] < 1)]
         ways = (np.arange(1 << len(held))[:, None] >> np.arange(len(held))) & 1
         off = ways - chance[held]
@@ -220,4 +221,4 @@ def mix(
     taken = taken.select(key("id"), "mark", "copies").select("key", "mark", "copies", number("copies"))
     rows = rows.select("*", key(of[id]), mark).select("*", number("key"))
     joined = rows.join(taken, ["key", "mark", "number"]).where("copies > 0")
-    return joined.select(*inner, "copies").toDF(*docs.columns, copies)
+    return joined.select(*inner, "copies").toDF(*docs.columns, free_name(docs.columns, copies))
