@@ -11,8 +11,6 @@ from pyspark.sql import types as T
 
 # --- Fixed values: keyword lists and limits that decide which rules are proposed. ---
 
-NUMERIC_TYPE_WORDS = ["INT", "NUMERIC", "DECIMAL", "FLOAT", "DOUBLE", "NUMBER"]
-TEMPORAL_TYPE_WORDS = ["DATE", "TIME", "TIMESTAMP", "YEAR"]
 STRING_TYPE_WORDS = ["VARCHAR", "CHAR", "TEXT", "STRING"]
 
 TEMPORAL_NAME_WORDS = ["date", "time", "timestamp", "birth", "death", "dob", "_at"]
@@ -73,10 +71,6 @@ def name_has(name: Column, words: Iterable[str]) -> Column:
     return has_any(F.lower(name), words)
 
 
-def type_has(type_text: Column, words: Iterable[str]) -> Column:
-    return has_any(F.upper(type_text), words)
-
-
 def is_pii_name(name: Column) -> Column:
     """FN-2: a column whose name says it holds personal data."""
     return name_has(name, PII_WORDS)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.functions import numbers
-from plumbline.operators.predicates import all_of, any_of, column
+from plumbline.operators.predicates import RuleError, all_of, any_of, column
 from plumbline.operators.profile import value_frequencies
 from plumbline.operators.skew import rows_of_keys, short_key, with_short_keys
 
@@ -43,9 +43,9 @@ def outside(value: Column, low, high) -> Column:
     """Beyond a bound; bounds are inclusive and either may be left out."""
     tests = []
     if low is not None:
-        tests.append(value < F.lit(low))
+        tests.append(value < (low if isinstance(low, Column) else F.lit(low)))
     if high is not None:
-        tests.append(value > F.lit(high))
+        tests.append(value > (high if isinstance(high, Column) else F.lit(high)))
     return any_of(tests)
 
 
@@ -62,7 +62,17 @@ def null_violation(name: str, data_type: T.DataType) -> Column:
 
 
 def between_violation(name: str, data_type: T.DataType, low=None, high=None) -> Column:
-    """CHK-3: a number beyond the bounds; null, NaN and text that is no number pass."""
+    """CHK-3: a number beyond the bounds; null, NaN and text that is no number pass.
+
+    Dates and times take bounds that are dates, times or their text.
+    """
+    if isinstance(data_type, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        bounds = []
+        for bound in (low, high):
+            if isinstance(bound, (int, float)):
+                raise RuleError(f"Bounds of {name} must be dates or times, not numbers")
+            bounds.append(None if bound is None else F.lit(bound).cast(data_type))
+        return outside(column(name), *bounds)
     low = None if low is None else float(low)
     high = None if high is None else float(high)
     bounds = [b for b in (low, high) if b is not None]

@@ -203,20 +203,25 @@ def arithmetic_support(
 ) -> DataFrame:
     """REC-13: for every t, {a, b}: rows with t = a + b and with t = a * b, in one scan.
 
-    Differences and quotients are the same equations read from another column.
+    Differences and quotients are the same equations read from another column. Rows on which
+    the arithmetic overflows support nothing.
     """
     items = []
     for t in columns:
         for a, b in combinations([c for c in columns if c != t], 2):
-            for name, value in (("ADD", column(a) + column(b)), ("MULTIPLY", column(a) * column(b))):
-                gap = F.abs(column(t) - value)
+            for name, value in (
+                ("ADD", F.try_add(column(a), column(b))),
+                ("MULTIPLY", F.try_multiply(column(a), column(b))),
+            ):
+                gap = F.try_subtract(column(t), value)
+                near = (gap <= F.lit(float(tolerance))) & (gap >= F.lit(-float(tolerance)))
                 items.append(
                     {
                         "=target": F.lit(t),
                         "=a": F.lit(a),
                         "=b": F.lit(b),
                         "=operator": F.lit(name),
-                        "holds": F.count_if(gap <= F.lit(float(tolerance))),
+                        "holds": F.count_if(near),
                         "support": F.count(gap),
                     }
                 )
@@ -230,23 +235,78 @@ def seconds_between(start: Column, end: Column) -> Column:
 def duration_support(
     df: DataFrame, pairs: Sequence[Pair], quantile: float = 0.99, accuracy: int = 10000
 ) -> DataFrame:
-    """REC-11: shortest, longest and quantile of end - start in seconds, in one scan."""
+    """REC-11: shortest, longest and quantiles of end - start in seconds, in one scan.
+
+    ``usual`` is what most gaps do not exceed, ``least`` what most reach. Gaps below 0 are of the
+    wrong order and are counted apart, in ``reversed``.
+    """
     items = []
     for a, b in pairs:
-        gap = seconds_between(column(a), column(b))
+        whole = seconds_between(column(a), column(b))
+        gap = F.when(whole >= 0, whole)
         items.append(
             {
                 "=a": F.lit(a),
                 "=b": F.lit(b),
                 "shortest": F.min(gap),
                 "longest": F.max(gap),
+                "least": F.percentile_approx(gap, round(1 - quantile, 9), accuracy),
                 "usual": F.percentile_approx(gap, quantile, accuracy),
                 "support": F.count(gap),
+                "reversed": F.count_if(whole < 0),
             }
         )
     return _counters(df, items)
 
 
+# The largest unit of which a bound has at least so many is used.
+UNITS = (("DAY", 86400, 2), ("HOUR", 3600, 2), ("MINUTE", 60, 1))
+
+
+def _in_units(seconds: int, up: bool) -> tuple[int, str, int]:
+    """A number of seconds in a unit of rules: value, unit, seconds of the value."""
+    unit, size, _ = next(
+        ((u, s, n) for u, s, n in UNITS if seconds >= n * s), UNITS[-1]
+    )
+    value = -(-seconds // size) if up else seconds // size
+    return value, unit, value * size
+
+
+def duration_bounds(
+    df: DataFrame, pairs: Sequence[Pair], quantile: float = 0.99, accuracy: int = 10000
+) -> DataFrame:
+    """REC-11: upper and lower bounds of end - start, with the rows that hold them counted.
+
+    The quantiles of a first scan, a row per pair, give the bounds, rounded to whole days, hours
+    or minutes; a second scan counts the rows within each. Lower bounds of 0 are left out.
+    """
+    items = []
+    for r in duration_support(df, pairs, quantile, accuracy).collect():
+        whole = seconds_between(column(r["a"]), column(r["b"]))
+        gap = F.when(whole >= 0, whole)
+        for name, seconds, up in (("LTE", r["usual"], True), ("GTE", r["least"], False)):
+            if not seconds:
+                continue
+            value, unit, bound = _in_units(seconds, up)
+            if value:
+                items.append(
+                    {
+                        "=a": F.lit(r["a"]),
+                        "=b": F.lit(r["b"]),
+                        "=operator": F.lit(name),
+                        "=value": F.lit(float(value)),
+                        "=unit": F.lit(unit),
+                        "holds": F.count_if(gap <= bound if up else gap >= bound),
+                        "support": F.count(gap),
+                    }
+                )
+    if not items:
+        return df.sparkSession.createDataFrame(
+            [], "a string, b string, operator string, value double, unit string, holds bigint, support bigint"
+        )
+    return _counters(df, items)
+
+
 # Rules ------------------------------------------------------------------------------------
 
 
@@ -359,23 +419,23 @@ def duration_rules(
     df: DataFrame, table_name: str, pairs: Sequence[Pair], quantile: float = 0.99,
     accuracy: int = 10000,
 ) -> DataFrame:
-    """REC-11: end <= start + n days, n from the quantile of what is seen."""
-    found = duration_support(df, pairs, quantile, accuracy).where(
-        (F.col("support") > 0) & (F.col("usual") > 0)
-    )
-    days = F.ceil(F.col("usual") / 86400.0)
+    """REC-11: end at most, and at least, so many days, hours or minutes after start."""
     cond = condition(
         type="DURATION",
         start_column=F.col("a"),
         end_column=F.col("b"),
-        operator="LTE",
-        value=days.cast("double"),
-        unit="DAY",
+        operator=F.col("operator"),
+        value=F.col("value"),
+        unit=F.col("unit"),
     )
+    how = F.when(F.col("operator") == "LTE", "at most").otherwise("at least")
     return _mined(
-        found, table_name, "TEMPORAL", F.array("a", "b"), F.array(cond),
-        F.col("support") * F.lit(quantile),
-        F.format_string("%s comes within %d days of %s.", F.col("b"), days, F.col("a")),
+        duration_bounds(df, pairs, quantile, accuracy), table_name, "TEMPORAL",
+        F.array("a", "b"), F.array(cond), F.col("holds"),
+        F.format_string(
+            "%s comes %s %s %s after %s.", F.col("b"), how, F.col("value").cast("bigint"),
+            F.lower("unit"), F.col("a"),
+        ),
     )
 
 
@@ -463,11 +523,13 @@ def conditional_rules(
     categories: Sequence[str],
     dependents: Sequence[str] = (),
     min_confidence: float = 0.95,
-    min_support: int = SMALL_SUPPORT,
+    min_support: int = 1,
+    max_values: int = naming.MAX_SET_SIZE,
 ) -> DataFrame:
     """REC-14: IF category = value THEN other is null, is not null, equals or is in a set.
 
-    A consequence that holds for the whole column is no dependency and is left out.
+    Rules on few rows are warnings; ``min_support`` drops those on fewer. Sets are listed for
+    columns of up to ``max_values`` values. A consequence that holds for the whole column is no dependency and is left out.
     """
     counted = conditional_support(df, categories, dependents)
     present = F.col("then_value").isNotNull()
@@ -477,7 +539,7 @@ def conditional_rules(
         F.sum("n").alias("all_rows"),
     )
     # Values are listed for columns of few values only; those beyond give no value set.
-    few = F.col("all_values") <= naming.MAX_SET_SIZE
+    few = F.col("all_values") <= max_values
     joined = (
         counted.join(F.broadcast(whole), ["if_column", "then_column"])
         .groupBy("if_column", "if_value", "then_column")

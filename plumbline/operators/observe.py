@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline import schemas
+from plumbline.local import local_frame
 from plumbline.operators import checks
 from plumbline.operators.skew import look_up
 
@@ -43,17 +45,31 @@ def freshness(
     )
 
 
+def _every_day(daily: DataFrame, groups: list[str]) -> DataFrame:
+    """(groups, day, rows) with the days between the first and the last of each group filled in."""
+    order = Window.partitionBy(*groups, F.lit(0)).orderBy("day")
+    until = F.coalesce(F.date_sub(F.lead("day").over(order), 1), F.col("day"))
+    days = F.explode(F.sequence("day", "until")).alias("each")
+    filled = daily.withColumn("until", until).select(*groups, "day", "rows", days)
+    rows = F.when(F.col("each") == F.col("day"), F.col("rows")).otherwise(F.lit(0).cast("bigint"))
+    return filled.select(*groups, F.col("each").alias("day"), rows.alias("rows"))
+
+
 def daily_volume(
     df: DataFrame, timestamp: str, by: list[str] | None = None, sigmas: float = SIGMAS
 ) -> DataFrame:
     """OBS-2: rows per day, change from the day before, expected range, anomaly flag.
 
-    The range is mean +- sigmas * deviation of the TRAILING_DAYS days before. Rows are counted
-    per day before the window runs, so the window sees one row per day.
+    The range is mean +- sigmas * deviation of the TRAILING_DAYS days before. Days without rows
+    between the first and the last day of a group count 0; rows without a time are left out.
+    Rows are counted per day before the window runs, so the window sees one row per day.
     """
     groups = list(by or [])
-    daily = df.groupBy(*groups, F.to_date(timestamp).alias("day")).agg(
-        F.count(F.lit(1)).alias("rows")
+    daily = _every_day(
+        df.where(F.col(timestamp).isNotNull())
+        .groupBy(*groups, F.to_date(timestamp).alias("day"))
+        .agg(F.count(F.lit(1)).alias("rows")),
+        groups,
     )
     ordered = Window.partitionBy(*groups, F.lit(0)).orderBy("day")
     trailing = ordered.rowsBetween(-TRAILING_DAYS, -1)
@@ -65,7 +81,7 @@ def daily_volume(
         "day",
         "rows",
         (F.col("rows") - previous).alias("change"),
-        ((F.col("rows") - previous) / previous * F.lit(100.0)).alias("change_pct"),
+        (F.try_divide(F.col("rows") - previous, previous) * F.lit(100.0)).alias("change_pct"),
         low.alias("expected_low"),
         high.alias("expected_high"),
     ).withColumn(
@@ -89,8 +105,18 @@ def suite_status(runs: DataFrame) -> DataFrame:
     )
 
 
+def schema_snapshot(df: DataFrame, table_name: str) -> DataFrame:
+    """Columns and types of a table, without reading it."""
+    rows = [
+        {"table_name": table_name, "column_name": f.name, "data_type": f.dataType.simpleString()}
+        for f in df.schema.fields
+    ]
+    text = schemas.S
+    return local_frame(df.sparkSession, rows, schemas.struct(table_name=text, column_name=text, data_type=text))
+
+
 def schema_drift(before: DataFrame, after: DataFrame) -> DataFrame:
-    """OBS-4: columns added, removed or retyped between two profile snapshots."""
+    """OBS-4: columns added, removed or retyped between two snapshots of profiles or schemas."""
     on = ["table_name", "column_name"]
     old = before.select(*on, F.col("data_type").alias("old_type"))
     new = after.select(*on, F.col("data_type").alias("new_type"))
@@ -122,21 +148,16 @@ def dimension_scores(runs: DataFrame) -> DataFrame:
 
 
 def run_history(runs: DataFrame, days: int = HISTORY_DAYS) -> DataFrame:
-    """OBS-6: passed, warning and failed runs per day, over the last days with runs in range."""
-    dated = runs.select(F.to_date("run_at").alias("day"), "status")
-    newest = dated.agg(F.max("day")).scalar()
-    return (
-        dated.where(F.col("day") > F.date_sub(newest, days))
-        .groupBy("day")
-        .pivot("status", ["PASSED", "WARNING", "FAILED"])
-        .count()
-        .select(
-            "day",
-            *[
-                F.coalesce(s, F.lit(0)).alias(s.lower())
-                for s in ("PASSED", "WARNING", "FAILED")
-            ],
-        )
+    """OBS-6: passed, warning and failed runs on each of the last days, 0 where none ran."""
+    dated = runs.select(F.to_date("run_at").alias("day"), "status").where(F.col("day").isNotNull())
+    newest = dated.agg(F.max("day").alias("newest"))
+    calendar = newest.where(F.col("newest").isNotNull()).select(
+        F.explode(F.sequence(F.date_sub("newest", days - 1), "newest")).alias("day")
+    )
+    counted = dated.groupBy("day").pivot("status", ["PASSED", "WARNING", "FAILED"]).count()
+    return calendar.join(counted, "day", "left").select(
+        "day",
+        *[F.coalesce(s, F.lit(0)).alias(s.lower()) for s in ("PASSED", "WARNING", "FAILED")],
     )
 
 

@@ -2,7 +2,9 @@
 
 A condition is a dict of the same shape as in a rule; each builder returns a boolean Column in
 its valid form or, with ``negate=True``, in its violation form. Nulls follow SQL: a comparison
-with null is unknown, and an unknown condition is no violation.
+with null is unknown, and an unknown condition is no violation. Arithmetic that overflows is
+unknown. With the schema of the table, text compared with another type is read as that type, and
+text that cannot be read is unknown.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from typing import Any
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 Condition = Mapping[str, Any]
 
@@ -30,7 +33,7 @@ ORDER = {
     "BEFORE": op.lt, "BEFORE_EQUAL": op.le, "AFTER": op.gt, "AFTER_EQUAL": op.ge,
 }
 ARITHMETIC = {
-    "ADD": op.add, "SUBTRACT": op.sub, "MULTIPLY": op.mul, "DIVIDE": F.try_divide,
+    "ADD": F.try_add, "SUBTRACT": F.try_subtract, "MULTIPLY": F.try_multiply, "DIVIDE": F.try_divide,
 }
 NEGATED = {
     "EQ": "NEQ", "NEQ": "EQ", "GT": "LTE", "LTE": "GT", "GTE": "LT", "LT": "GTE",
@@ -78,7 +81,25 @@ def _choice(name: str, allowed: Iterable[str], what: str, negate: bool) -> str:
     return NEGATED[name] if negate else name
 
 
-def comparison(cond: Condition, negate: bool = False) -> Column:
+def _kind(name: str, schema: T.StructType | None) -> T.DataType | None:
+    return schema[name].dataType if schema is not None and name in schema.names else None
+
+
+def _literal_kind(value: Any) -> T.DataType:
+    kinds = {bool: T.BooleanType(), int: T.LongType(), float: T.DoubleType()}
+    return kinds.get(type(value), T.StringType())
+
+
+def _read_as(value: Column, kind: T.DataType | None, other: T.DataType | None) -> Column:
+    """Text as the type it is compared with, numbers as double; any other value as it is."""
+    if not isinstance(kind, T.StringType) or other is None or isinstance(other, T.StringType):
+        return value
+    if isinstance(other, T.NumericType):
+        return value.try_cast("double")
+    return value.try_cast(other)
+
+
+def comparison(cond: Condition, negate: bool = False, schema: T.StructType | None = None) -> Column:
     """COND-1, 2: column against column or literal."""
     _need(cond, "left", "operator", "right")
     right = cond["right"]
@@ -88,10 +109,15 @@ def comparison(cond: Condition, negate: bool = False) -> Column:
     kinds = {"column": column, "literal": F.lit}
     if right["type"] not in kinds:
         raise RuleError(f"Unsupported operand type: {right['type']}")
-    return COMPARE[name](column(cond["left"]), kinds[right["type"]](right["value"]))
+    left_kind, value = _kind(cond["left"], schema), right["value"]
+    right_kind = _kind(value, schema) if right["type"] == "column" else _literal_kind(value)
+    return COMPARE[name](
+        _read_as(column(cond["left"]), left_kind, right_kind),
+        _read_as(kinds[right["type"]](value), right_kind, left_kind),
+    )
 
 
-def null_check(cond: Condition, negate: bool = False) -> Column:
+def null_check(cond: Condition, negate: bool = False, schema: T.StructType | None = None) -> Column:
     """COND-3. Blank text is not null here."""
     _need(cond, "column", "operator")
     name = _choice(cond["operator"], ("IS_NULL", "IS_NOT_NULL"), "null", negate)
@@ -99,18 +125,21 @@ def null_check(cond: Condition, negate: bool = False) -> Column:
     return c.isNull() if name == "IS_NULL" else c.isNotNull()
 
 
-def membership(cond: Condition, negate: bool = False) -> Column:
+def membership(cond: Condition, negate: bool = False, schema: T.StructType | None = None) -> Column:
     """COND-4: IN and NOT_IN, case-sensitive; an empty list is refused."""
     _need(cond, "left", "operator", "values")
     values = cond["values"]
     if not isinstance(values, (list, tuple)) or not values:
         raise RuleError("SET needs a list of values")
     name = _choice(cond["operator"], ("IN", "NOT_IN"), "set", negate)
-    inside = column(cond["left"]).isin(*values)
+    kind = _kind(cond["left"], schema)
+    listed = next((k for k in map(_literal_kind, values) if not isinstance(k, T.StringType)), None)
+    left = _read_as(column(cond["left"]), kind, listed)
+    inside = left.isin(*(_read_as(F.lit(v), _literal_kind(v), listed if isinstance(kind, T.StringType) else kind) for v in values))
     return inside if name == "IN" else ~inside
 
 
-def arithmetic(cond: Condition, negate: bool = False) -> Column:
+def arithmetic(cond: Condition, negate: bool = False, schema: T.StructType | None = None) -> Column:
     """COND-5: target against operands combined left to right; x / 0 is null.
 
     An optional ``tolerance`` widens EQ and NEQ for floating point values.
@@ -127,19 +156,20 @@ def arithmetic(cond: Condition, negate: bool = False) -> Column:
     target = column(cond["target"])
     tolerance = cond.get("tolerance")
     if tolerance and name in ("EQ", "NEQ"):
-        near = F.abs(target - value) <= F.lit(tolerance)
+        gap = F.try_subtract(target, value)
+        near = (gap <= F.lit(tolerance)) & (gap >= F.lit(-tolerance))
         return near if name == "EQ" else ~near
     return COMPARE[name](target, value)
 
 
-def temporal_order(cond: Condition, negate: bool = False) -> Column:
+def temporal_order(cond: Condition, negate: bool = False, schema: T.StructType | None = None) -> Column:
     """COND-6: one date or time column before or after another."""
     _need(cond, "left", "operator", "right")
     name = _choice(cond["operator"], ORDER, "temporal", negate)
     return ORDER[name](column(cond["left"]), column(cond["right"]))
 
 
-def duration(cond: Condition, negate: bool = False) -> Column:
+def duration(cond: Condition, negate: bool = False, schema: T.StructType | None = None) -> Column:
     """COND-7: end against start plus a number of minutes, hours or days."""
     _need(cond, "start_column", "end_column", "operator", "value", "unit")
     name = _choice(cond["operator"], DURATION_OPERATORS, "duration", negate)
@@ -167,11 +197,11 @@ BUILDERS = {
 }
 
 
-def condition(cond: Condition, negate: bool = False) -> Column:
+def condition(cond: Condition, negate: bool = False, schema: T.StructType | None = None) -> Column:
     """COND-8: any condition, as it is or negated."""
     if cond.get("type") not in BUILDERS:
         raise RuleError(f"Unsupported condition type: {cond.get('type')}")
-    return BUILDERS[cond["type"]](cond, negate)
+    return BUILDERS[cond["type"]](cond, negate, schema)
 
 
 def _parts(rule_type: str, conditions: Iterable[Condition]):
@@ -194,18 +224,22 @@ def _parts(rule_type: str, conditions: Iterable[Condition]):
     return ifs, thens
 
 
-def violation(rule_type: str, conditions: Iterable[Condition]) -> Column:
+def violation(
+    rule_type: str, conditions: Iterable[Condition], schema: T.StructType | None = None
+) -> Column:
     """RULE-1..3: true on rows that break the rule."""
     ifs, thens = _parts(rule_type, conditions)
-    broken = any_of(condition(c, negate=True) for c in thens)
-    return all_of([condition(c) for c in ifs] + [broken]) if ifs else broken
+    broken = any_of(condition(c, True, schema) for c in thens)
+    return all_of([condition(c, False, schema) for c in ifs] + [broken]) if ifs else broken
 
 
-def valid(rule_type: str, conditions: Iterable[Condition]) -> Column:
+def valid(
+    rule_type: str, conditions: Iterable[Condition], schema: T.StructType | None = None
+) -> Column:
     """True on rows that keep the rule; neither this nor violation() holds on unknowns."""
     ifs, thens = _parts(rule_type, conditions)
-    kept = all_of(condition(c) for c in thens)
-    return any_of([condition(c, negate=True) for c in ifs] + [kept]) if ifs else kept
+    kept = all_of(condition(c, False, schema) for c in thens)
+    return any_of([condition(c, True, schema) for c in ifs] + [kept]) if ifs else kept
 
 
 def columns_of(conditions: Iterable[Condition]) -> list[str]:

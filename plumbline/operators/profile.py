@@ -139,11 +139,6 @@ def _is_small(estimate: int) -> bool:
     return 0 < estimate <= 2 * naming.MAX_SET_SIZE
 
 
-def _has_small_domain(data_type: T.DataType) -> bool:
-    """Types whose values can form a category."""
-    return _is_text(data_type) or isinstance(data_type, (T.IntegralType, T.BooleanType))
-
-
 def _simple_metrics(
     df: DataFrame, fields: list[T.StructField], blank_is_null: bool
 ) -> DataFrame:
@@ -263,9 +258,7 @@ def _profile_rows(
 ) -> list[dict]:
     fields = list(df.schema.fields)
     countable = {f.name for f in fields if _countable_type(f.dataType)}
-    sized = [
-        f for f in fields if _has_small_domain(f.dataType) or (approx and f.name in countable)
-    ]
+    sized = [f for f in fields if f.name in countable]
 
     def simple() -> dict[str, Row]:
         found = _union(_simple_metrics(df, part, blank_is_null) for part in _in_steps(fields))
@@ -459,10 +452,14 @@ def supplied(rows: DataFrame) -> DataFrame:
 
 
 def latest_profiles(history: DataFrame) -> DataFrame:
-    """PROF-15: the newest profile of every (table, column)."""
+    """PROF-15: the newest profile of every (table, column).
+
+    Of profiles at one instant, the one that sorts last as JSON counts.
+    """
     rest = [c for c in history.columns if c not in ("table_name", "column_name")]
+    order = F.struct("timestamp", F.to_json(F.struct(*rest)))
     newest = history.groupBy("table_name", "column_name").agg(
-        F.max_by(F.struct(*rest), "timestamp").alias("newest")
+        F.max_by(F.struct(*rest), order).alias("newest")
     )
     return newest.select("table_name", "column_name", "newest.*")
 

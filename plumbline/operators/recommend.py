@@ -205,17 +205,19 @@ def between(profile: DataFrame) -> DataFrame:
 def with_histograms(rules: DataFrame, histogram: DataFrame) -> DataFrame:
     """REC-3: range rules with the bins of their column as evidence (PROF-10).
 
-    ``histogram`` holds a few bins per column of one table.
+    ``histogram`` holds a few bins per column, and ``table_name`` where it is of several tables;
+    without, it holds for the rules of every table.
     """
+    on = [c for c in ("table_name",) if c in histogram.columns]
     bins = F.array_sort(F.collect_list(F.struct("bin", "label", "count", "percentage")))
     shown = F.transform(bins, lambda b: b.dropFields("bin"))
-    per_column = histogram.groupBy(F.array("column_name").alias("target_columns")).agg(
+    per_column = histogram.groupBy(*on, F.array("column_name").alias("target_columns")).agg(
         F.to_json(shown).alias("_bins")
     )
     is_range = F.col("rule_type") == checks.BETWEEN
     added = F.map_concat("evidence", F.create_map(F.lit("distribution"), F.col("_bins")))
     return (
-        rules.join(per_column, "target_columns", "left")
+        rules.join(per_column, [*on, "target_columns"], "left")
         .withColumn(
             "evidence",
             F.when(is_range & F.col("_bins").isNotNull(), added).otherwise(F.col("evidence")),

@@ -11,14 +11,17 @@ from dataclasses import dataclass
 from functools import reduce
 from typing import Any
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline import schemas
 from plumbline.functions import numbers
 from plumbline.local import local_frame
 from plumbline.operators import checks, predicates
 from plumbline.operators.predicates import RuleError, column
+from plumbline.operators.skew import with_short_keys
 
 # Rules per global aggregate: keeps generated code within the size the JIT compiles.
 RULES_PER_SCAN = 100
@@ -37,11 +40,18 @@ class Predicate:
     applicable: Column
 
 
-def rule_rows(rules: DataFrame | Iterable[Mapping[str, Any]]) -> list[dict[str, Any]]:
-    """Rules as dicts; a DataFrame of rules is collected, it is rule-sized."""
+def rule_rows(
+    rules: DataFrame | Iterable[Mapping[str, Any]], table_name: str | None = None
+) -> list[dict[str, Any]]:
+    """Rules as dicts, of one table if it is named; those of a DataFrame are collected.
+
+    Name the table where the rules are of many tables: the filter runs before they come here.
+    """
     if isinstance(rules, DataFrame):
+        if table_name is not None:
+            rules = rules.where(F.col("table_name") == table_name)
         return [r.asDict(recursive=True) for r in rules.collect()]
-    return [dict(r) for r in rules]
+    return [dict(r) for r in rules if table_name is None or r.get("table_name") == table_name]
 
 
 def effective_params(rule: Mapping[str, Any]) -> dict[str, Any]:
@@ -71,8 +81,8 @@ def predicate(rule: Mapping[str, Any], df: DataFrame) -> Predicate:
             c if "right_type" not in c else predicates.from_struct(c)
             for c in rule.get("conditions") or []
         ]
-        bad = predicates.violation(kind, conditions)
-        return made(bad, bad | predicates.valid(kind, conditions))
+        bad = predicates.violation(kind, conditions, df.schema)
+        return made(bad, bad | predicates.valid(kind, conditions, df.schema))
     if kind == checks.CUSTOM_SQL:
         expression = params["sql_expression"]
         return made(checks.expression_violation(expression), F.expr(expression).isNotNull())
@@ -85,7 +95,8 @@ def predicate(rule: Mapping[str, Any], df: DataFrame) -> Predicate:
         if kind == checks.BETWEEN:
             bounds = params.get("min_value"), params.get("max_value")
             broken.append(checks.between_violation(n, data_type, *bounds))
-            present = numbers.parse_number(column(n), data_type).isNotNull()
+            if not isinstance(data_type, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+                present = numbers.parse_number(column(n), data_type).isNotNull()
         elif kind == checks.IN_SET:
             broken.append(checks.set_violation(n, params.get("allowed_values") or []))
         elif kind == checks.LENGTH:
@@ -122,11 +133,8 @@ def violating_rows(
 
 
 def violation_count(df: DataFrame, rule: Mapping[str, Any]) -> DataFrame:
-    """RULE-6: one row: number of violations, passed when 0."""
-    bad = predicate(rule, df).violation
-    return df.agg(F.count_if(bad).alias("violations")).withColumn(
-        "passed", F.col("violations") == 0
-    )
+    """RULE-6: one row: number of violations of a rule of any type, passed when 0."""
+    return run_rules(df, [rule]).select("violations", (F.col("violations") == 0).alias("passed"))
 
 
 def bound_sql(spark: SparkSession, sql: str, params: Mapping[str, Any], **views: DataFrame):
@@ -137,14 +145,47 @@ def bound_sql(spark: SparkSession, sql: str, params: Mapping[str, Any], **views:
     return spark.sql(sql, args=dict(params), **views)
 
 
-def run_rules(df: DataFrame, rules: DataFrame | Iterable[Mapping[str, Any]]) -> DataFrame:
-    """RULE-8: every rule of a table: rows, applicable rows, violations, pass rate.
+RUN = schemas.struct(
+    rule_id=schemas.S, rule_type=schemas.S, rows=schemas.L, applicable=schemas.L,
+    violations=schemas.L, message=schemas.S,
+)
+
+
+def _built(rule: Mapping[str, Any], df: DataFrame) -> Predicate | None:
+    """The predicate of a row rule, or None for other rules; raises if it cannot be checked."""
+    if is_row_rule(rule):
+        made = predicate(rule, df)
+        df.select(made.violation, made.applicable)  # Spark resolves it now, without a job
+        return made
+    unknown = [c for c in rule.get("target_columns") or [] if c not in df.columns]
+    if unknown:
+        raise RuleError(f"Unknown target column: {', '.join(sorted(unknown))}")
+    return None
+
+
+def run_rules(
+    df: DataFrame,
+    rules: DataFrame | Iterable[Mapping[str, Any]],
+    table_name: str | None = None,
+) -> DataFrame:
+    """RULE-8: every rule of a table: rows, applicable rows, violations, pass rate, status.
 
     Row rules and the row count share one scan per RULES_PER_SCAN rules; the uniqueness
-    rules add one shuffle of values per physical type, each dependency one of its own.
+    rules of single columns add one shuffle of values per physical type, each composite one and
+    each dependency one of its own. A rule that cannot be checked has the status ERROR and a
+    message, and stops no other rule. Rules of other tables are left out if the table is named.
     """
-    found = rule_rows(rules)
-    row_rules = [predicate(r, df) for r in found if is_row_rule(r)]
+    found, row_rules, failed = [], [], []
+    for r in rule_rows(rules, table_name):
+        try:
+            made = _built(r, df)
+        except (RuleError, PySparkException, KeyError, TypeError, ValueError) as e:
+            text = str(e).splitlines()[0] if str(e) else type(e).__name__
+            failed.append({"rule_id": r["rule_id"], "rule_type": r["rule_type"], "message": text})
+            continue
+        found.append(r)
+        if made is not None:
+            row_rules.append(made)
     counts = [r for r in found if r["rule_type"] == checks.ROW_COUNT]
     frames = [
         _count(df, row_rules[i : i + RULES_PER_SCAN])
@@ -153,17 +194,17 @@ def run_rules(df: DataFrame, rules: DataFrame | Iterable[Mapping[str, Any]]) ->
     if counts:
         frames.append(_count_table_rules(df, counts))
     unique = [r for r in found if r["rule_type"] == checks.UNIQUE]
-    if unique:
-        frames.append(_count_unique(df, unique))
+    if single := [r for r in unique if len(set(r["target_columns"])) == 1]:
+        frames.append(_count_unique(df, single))
+    frames += [_count_unique_key(df, r) for r in unique if len(set(r["target_columns"])) > 1]
     frames += [_count_dependency(df, r) for r in found if r["rule_type"] == checks.DEPENDENCY]
-    if not frames:
-        return df.sparkSession.createDataFrame(
-            [],
-            "rule_id string, rule_type string, rows bigint, applicable bigint, "
-            "violations bigint, pass_rate double, status string",
-        )
+    frames = [f.withColumn("message", F.lit(None).cast("string")) for f in frames]
+    if failed or not frames:
+        frames.append(local_frame(df.sparkSession, failed, RUN))
     kept = F.col("applicable") - F.col("violations")
-    rate = F.when(F.col("applicable") > 0, kept / F.col("applicable")).otherwise(F.lit(1.0))
+    rate = F.when(F.col("applicable") > 0, kept / F.col("applicable")).when(
+        F.col("message").isNull(), F.lit(1.0)
+    )
     return reduce(DataFrame.unionByName, frames).select(
         "rule_id",
         "rule_type",
@@ -171,7 +212,11 @@ def run_rules(df: DataFrame, rules: DataFrame | Iterable[Mapping[str, Any]]) ->
         "applicable",
         "violations",
         rate.alias("pass_rate"),
-        F.when(F.col("violations") == 0, "PASSED").otherwise("FAILED").alias("status"),
+        F.when(F.col("message").isNotNull(), "ERROR")
+        .when(F.col("violations") == 0, "PASSED")
+        .otherwise("FAILED")
+        .alias("status"),
+        "message",
     )
 
 
@@ -231,6 +276,24 @@ def _count_unique(df: DataFrame, rules: list[dict[str, Any]]) -> DataFrame:
     )
 
 
+def _count_unique_key(df: DataFrame, rule: Mapping[str, Any]) -> DataFrame:
+    """A key of several columns: rows whose key is whole, and those that share it."""
+    columns = list(dict.fromkeys(rule["target_columns"]))
+    rows, short = with_short_keys(df.select(*map(column, columns)), columns)
+    n = F.col("n")
+    keys = checks.key_counts(rows, short).agg(
+        F.coalesce(F.sum(n), F.lit(0)).alias("applicable"),
+        F.coalesce(F.sum(F.when(n > 1, n)), F.lit(0)).alias("violations"),
+    )
+    return keys.select(
+        F.lit(rule["rule_id"]).alias("rule_id"),
+        F.lit(rule["rule_type"]).alias("rule_type"),
+        df.agg(F.count(F.lit(1))).scalar().alias("rows"),
+        "applicable",
+        "violations",
+    )
+
+
 def _count_dependency(df: DataFrame, rule: Mapping[str, Any]) -> DataFrame:
     *determinant, dependent = rule["target_columns"]
     known = predicates.all_of(column(c).isNotNull() for c in determinant)

@@ -18,7 +18,6 @@ from plumbline.operators.skew import SALTS, rows_of_keys
 
 # Thresholds of the confidence gate.
 SERVICE_THRESHOLD = 0.75
-REQUEST_THRESHOLD = 0.6
 SHOW_FROM, LOW_FROM = 0.80, 0.60
 
 PUBLISHABLE = ("ACCEPTED", "EDITED")
@@ -48,11 +47,6 @@ def by_confidence(rules: DataFrame, *ties: str) -> DataFrame:
     return rules.orderBy(F.desc("confidence"), *ties)
 
 
-def group_key(columns: Column) -> Column:
-    """Columns of a group whatever their order, each once."""
-    return F.array_sort(F.array_distinct(columns))
-
-
 def _first_of(df: DataFrame, keys: list[Column], order: list[Column]) -> DataFrame:
     """The first row of every key; Spark keeps one row per key and task before it shuffles."""
     window = Window.partitionBy(*keys).orderBy(*order)
@@ -179,7 +173,8 @@ def conflicts(rules: DataFrame) -> DataFrame:
         "rule_id",
         "table_name",
         "rule_type",
-        F.array_sort("target_columns").alias("columns"),
+        # rules on the table itself have no columns, given as null or as an empty list
+        F.array_sort(F.coalesce("target_columns", F.array().cast("array<string>"))).alias("columns"),
         F.coalesce(low, F.lit(float("-inf"))).alias("low"),
         F.coalesce(high, F.lit(float("inf"))).alias("high"),
     )
@@ -271,11 +266,15 @@ def classify(candidates: DataFrame, existing: DataFrame) -> DataFrame:
 
 
 def latest_reviews(reviews: DataFrame) -> DataFrame:
-    """Last action per rule, and the parameters of its last edit that had any."""
+    """Last action per rule, and the parameters of its last edit that had any.
+
+    Of reviews at one instant, the action and then the parameters that sort last count.
+    """
     edited = (F.col("action") == "EDITED") & F.col("edited_params").isNotNull()
+    params = F.to_json("edited_params")
     return reviews.groupBy("rule_id").agg(
-        F.max_by("action", "reviewed_at").alias("action"),
-        F.max_by("edited_params", F.when(edited, F.col("reviewed_at"))).alias("edit"),
+        F.max_by("action", F.struct("reviewed_at", "action")).alias("action"),
+        F.max_by("edited_params", F.when(edited, F.struct("reviewed_at", params))).alias("edit"),
     )
 
 
@@ -324,6 +323,7 @@ def board_counts(rules: DataFrame) -> DataFrame:
     )
 
 
+# Fixed value: the column name of rules on the table itself.
 TABLE_LEVEL = "__TABLE_LEVEL__"
 
 

@@ -16,10 +16,6 @@ from plumbline.operators import rules as rule_ops
 from plumbline.sources import labelled
 
 
-# Columns of more values are not searched for dependencies.
-MAX_CODES = 1000
-
-
 def check_own_rules(df: DataFrame, table_name: str, **options) -> DataFrame:
     """How many rows break each rule that the table itself suggests."""
     profiled = profile.profile(df, table_name, **options)
@@ -160,20 +156,38 @@ def labelled_benchmark(
 
 
 def mine_rules(
-    df: DataFrame, table_name: str, profiled: DataFrame, min_confidence: float = 0.95
+    df: DataFrame,
+    table_name: str,
+    profiled: DataFrame,
+    min_confidence: float = 0.95,
+    confident_from: float = ruletable.SERVICE_THRESHOLD,
+    max_values: int = naming.MAX_SET_SIZE,
+    max_distinct_ratio: float = 0.5,
 ) -> DataFrame:
-    """REC-9..15 on one table, deduplicated and above the confidence threshold."""
+    """REC-9..15 on one table, deduplicated and from the confidence ``confident_from`` on.
+
+    Categories are columns of any countable type with up to ``max_values`` values. Dependencies
+    are searched among all columns whose values repeat: at most ``max_distinct_ratio`` of the
+    rows hold a value of their own. Values beyond these bounds are no categories, as nearly
+    every one would stand for a single row.
+    """
     local = profiled.where(F.col("table_name") == table_name)
     groups = mine.column_groups(local)
     times = mine.pairs_of(groups, table_name, "TEMPORAL")
     numbers = mine.pairs_of(groups, table_name, "CROSS_COLUMN")
     columns = sorted({c for p in numbers for c in p})
-    small = local.where(
-        F.col("distinct_count").between(2, naming.MAX_SET_SIZE) & ~F.col("is_primary_key")
-    )
-    categories = [r["column_name"] for r in small.where(F.col("type_class") == "STRING").collect()]
-    empty = local.where((F.col("null_count") > 0) & (F.col("null_count") < F.col("row_count")))
-    dependents = [r["column_name"] for r in empty.collect() if r["column_name"] not in categories]
+    rows = local.where(~F.col("is_primary_key") & (F.col("type_class") != "OTHER")).collect()
+    categories = [r["column_name"] for r in rows if 2 <= r["distinct_count"] <= max_values]
+    dependents = [
+        r["column_name"]
+        for r in rows
+        if 0 < r["null_count"] < r["row_count"] and r["column_name"] not in categories
+    ]
+    codes = [
+        r["column_name"]
+        for r in rows
+        if r["distinct_count"] > 1 and r["distinct_ratio"] <= max_distinct_ratio
+    ]
     found = []
     if times:
         found.append(mine.time_order_rules(df, table_name, times, min_confidence))
@@ -184,21 +198,15 @@ def mine_rules(
         found.append(mine.arithmetic_rules(df, table_name, columns, min_confidence=min_confidence))
     if categories and len(categories) + len(dependents) > 1:
         found.append(
-            mine.conditional_rules(df, table_name, categories, dependents, min_confidence)
+            mine.conditional_rules(
+                df, table_name, categories, dependents, min_confidence, max_values=max_values
+            )
         )
-    codes = [
-        r["column_name"]
-        for r in local.where(
-            F.col("distinct_count").between(2, MAX_CODES)
-            & F.col("type_class").isin("STRING", "INTEGER")
-            & (F.col("distinct_ratio") < 0.5)
-        ).collect()
-    ]
     if len(codes) > 1:
         found.append(mine.dependency_rules(df, table_name, codes, min_confidence))
     if not found:
         return recommend.recommend(local.limit(0))
-    united = ruletable.confident(ruletable.union_rules(*found))
+    united = ruletable.confident(ruletable.union_rules(*found), confident_from)
     return ruletable.dedupe_rules(united, F.desc("confidence"), F.asc("rule_id"))
 
 

@@ -31,7 +31,7 @@ def texts(spark, sf_dir):
 @query(f"SELECT doc_id FROM {TEXTS_SQL} WHERE lang IS NULL OR trim(lang) = ''")
 def chk_not_null(spark, sf_dir):
     df = texts(spark, sf_dir)
-    return df.where(~checks.not_null("lang", df.schema["lang"].dataType)).select("doc_id")
+    return df.where(checks.null_violation("lang", df.schema["lang"].dataType)).select("doc_id")
 
 
 @query("SELECT p_name, count(*) AS n FROM part GROUP BY p_name HAVING count(*) > 1")
@@ -58,20 +58,32 @@ def chk_unique_rows(spark, sf_dir):
 def chk_between(spark, sf_dir):
     df = texts(spark, sf_dir).withColumn("mark", F.substr("source", F.lit(4)))
     kind = lambda c: df.schema[c].dataType
-    good = checks.between("n_chars", kind("n_chars"), 100, 5000) & checks.between("mark", kind("mark"), high=15)
-    return df.where(~good).select("doc_id")
+    size = checks.between_violation("n_chars", kind("n_chars"), 100, 5000)
+    mark = checks.between_violation("mark", kind("mark"), high=15)
+    return df.where(size | mark).select("doc_id")
+
+
+@query(
+    """SELECT o_orderkey, o_orderdate FROM orders
+       WHERE o_orderdate < TIMESTAMP '1993-02-01 00:00:00' OR o_orderdate > TIMESTAMP '1997-06-30 12:00:00'"""
+)
+def chk_between_times(spark, sf_dir):
+    df = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
+    kind = df.schema["o_orderdate"].dataType
+    return df.where(checks.between_violation("o_orderdate", kind, "1993-02-01", "1997-06-30 12:00:00"))
 
 
 @query(f"SELECT doc_id FROM {TEXTS_SQL} WHERE lower(source) NOT IN ('src0', 'src1', 'src2') OR lower(lang) NOT IN ('en', 'de', '')")
 def chk_in_set(spark, sf_dir):
-    good = checks.in_set("source", ["src0", "SRC1", "Src2"]) & checks.in_set("lang", ["EN", "de", ""])
-    return texts(spark, sf_dir).where(~good).select("doc_id")
+    source = checks.set_violation("source", ["src0", "SRC1", "Src2"])
+    lang = checks.set_violation("lang", ["EN", "de", ""])
+    return texts(spark, sf_dir).where(source | lang).select("doc_id")
 
 
 @query("SELECT doc_id, length(text) AS characters FROM documents WHERE length(text) NOT BETWEEN 50 AND 4000")
 def chk_length(spark, sf_dir):
     df = table(spark, sf_dir, "documents")
-    return df.where(~checks.length_between("text", 50, 4000)).select(
+    return df.where(checks.length_violation("text", 50, 4000)).select(
         "doc_id", F.length("text").cast("bigint").alias("characters")
     )
 
@@ -83,14 +95,14 @@ def chk_row_count(spark, sf_dir):
 
 @query("SELECT page_id, url FROM pages WHERE NOT regexp_matches(url, '^https://[a-z.]+/(en|de|fr|es)/[0-9]+')")
 def chk_regex(spark, sf_dir):
-    good = checks.matches("url", "^https://[a-z.]+/(en|de|fr|es)/[0-9]+")
-    return table(spark, sf_dir, "pages").where(~good).select("page_id", "url")
+    bad = checks.pattern_violation("url", "^https://[a-z.]+/(en|de|fr|es)/[0-9]+")
+    return table(spark, sf_dir, "pages").where(bad).select("page_id", "url")
 
 
 @query(f"SELECT l_orderkey, l_linenumber, discount, tax FROM {LINES_SQL} WHERE NOT (tax IS NULL OR tax + discount < 0.1)")
 def chk_custom_sql(spark, sf_dir):
-    good = checks.holds("tax IS NULL OR tax + discount < 0.1")
-    return lines(spark, sf_dir).where(~good).select("l_orderkey", "l_linenumber", "discount", "tax")
+    bad = checks.expression_violation("tax IS NULL OR tax + discount < 0.1")
+    return lines(spark, sf_dir).where(bad).select("l_orderkey", "l_linenumber", "discount", "tax")
 
 
 ROW_RULES = [r for r in ONE_PASS if rule_ops.is_row_rule(r)]

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -320,6 +323,7 @@ ONE_PASS = [
     {"rule_id": "free", "rule_type": checks.CUSTOM_SQL, "target_columns": ["tax"], "params": {"sql_expression": "tax IS NULL OR tax + discount < 0.1"}},
     {"rule_id": "rows", "rule_type": checks.ROW_COUNT, "target_columns": [], "params": {"min_value": 1, "max_value": 10}},
     {"rule_id": "unique", "rule_type": checks.UNIQUE, "target_columns": ["price"]},
+    {"rule_id": "pair", "rule_type": checks.UNIQUE, "target_columns": ["flag", "price"]},
 ]
 
 
@@ -348,6 +352,11 @@ def one_pass_sql() -> str:
             CAST(sum(CASE WHEN n > 1 THEN n ELSE 0 END) AS BIGINT)
             FROM (SELECT price, count(*) AS n FROM {LINES_SQL} GROUP BY price)"""
     )
+    parts.append(
+        f"""SELECT 'pair', '{checks.UNIQUE}', CAST(sum(n) AS BIGINT), CAST(sum(n) FILTER (flag IS NOT NULL) AS BIGINT),
+            CAST(sum(CASE WHEN n > 1 THEN n ELSE 0 END) FILTER (flag IS NOT NULL) AS BIGINT)
+            FROM (SELECT flag, price, count(*) AS n FROM {LINES_SQL} GROUP BY flag, price)"""
+    )
     return f"""SELECT *, CASE WHEN applicable > 0 THEN (applicable - violations) / applicable ELSE 1 END AS pass_rate,
                CASE WHEN violations = 0 THEN 'PASSED' ELSE 'FAILED' END AS status
                FROM ({' UNION ALL '.join(parts)})"""
@@ -355,4 +364,71 @@ def one_pass_sql() -> str:
 
 @query(one_pass_sql())
 def rules_one_pass(spark, sf_dir):
-    return rule_ops.run_rules(lines(spark, sf_dir), ONE_PASS)
+    return rule_ops.run_rules(lines(spark, sf_dir), ONE_PASS).drop("message")
+
+
+ODD_SQL = """(SELECT l_quantity, l_partkey, 2000000000 AS wide,
+    CASE l_linenumber % 3 WHEN 0 THEN 'abc' WHEN 1 THEN CAST(l_partkey AS VARCHAR) END AS mark FROM lineitem)"""
+ODD_RULES = [
+    {"rule_id": "overflow", "table_name": "odd", "rule_type": "CROSS_COLUMN", "conditions": [
+        {"type": "ARITHMETIC", "target": "wide", "comparison_operator": "EQ",
+         "expression": {"operator": "ADD", "operands": ["wide", "wide"]}}]},
+    {"rule_id": "text_and_number", "table_name": "odd", "rule_type": "CROSS_COLUMN", "conditions": [
+        {"type": "COMPARISON", "left": "mark", "operator": "GT", "right": {"type": "literal", "value": 50}}]},
+    {"rule_id": "text_in_numbers", "table_name": "odd", "rule_type": "CONDITIONAL_DEPENDENCY", "conditions": [
+        {"role": "IF", "type": "SET", "left": "mark", "operator": "IN", "values": [1, 2, 3]},
+        {"role": "THEN", "type": "COMPARISON", "left": "mark", "operator": "NEQ", "right": {"type": "column", "value": "l_partkey"}}]},
+    {"rule_id": "good", "table_name": "odd", "rule_type": checks.BETWEEN, "target_columns": ["l_quantity"], "params": {"min_value": 5}},
+    {"rule_id": "unknown_column", "table_name": "odd", "rule_type": checks.NOT_NULL, "target_columns": ["gone"]},
+    {"rule_id": "unknown_key", "table_name": "odd", "rule_type": checks.UNIQUE, "target_columns": ["wide", "gone"]},
+    {"rule_id": "no_condition", "table_name": "odd", "rule_type": "TEMPORAL", "conditions": []},
+    {"rule_id": "bad_sql", "table_name": "odd", "rule_type": checks.CUSTOM_SQL, "params": {"sql_expression": "no_such(1)"}},
+    {"rule_id": "foreign", "table_name": "other", "rule_type": checks.NOT_NULL, "target_columns": ["wide"]},
+]
+
+
+def odd_sql() -> str:
+    number = "TRY_CAST(mark AS DOUBLE)"
+    broken = {
+        "overflow": ("CROSS_COLUMN", "FALSE", "FALSE"),
+        "text_and_number": ("CROSS_COLUMN", f"{number} <= 50", f"{number} IS NOT NULL"),
+        "text_in_numbers": ("CONDITIONAL_DEPENDENCY", f"{number} IN (1, 2, 3) AND {number} = l_partkey", f"{number} IS NOT NULL"),
+        "good": (checks.BETWEEN, "l_quantity < 5", "l_quantity IS NOT NULL"),
+    }
+    parts = [
+        f"""SELECT '{i}' AS rule_id, '{t}' AS rule_type, count(*) FILTER ({known}) AS applicable,
+            count(*) FILTER ({bad}) AS violations, CASE WHEN count(*) FILTER ({bad}) = 0 THEN 'PASSED' ELSE 'FAILED' END AS status
+            FROM {ODD_SQL}"""
+        for i, (t, bad, known) in broken.items()
+    ]
+    errors = ("unknown_column", "unknown_key", "no_condition", "bad_sql")
+    parts += [
+        f"SELECT '{r['rule_id']}', '{r['rule_type']}', NULL, NULL, 'ERROR'" for r in ODD_RULES if r["rule_id"] in errors
+    ]
+    return " UNION ALL ".join(parts)
+
+
+@query(odd_sql())
+def rules_with_errors(spark, sf_dir):
+    rest = F.col("l_linenumber") % 3
+    odd = table(spark, sf_dir, "lineitem").select(
+        "l_quantity",
+        "l_partkey",
+        F.lit(2_000_000_000).alias("wide"),
+        F.when(rest == 0, "abc").when(rest == 1, F.col("l_partkey").cast("string")).alias("mark"),
+    )
+    return rule_ops.run_rules(odd, ODD_RULES, "odd").select("rule_id", "rule_type", "applicable", "violations", "status")
+
+
+@query(
+    f"""SELECT rule_type, violations, violations = 0 AS passed
+        FROM ({one_pass_sql()}) WHERE rule_id IN ('chain', 'unique', 'pair', 'rows', 'range')"""
+)
+def rule_violation_counts(spark, sf_dir):
+    df = lines(spark, sf_dir)
+    chosen = [r for r in ONE_PASS if r["rule_id"] in ("chain", "unique", "pair", "rows", "range")]
+    counted = [
+        rule_ops.violation_count(df, r).select(F.lit(r["rule_type"]).alias("rule_type"), "violations", "passed")
+        for r in chosen
+    ]
+    return reduce(DataFrame.unionByName, counted)

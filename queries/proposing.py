@@ -134,17 +134,21 @@ def recommend_row_count(spark, sf_dir):
 
 
 @query(
-    f"""SELECT column_name, bin, count FROM ({histogram_sql('lineitem', HISTOGRAM_COLUMNS)})
-        UNION ALL SELECT column_name, CAST(NULL AS INTEGER), CAST(NULL AS BIGINT) FROM (VALUES ('l_tax'), ('l_linenumber'), ('l_partkey'), ('l_suppkey')) AS v(column_name)"""
+    f"""SELECT 'lineitem' AS table_name, column_name, bin, count FROM ({histogram_sql('lineitem', HISTOGRAM_COLUMNS)})
+        UNION ALL SELECT 'returns', column_name, CAST(NULL AS INTEGER), CAST(NULL AS BIGINT) FROM
+        (VALUES {', '.join(f"('{c}')" for c in HISTOGRAM_COLUMNS)}) AS v(column_name)"""
 )
 def recommend_with_histograms(spark, sf_dir):
+    """Two tables with the same columns, of which one has histograms."""
     lines = table(spark, sf_dir, "lineitem")
-    rules = recommend.between(profile.profile(lines, "lineitem", approx=True))
-    found = recommend.with_histograms(rules, profile.histogram(lines, HISTOGRAM_COLUMNS))
+    both = {"lineitem": lines, "returns": lines.where("l_returnflag = 'R'")}
+    rules = recommend.between(profile.profile_tables(both, approx=True))
+    bins = profile.histogram(lines).withColumn("table_name", F.lit("lineitem"))
+    found = recommend.with_histograms(rules, bins)
     bins = F.from_json(F.col("evidence")["distribution"], "array<struct<label:string,count:bigint,percentage:double>>")
     return found.select(
-        F.element_at("target_columns", 1).alias("column_name"), F.posexplode_outer(bins).alias("bin", "b")
-    ).select("column_name", "bin", F.col("b.count").alias("count"))
+        "table_name", F.element_at("target_columns", 1).alias("column_name"), F.posexplode_outer(bins).alias("bin", "b")
+    ).select("table_name", "column_name", "bin", F.col("b.count").alias("count"))
 
 
 @query(
@@ -198,7 +202,7 @@ def check_own_rules(spark, sf_dir):
         flows.check_own_rules(table(spark, sf_dir, t), t, primary_keys=KEYS[t])
         for t in ("orders", "customer")
     )
-    return orders.unionByName(customer).drop("rule_id")
+    return orders.unionByName(customer).drop("rule_id", "message")
 
 
 @query(
@@ -292,22 +296,37 @@ def mine_time_order(spark, sf_dir):
 GAPS_SQL = f"(SELECT date_diff('second', ordered, shipped) AS gap FROM {SHIPPED_SQL})"
 
 
+BOUNDS_SQL = f"""
+    SELECT 'LTE' AS operator, ceil(u / 86400) AS value, count(*) FILTER (gap <= 86400 * ceil(u / 86400)) AS holds, count(*) AS support
+    FROM (SELECT quantile_disc(gap, 0.99) AS u FROM {GAPS_SQL} WHERE gap >= 0), {GAPS_SQL} WHERE gap >= 0 GROUP BY u
+    UNION ALL
+    SELECT 'GTE', floor(u / 86400), count(*) FILTER (gap >= 86400 * floor(u / 86400)), count(*)
+    FROM (SELECT quantile_disc(gap, 0.01) AS u FROM {GAPS_SQL} WHERE gap >= 0), {GAPS_SQL} WHERE gap >= 0 GROUP BY u"""
+
+
 @query(
-    f"""SELECT min(gap) AS shortest, max(gap) AS longest, quantile_disc(gap, 0.99) AS usual, count(gap) AS support,
-               ceil(quantile_disc(gap, 0.99) / 86400) AS days FROM {GAPS_SQL}"""
+    f"""SELECT operator, value, 'DAY' AS unit, holds / support AS confidence, support FROM ({BOUNDS_SQL})
+        WHERE value >= 2"""
 )
 def mine_durations(spark, sf_dir):
-    df = shipped(spark, sf_dir)
-    pair = [("ordered", "shipped")]
-    rule = mine.duration_rules(df, "shipped", pair, 0.99, 1_000_000).select(
-        F.element_at("conditions.value", 1).alias("days")
-    )
-    return mine.duration_support(df, pair, 0.99, 1_000_000).select(
-        "shortest", "longest", "usual", "support", rule.scalar().alias("days")
+    found = mine.duration_rules(shipped(spark, sf_dir), "shipped", [("ordered", "shipped")], 0.99, 1_000_000)
+    bound = F.col("conditions")[0]
+    return found.select(
+        bound["operator"].alias("operator"), bound["value"].alias("value"), bound["unit"].alias("unit"), "confidence",
+        F.col("evidence")["support"].cast("bigint").alias("support"),
     )
 
 
-NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+@query(
+    f"""SELECT min(gap) AS shortest, max(gap) AS longest, quantile_disc(gap, 0.99) AS usual, quantile_disc(gap, 0.01) AS least,
+               count(*) AS support FROM {GAPS_SQL} WHERE gap >= 0"""
+)
+def mine_duration_support(spark, sf_dir):
+    found = mine.duration_support(shipped(spark, sf_dir), [("ordered", "shipped")], 0.99, 1_000_000)
+    return found.select("shortest", "longest", "usual", "least", "support")
+
+
+NUMBERS = [c for c, kind in TABLES["lineitem"].items() if kind in ("int", "number")]
 PAIRS = [(a, b) for i, a in enumerate(NUMBERS) for b in NUMBERS[i + 1 :]]
 
 
@@ -444,7 +463,7 @@ def mine_conditional_support(spark, sf_dir):
                   WHEN cat AND all_values > 1 AND top >= 0.95 * support THEN top ELSE present END AS holds
       FROM (SELECT c.*, w.all_values, w.all_nulls > 0 AND w.all_nulls < w.all_rows AS mixed, c.then_column <> 'closed_at' AS cat
             FROM c JOIN w ON c.if_column = w.if_column AND c.then_column = w.then_column) c)
-    WHERE kind IS NOT NULL AND support >= 30
+    WHERE kind IS NOT NULL
     """
 )
 def mine_conditionals(spark, sf_dir):

@@ -112,9 +112,9 @@ def rt_confidence_band(spark, sf_dir):
     return derived_rules(spark, sf_dir).groupBy("table_name", band).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"SELECT rule_id, confidence FROM {RULES_SQL} ORDER BY confidence DESC, rule_id LIMIT 40")
+@query(f"SELECT rule_id, confidence FROM {RULES_SQL}")
 def rt_by_confidence(spark, sf_dir):
-    return ruletable.by_confidence(derived_rules(spark, sf_dir), "rule_id").select("rule_id", "confidence").limit(40)
+    return ruletable.by_confidence(derived_rules(spark, sf_dir), "rule_id").select("rule_id", "confidence")
 
 
 @query(

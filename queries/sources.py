@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -119,9 +117,13 @@ def src_labelled_split(spark, sf_dir):
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors see; a temporary one only where none is set, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    return os.path.join(base, f"plumbline-{uuid.uuid4().hex}")
+    """A new folder that all executors see: below the checkpoint folder, or else the warehouse."""
+    base = (
+        spark.conf.get("spark.checkpoint.dir", None)
+        or spark.sparkContext.getCheckpointDir()
+        or spark.conf.get("spark.sql.warehouse.dir")
+    )
+    return f"{base.rstrip('/')}/plumbline-{uuid.uuid4().hex}"
 
 
 @query(

@@ -183,7 +183,34 @@ def test_rules_beyond_one_scan(spark):
 def test_unknown_columns_are_refused(spark):
     rule = {"rule_id": "x", "rule_type": checks.NOT_NULL, "target_columns": ["nope"]}
     with pytest.raises(rule_ops.RuleError):
-        rule_ops.run_rules(spark.range(3), [rule])
+        rule_ops.violating_rows(spark.range(3), rule)
+
+
+def test_a_rule_that_cannot_be_checked_stops_no_other(spark):
+    df = spark.createDataFrame([(1, 100_000, "abc"), (2, 7, "12")], "id int, n int, t string")
+    rules = [
+        {"rule_id": "gone", "rule_type": checks.NOT_NULL, "target_columns": ["nope"]},
+        {"rule_id": "time", "rule_type": "CROSS_COLUMN", "conditions": [
+            {"type": "ARITHMETIC", "target": "n", "comparison_operator": "EQ", "expression": {"operator": "MULTIPLY", "operands": ["n", "n"]}}]},
+        {"rule_id": "text", "rule_type": "CROSS_COLUMN", "conditions": [
+            {"type": "COMPARISON", "left": "t", "operator": "LTE", "right": {"type": "literal", "value": 5}}]},
+        {"rule_id": "fine", "rule_type": checks.NOT_NULL, "target_columns": ["n"]},
+        {"rule_id": "two", "rule_type": checks.UNIQUE, "target_columns": ["id", "n"]},
+    ]
+    got = {r.rule_id: r for r in rule_ops.run_rules(df, rules).collect()}
+    assert got["gone"].status == "ERROR" and "nope" in got["gone"].message and got["gone"].pass_rate is None
+    assert (got["time"].applicable, got["time"].violations) == (1, 1)
+    assert (got["text"].applicable, got["text"].violations) == (1, 1)
+    assert got["fine"].status == got["two"].status == "PASSED"
+    named = [{**r, "table_name": n} for r, n in zip(rules[3:], ("a", "b"))]
+    assert [r.rule_id for r in rule_ops.run_rules(df, named, "a").collect()] == ["fine"]
+
+
+def test_range_filters_reach_the_scan(spark, sf_dir):
+    df = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    kind = df.schema["l_quantity"].dataType
+    plan = df.where(checks.between_violation("l_quantity", kind, 2, 49))._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [Or(LessThan(l_quantity,2.0),GreaterThan(l_quantity,49.0))]" in plan
 
 
 def test_violation_filters_reach_the_scan(spark, sf_dir):
