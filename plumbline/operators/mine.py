@@ -8,19 +8,27 @@ needs a review.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterable, Sequence
 from functools import reduce
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline import schemas
 from plumbline.functions import naming
+from plumbline.local import local_frame
 from plumbline.operators import checks, recommend
 from plumbline.operators.predicates import column
 
+# Executors need no copy of this module for the functions that run there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Name words that pair up, and words of status-like and dependent columns.
 TIME_WORD_PAIRS = [
     ("start", "end"), ("from", "to"), ("created", "completed"), ("order", "delivery"),
@@ -180,10 +188,88 @@ def _counters(df: DataFrame, items: Sequence[dict[str, Column]]) -> DataFrame:
     return _union(frames)
 
 
+# What numpy compares exactly: integers with their range, and floating point numbers.
+_INTEGERS = {T.ByteType: 8, T.ShortType: 16, T.IntegerType: 32, T.LongType: 64}
+_FLOATS = (T.FloatType, T.DoubleType)
+_TIMES = (T.DateType, T.TimestampType, T.TimestampNTZType)
+
+
+def _comparable(df: DataFrame, name: str) -> bool:
+    return isinstance(df.schema[name].dataType, (*_INTEGERS, *_FLOATS, *_TIMES))
+
+
+def _in_one_scan(df: DataFrame, columns: Sequence[str], n_items: int, n_counts: int, count) -> DataFrame:
+    """(item, counts) summed over one scan of the columns, whatever the number of items.
+
+    Each task adds up ``count(values, valid)``, an array of n_items x n_counts for a batch of
+    rows, and returns one row per item; these are then summed.
+    """
+    def plain(name: str) -> Column:
+        data_type, c = df.schema[name].dataType, column(name)
+        if isinstance(data_type, _TIMES):
+            return F.unix_micros(c.cast("timestamp"))
+        return c.cast("double") if isinstance(data_type, T.FloatType) else c
+
+    def add(batches):
+        total = np.zeros((n_items, n_counts), dtype=np.int64)
+        for batch in batches:
+            valid = [~np.asarray(c.is_null()) for c in batch.columns]
+            values = [c.fill_null(0).to_numpy(zero_copy_only=False) for c in batch.columns]
+            total += count([v.astype(np.int64) if v.dtype.kind == "i" else v for v in values], valid)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.arange(n_items)), *map(pa.array, total.T)],
+            names=["item", *(f"n{k}" for k in range(n_counts))],
+        )
+
+    fields = ", ".join(f"n{k} bigint" for k in range(n_counts))
+    rows = df.select(*(plain(c).alias(f"c{i}") for i, c in enumerate(columns)))
+    return rows.mapInArrow(add, f"item bigint, {fields}").groupBy("item").agg(
+        *(F.sum(f"n{k}").alias(f"n{k}") for k in range(n_counts))
+    )
+
+
+def _named(counted: DataFrame, items: Sequence[dict], names: Sequence[str]) -> DataFrame:
+    """Counts beside what they are of; items are schema-sized."""
+    text = {k: schemas.S for k in items[0]}
+    listed = local_frame(
+        counted.sparkSession, ({"item": i, **r} for i, r in enumerate(items)), schemas.struct(item=schemas.L, **text)
+    )
+    counts = [F.col(f"n{k}").alias(n) for k, n in enumerate(names)]
+    return listed.join(counted, "item").select(*text, *counts)
+
+
+def _orders(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Less, equal and greater, NaN equal to itself and above all numbers."""
+    less, equal = x < y, x == y
+    odd_x = np.isnan(x) if x.dtype.kind == "f" else np.zeros(len(x), bool)
+    odd_y = np.isnan(y) if y.dtype.kind == "f" else np.zeros(len(y), bool)
+    less, equal = less | (odd_y & ~odd_x), equal | (odd_x & odd_y)
+    return less, equal, ~less & ~equal
+
+
 def order_support(df: DataFrame, pairs: Sequence[Pair]) -> DataFrame:
-    """REC-10, 12: rows where a < b, a = b, a > b, for every pair, in one scan."""
+    """REC-10, 12: rows where a < b, a = b, a > b, for every pair, in one scan.
+
+    Pairs with columns of other types than integers, floating point numbers and times are
+    counted by Spark's aggregates, a scan for every AGGREGATES_PER_SCAN of them.
+    """
+    plain = [p for p in pairs if all(_comparable(df, c) for c in p)]
+    frames = []
+    if plain:
+        columns = list(dict.fromkeys(c for p in plain for c in p))
+        at = [(columns.index(a), columns.index(b)) for a, b in plain]
+
+        def count(values, valid):
+            out = np.zeros((len(at), 3), dtype=np.int64)
+            for k, (i, j) in enumerate(at):
+                both = valid[i] & valid[j]
+                out[k] = [np.count_nonzero(x & both) for x in _orders(values[i], values[j])]
+            return out
+
+        counted = _in_one_scan(df, columns, len(at), 3, count)
+        frames.append(_named(counted, [{"a": a, "b": b} for a, b in plain], ["less", "equal", "greater"]))
     items = []
-    for a, b in pairs:
+    for a, b in (p for p in pairs if p not in plain):
         x, y = column(a), column(b)
         items.append(
             {
@@ -194,8 +280,22 @@ def order_support(df: DataFrame, pairs: Sequence[Pair]) -> DataFrame:
                 "greater": F.count_if(x > y),
             }
         )
+    if items:
+        frames.append(_counters(df, items))
     total = F.col("less") + F.col("equal") + F.col("greater")
-    return _counters(df, items).withColumn("support", total)
+    return _union(frames).withColumn("support", total)
+
+
+def _combined(name: str, x: np.ndarray, y: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sum or product, and where it lies within the type of Spark's result."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        value = x + y if name == "ADD" else x * y
+        if value.dtype.kind == "f":
+            return value, np.ones(len(value), bool)
+        near = x.astype(float) + y.astype(float) if name == "ADD" else x.astype(float) * y.astype(float)
+    if bits == 64:  # beyond the range, the exact value is far from the one that wrapped around
+        return value, abs(near - value.astype(float)) < 2.0**62
+    return value, (value >= -(1 << (bits - 1))) & (value < 1 << (bits - 1))
 
 
 def arithmetic_support(
@@ -204,28 +304,62 @@ def arithmetic_support(
     """REC-13: for every t, {a, b}: rows with t = a + b and with t = a * b, in one scan.
 
     Differences and quotients are the same equations read from another column. Rows on which
-    the arithmetic overflows support nothing.
+    the arithmetic overflows support nothing. Equations with columns of other types than
+    integers and floating point numbers are counted by Spark's aggregates.
     """
+    number = lambda c: isinstance(df.schema[c].dataType, (*_INTEGERS, *_FLOATS))
+    numbers = [c for c in columns if number(c)]
+    equations = [
+        (t, a, b, name)
+        for t in columns
+        for a, b in combinations([c for c in columns if c != t], 2)
+        for name in ("ADD", "MULTIPLY")
+    ]
+    plain = [e for e in equations if all(c in numbers for c in e[:3])]
+    frames = []
+    if plain:
+        at = {c: i for i, c in enumerate(numbers)}
+        bits = {c: _INTEGERS.get(type(df.schema[c].dataType), 64) for c in numbers}
+        terms: dict[tuple, list[tuple[int, int]]] = {}
+        for k, (t, a, b, name) in enumerate(plain):
+            terms.setdefault((at[a], at[b], name, max(bits[a], bits[b])), []).append((k, at[t]))
+
+        def count(values, valid):
+            out = np.zeros((len(plain), 2), dtype=np.int64)
+            for (i, j, name, width), targets in terms.items():
+                value, fits = _combined(name, values[i], values[j], width)
+                known = valid[i] & valid[j] & fits
+                for k, t in targets:
+                    both = known & valid[t]
+                    with np.errstate(invalid="ignore"):
+                        if tolerance or values[t].dtype.kind == "f" or value.dtype.kind == "f":
+                            holds = abs(values[t].astype(float) - value.astype(float)) <= tolerance
+                        else:
+                            holds = values[t] == value
+                    out[k] = np.count_nonzero(holds & both), np.count_nonzero(both)
+            return out
+
+        items = [dict(zip(("target", "a", "b", "operator"), e)) for e in plain]
+        counted = _in_one_scan(df, numbers, len(plain), 2, count)
+        frames.append(_named(counted, items, ["holds", "support"]))
     items = []
-    for t in columns:
-        for a, b in combinations([c for c in columns if c != t], 2):
-            for name, value in (
-                ("ADD", F.try_add(column(a), column(b))),
-                ("MULTIPLY", F.try_multiply(column(a), column(b))),
-            ):
-                gap = F.try_subtract(column(t), value)
-                near = (gap <= F.lit(float(tolerance))) & (gap >= F.lit(-float(tolerance)))
-                items.append(
-                    {
-                        "=target": F.lit(t),
-                        "=a": F.lit(a),
-                        "=b": F.lit(b),
-                        "=operator": F.lit(name),
-                        "holds": F.count_if(near),
-                        "support": F.count(gap),
-                    }
-                )
-    return _counters(df, items)
+    combine = {"ADD": F.try_add, "MULTIPLY": F.try_multiply}
+    for t, a, b, name in (e for e in equations if not all(c in numbers for c in e[:3])):
+        gap = F.try_subtract(column(t), combine[name](column(a), column(b)))
+        near = (gap <= F.lit(float(tolerance))) & (gap >= F.lit(-float(tolerance)))
+        items.append(
+            {
+                "=target": F.lit(t),
+                "=a": F.lit(a),
+                "=b": F.lit(b),
+                "=operator": F.lit(name),
+                "holds": F.count_if(near),
+                "support": F.count(gap),
+            }
+        )
+    if items:
+        frames.append(_counters(df, items))
+    return _union(frames)
 
 
 def seconds_between(start: Column, end: Column) -> Column:
@@ -474,40 +608,31 @@ def conditional_support(
     against category; then_value is null where the column is. For other dependent columns
     then_value is '' where a value is present: only presence is counted.
 
-    The table is first grouped by all categories at once, with null counts of the dependents,
-    which shrinks it to its distinct combinations before anything is paired or shuffled.
+    Each row is spread to its pairs of columns first; Spark adds up equal ones in every task
+    before it shuffles them, so what is shuffled is pairs of values, never the table.
     """
     categories, dependents = list(categories), list(dependents)
-    values = [column(c).cast("string").alias(f"c{i}") for i, c in enumerate(categories)]
-    combos = df.groupBy(*values).agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.count(column(d)).alias(f"d{i}") for i, d in enumerate(dependents)],
-    )
-    entries = []
-    for i, c in enumerate(categories):
-        for j, other in enumerate(categories):
-            if i != j:
-                entries.append((c, f"c{i}", other, F.col(f"c{j}"), F.col("n")))
-        for j, other in enumerate(dependents):
-            entries.append((c, f"c{i}", other, F.lit(""), F.col(f"d{j}")))
-            entries.append((c, f"c{i}", other, F.lit(None).cast("string"), F.col("n") - F.col(f"d{j}")))
+    text = {c: column(c).cast("string") for c in categories}
+    entries = [(c, other, text[other]) for c in categories for other in categories if other != c]
+    entries += [
+        (c, other, F.when(column(other).isNotNull(), F.lit(""))) for c in categories for other in dependents
+    ]
     spread = F.array(
         *[
             F.struct(
                 F.lit(c).alias("if_column"),
-                F.col(v).alias("if_value"),
+                text[c].alias("if_value"),
                 F.lit(other).alias("then_column"),
                 value.alias("then_value"),
-                n.alias("n"),
             )
-            for c, v, other, value, n in entries
+            for c, other, value in entries
         ]
     )
     return (
-        combos.select(F.inline(spread))
-        .where(F.col("if_value").isNotNull() & (F.col("n") > 0))
+        df.select(F.inline(spread))
+        .where(F.col("if_value").isNotNull())
         .groupBy("if_column", "if_value", "then_column", "then_value")
-        .agg(F.sum("n").alias("n"))
+        .agg(F.count(F.lit(1)).alias("n"))
     )
 
 
