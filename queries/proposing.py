@@ -184,6 +184,29 @@ def recommend_from_supplied_profile(spark, sf_dir):
     return flat(recommend.recommend(on_driver(profile.supplied(given)))).drop("confidence", "allowed")
 
 
+@query(
+    " UNION ALL ".join(
+        f"SELECT '{t}' AS table_name, '{c}' AS column_name, 0.0::DOUBLE AS min_value, 0.8::DOUBLE AS confidence FROM {t} HAVING min({c}) >= 0"
+        for t in ("lineitem", "part", "customer")
+        for c, kind in TABLES[t].items()
+        if kind in ("int", "number")
+    )
+)
+def recommend_custom(spark, sf_dir):
+    """A recommender of one's own beside the basic ones: columns that were never negative."""
+
+    def never_negative(profiled):
+        return recommend.as_rules(
+            profiled.where("min_num >= 0"), checks.BETWEEN, F.array("column_name"), F.lit(0.8), F.lit("never negative"),
+            params_=recommend.params(min_value=F.lit(0.0)),
+        )
+
+    chosen = {t: table(spark, sf_dir, t) for t in ("lineitem", "part", "customer")}
+    profiled = profile.profile_tables(chosen, approx=True)
+    rules = recommend.recommend(profiled, (*recommend.BASIC, never_negative)).where("reason = 'never negative'")
+    return rules.select("table_name", F.element_at("target_columns", 1).alias("column_name"), "params.min_value", "confidence")
+
+
 OWN = {t: TABLES[t] for t in ("orders", "customer")}
 
 

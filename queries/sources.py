@@ -12,6 +12,7 @@ from plumbline import schemas
 from plumbline.functions import masking, naming, numbers
 from plumbline.operators import checks
 from plumbline.operators import rules as rule_ops
+from plumbline.plans import flows
 from plumbline.sources import labelled, tables
 from queries.base import query, table
 
@@ -102,6 +103,67 @@ def src_expected_rules(spark, sf_dir):
     )
 
 
+@query("SELECT user_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, value < 100 AS is_valid FROM events")
+def src_read_records(spark, sf_dir):
+    """Events written as JSON documents of a thousand each and read as labelled records."""
+    record = F.struct(
+        F.col("user_id").cast("bigint").alias("user_id"),
+        F.get_json_object("props", "$.k").cast("bigint").alias("k"),
+        (F.col("value") < 100).alias("_is_valid"),
+    )
+    where = shared_folder(spark)
+    events = table(spark, sf_dir, "events").select(F.floor(F.col("event_id") / 1000).alias("part"), record.alias("r"))
+    events.groupBy("part").agg(F.collect_list("r").alias("records")).select("records").write.option("maxRecordsPerFile", 1).json(where)
+    found = labelled.read_records(spark, where, schemas.struct(user_id=T.LongType(), k=T.LongType()))
+    return found.select("user_id", "k", F.col("_is_valid").alias("is_valid"))
+
+
+@query(
+    """SELECT n_name AS table_name, CAST(0 AS INTEGER) AS expected_index, 'columnValuesToBeBetween' AS rule_type,
+              'c_acctbal' AS target_column, min(c_acctbal) AS min_value, max(c_acctbal) AS max_value
+       FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name"""
+)
+def src_read_expected(spark, sf_dir):
+    """Expected ranges written as a JSON document with a map of tables, and read back."""
+    rule = F.struct(
+        F.lit(checks.BETWEEN).alias("rule_type"),
+        F.array(F.lit("c_acctbal")).alias("target_columns"),
+        F.struct(F.min("c_acctbal").alias("minValue"), F.max("c_acctbal").alias("maxValue")).alias("parameters"),
+    )
+    spread = (
+        table(spark, sf_dir, "customer")
+        .join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+        .groupBy("n_name")
+        .agg(F.array(rule).alias("expected_rules"))
+    )
+    spec = F.struct(F.col("n_name").alias("table_name"), "expected_rules")
+    where = shared_folder(spark)
+    spread.select(F.create_map("n_name", spec).alias("tables")).write.option("maxRecordsPerFile", 1).json(where)
+    return labelled.read_expected(spark, where).select(
+        "table_name", "expected_index", "rule_type",
+        F.element_at("target_columns", 1).alias("target_column"),
+        "params.min_value", "params.max_value",
+    )
+
+
+@query(
+    """SELECT table_name, rule_id, rows, violations, CASE WHEN violations = 0 THEN 'PASSED' ELSE 'FAILED' END AS status FROM (
+       SELECT 'orders' AS table_name, 'price' AS rule_id, count(*) AS rows, count(*) FILTER (o_totalprice > 400000) AS violations FROM orders
+       UNION ALL SELECT 'orders', 'key', count(*), CAST(0 AS BIGINT) FROM orders
+       UNION ALL SELECT 'lineitem', 'quantity', count(*), count(*) FILTER (l_quantity > 45) FROM lineitem)"""
+)
+def flow_rule_runs(spark, sf_dir):
+    """Rules of several tables, each run on its own table."""
+    rules = [
+        {"rule_id": "price", "table_name": "orders", "rule_type": checks.BETWEEN, "target_columns": ["o_totalprice"], "params": {"max_value": 400000}},
+        {"rule_id": "key", "table_name": "orders", "rule_type": checks.UNIQUE, "target_columns": ["o_orderkey"]},
+        {"rule_id": "quantity", "table_name": "lineitem", "rule_type": checks.BETWEEN, "target_columns": ["l_quantity"], "params": {"max_value": 45}},
+        {"rule_id": "absent", "table_name": "elsewhere", "rule_type": checks.NOT_NULL, "target_columns": ["x"]},
+    ]
+    chosen = {t: table(spark, sf_dir, t) for t in ("orders", "lineitem")}
+    return flows.rule_runs(chosen, rules, "run").select("table_name", "rule_id", "rows", "violations", "status")
+
+
 @query(
     """
     SELECT d.doc_id, lang, source, n_chars,
