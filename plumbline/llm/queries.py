@@ -97,7 +97,31 @@ def op6_repeated_windows(spark, sf_dir):
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-@query()
+@query(
+    r"""
+    WITH RECURSIVE worded AS (
+      SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    sets AS (
+      SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] ELSE
+        list_transform(generate_series(1, greatest(len(w) - 4, 1)), lambda i: array_to_string(w[i:i + 4], ' ')) END)) AS s
+      FROM worded),
+    classes AS (SELECT s, min(doc_id) AS rep, len(s) AS n FROM sets WHERE len(s) > 0 GROUP BY s),
+    parts AS (SELECT rep, n, unnest(s) AS shingle FROM classes),
+    pairs AS (
+      SELECT a.rep AS a, b.rep AS b, a.n + b.n AS sizes, count(*) AS shared
+      FROM parts a JOIN parts b ON a.shingle = b.shingle AND a.rep < b.rep GROUP BY ALL),
+    links AS (SELECT a, b FROM pairs WHERE 100 * shared >= 85 * (sizes - shared)),
+    reach AS (
+      SELECT rep AS x, rep AS y FROM classes
+      UNION
+      SELECT x, CASE WHEN a = y THEN b ELSE a END FROM reach JOIN links ON a = y OR b = y),
+    component AS (SELECT x AS rep, min(y) AS component_id FROM reach GROUP BY x)
+    SELECT doc_id, CAST(len(sets.s) AS BIGINT) AS n_shingles, coalesce(component_id, doc_id) AS component_id,
+           coalesce(component_id, doc_id) = doc_id AS kept
+    FROM sets LEFT JOIN classes ON sets.s = classes.s LEFT JOIN component USING (rep)
+    """
+)
 def op7_near_duplicates(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
