@@ -76,17 +76,18 @@ def text_bytes(df: DataFrame, column: str) -> int:
     return df.agg(F.sum(F.octet_length(column))).first()[0] or 0
 
 
-# Rows of a small table, about 200 bytes each, that may be broadcast.
+# Rows of a small table that may be broadcast: of about 200 bytes each, or of two numbers.
 BROADCAST_ROWS = 20_000
+BROADCAST_NUMBERS = 500_000
 SALTS = 32
 
 
-def beside(rows: DataFrame, side: DataFrame, key: str, n: int) -> DataFrame:
+def beside(rows: DataFrame, side: DataFrame, key: str, n: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Left join with a table of `n` rows that has each key once.
 
     Broadcast while that is small; beyond, every hot key is spread over SALTS tasks.
     """
-    if n <= BROADCAST_ROWS:
+    if n <= limit:
         return rows.join(F.broadcast(side), key, "left")
     salted = side.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     rows = rows.withColumn("salt", F.floor(F.rand(7) * SALTS).cast("int"))

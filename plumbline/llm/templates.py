@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.arrows import beside, checkpointed, keyed, told_apart
+from plumbline.llm.arrows import BROADCAST_NUMBERS, beside, checkpointed, free_name, keyed, told_apart
 
 DEPTH = 3
 LEAST_DOCS = 5
@@ -34,17 +34,25 @@ SIMILARITY = 0.6
 _WILD = "<*>"
 
 
-def masked(line: Column) -> Column:
-    """The tokens of a line, joined by single spaces, with a wildcard for those with a digit."""
-    single = F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]{2,}|[\x09-\x0D]", " "))
-    # starts of tokens only, without going back, so that very long tokens take linear time
-    return F.regexp_replace(single, r"(?<![^\x20])[^\x200-9]*+[0-9][^\x20]*+", _WILD)
+def masked(lines: Column) -> Column:
+    """The tokens of lines, joined by single spaces, with a wildcard for those with a digit."""
+
+    def spaced(line: Column) -> Column:
+        odd = line.rlike(r"[\x09-\x0D]|\x20\x20")
+        return F.trim(F.when(odd, F.regexp_replace(line, r"[\x20\x09-\x0D]{2,}|[\x09-\x0D]", " ")).otherwise(line))
+
+    def wild(line: Column) -> Column:
+        # starts of tokens only, without going back, so that very long tokens take linear time
+        token = r"(?<![^\x20])[^\x200-9]*+[0-9][^\x20]*+"
+        return F.when(line.rlike("[0-9]"), F.regexp_replace(line, token, _WILD)).otherwise(line)
+
+    return F.transform(F.transform(lines, spaced), wild)
 
 
 def _lines(docs: DataFrame, depth: int) -> DataFrame:
     """A row per line that the tree covers: its document, number, leaf, hash and surroundings."""
     hashed = docs.where(F.col("text").isNotNull()).select(
-        "id", "k1", "k2", F.transform(F.split("text", "\n", -1), masked).alias("line")
+        "id", "k1", "k2", masked(F.split("text", "\n", -1)).alias("line")
     )
     hashed = hashed.select("*", F.transform("line", lambda x: F.xxhash64(x)).alias("mask"))
     none = F.array(F.lit(None).cast("bigint"))
@@ -84,7 +92,10 @@ def _templates(lines: DataFrame, slim: DataFrame, least_docs: int, similarity: f
         .select("leaf", "seed")
     )
     variants = checkpointed(
-        lines.join(leaves, "leaf").groupBy("leaf", "seed", "mask").agg(F.min("line").alias("line"))
+        beside(lines, leaves, "leaf", leaves.count(), BROADCAST_NUMBERS)
+        .where("seed is not null")
+        .groupBy("leaf", "seed", "mask")
+        .agg(F.min("line").alias("line"))
     )
     seeds = checkpointed(
         variants.where("mask = seed").select("leaf", F.col("line").alias("seed_line"))
@@ -103,7 +114,7 @@ def recurring(
     slim = checkpointed(lines.drop("line", "tokens"))
     mapped = _templates(lines, slim, least_docs, similarity)
     placed = checkpointed(
-        beside(slim, mapped, "mask", mapped.count()).select(
+        beside(slim, mapped, "mask", mapped.count(), BROADCAST_NUMBERS).select(
             "k1", "k2", "number", "around", F.coalesce("template", "mask").alias("template")
         )
     )
@@ -137,7 +148,7 @@ def drop_lines(
     rows = keyed(docs.toDF(*inner), of[id], of[text])
     slim = rows.select(F.col(of[id]).alias("id"), F.col(of[text]).alias("text"), "k1", "k2")
     placed, found = recurring(slim, depth, least_docs, similarity)
-    hit = beside(placed, found.select("template", F.lit(True).alias("hit")), "template", found.count()).where("hit")
+    hit = beside(placed, found.select("template", F.lit(True).alias("hit")), "template", found.count(), BROADCAST_NUMBERS).where("hit")
     gone = checkpointed(hit.groupBy("k1", "k2").agg(F.array_sort(F.collect_set("number")).alias("gone")))
     joined = rows.join(gone, ["k1", "k2"], "left")
     lines = F.split(of[text], "\n", -1)
@@ -150,5 +161,5 @@ def drop_lines(
     names = list(docs.columns)
     if dropped is not None:
         columns.append(F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
-        names.append(dropped)
+        names.append(free_name(names, dropped))
     return joined.select(*columns).toDF(*names)
