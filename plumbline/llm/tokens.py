@@ -162,7 +162,10 @@ def scan(spark: SparkSession, folder: str, end_id: int, block_bytes: int = BLOCK
 
 
 def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, id: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """A row per document: id, n_tokens; by way of token files in the shared checkpoint folder."""
+    """A row per document: id, n_tokens; by way of token files in the shared checkpoint folder.
+
+    The files, two bytes for each token, stay there as long as the result may be read.
+    """
     spark = docs.sparkSession
     folder = f"{set_checkpoint_dir(spark)}/tokens-{uuid.uuid4().hex}"
     placed = write(docs, folder, vocabulary, id, text)
