@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from plumbline.llm import words as W
 from plumbline.llm.arrows import lists, quoted, text_bytes, texts_of
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 BUCKET_WINDOWS = 1 << 20
 BYTES_PER_WORD = 6
 LAST = np.iinfo(np.int64).max
@@ -185,7 +185,7 @@ def deduplicate(
 ) -> DataFrame:
     """A row per document: id, n_words, n_removed, removed (intervals of words), kept (text).
 
-    The driver holds one id per block, eight bytes for each 16 MB of text. The id is an integer.
+    The driver holds one id per block, eight bytes for each 8 MB of text. The id is an integer.
     """
     rows = docs.select(F.col(quoted(id)).cast("bigint").alias("id"), F.col(quoted(text)).alias("text"))
     total = text_bytes(rows, "text")
