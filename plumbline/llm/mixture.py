@@ -6,7 +6,9 @@ method rounds the fractions: it moves them along directions in which neither the
 documents nor the number of words taken changes, until each is 0 or 1. In the flight phase, one
 document after another moves, and all others of its group move the least that makes up for it.
 Long documents go first, so that the two or so that are left are short. The landing phase takes
-those of them that bring the words nearest to the target.
+those of them that bring the words nearest to the target. Where a document goes is drawn once by
+its fraction; as bounds are met on the way, the chances of the last and shortest few of a group
+may end a tenth off their fractions, while long documents keep theirs.
 
 Sources are dealt into groups of about 4096 documents that fly apart; what is left of them flies
 again, level by level, until each source is one group. Reruns agree: chance comes from hashes.
@@ -66,14 +68,12 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     return weighed.select("source", "source_size", "weight", full.alias("full"), target.alias("target"))
 
 
-def _step(chance: np.ndarray, way: np.ndarray, draw: float) -> np.ndarray:
-    """Chances moved along or against a direction until one is 0 or 1; both ways even out."""
+def _step(chance: np.ndarray, way: np.ndarray, forward: bool) -> np.ndarray:
+    """Chances moved along or against a direction until one is 0 or 1."""
     with np.errstate(divide="ignore", invalid="ignore"):
         room_up = np.where(way > 0, (1 - chance) / way, np.where(way < 0, -chance / way, np.inf))
         room_down = np.where(way > 0, chance / way, np.where(way < 0, (chance - 1) / way, np.inf))
-    up, down = room_up.min(), room_down.min()
-    forward = draw * (up + down) < down
-    step = up if forward else -down
+    step = room_up.min() if forward else -room_down.min()
     moved = chance + step * way
     at = int((room_up if forward else room_down).argmin())
     moved[at] = float((way[at] > 0) == forward)
@@ -88,12 +88,15 @@ def flight(size: np.ndarray, chance: np.ndarray, draw: np.ndarray, land: bool) -
     chance = np.where(chance < _NEAR, 0.0, np.where(chance > 1 - _NEAR, 1.0, chance))
     chances = np.random.default_rng((draw * (1 << 40)).astype(np.uint64))
     stuck = []
+    moving, forward = -1, False
     while True:
         held = np.flatnonzero((chance > 0) & (chance < 1))
         held = held[~np.isin(held, stuck)] if stuck else held
         if len(held) < 2:
             break
         first, rest = held[0], held[1:]
+        if first != moving:  # where it goes is drawn once, so that a long document gets there
+            moving, forward = first, chances.random() < chance[first]
         gap = size[rest] - size[rest].mean()
         spread = float(gap @ gap)
         own = float(size[first] - size[rest].mean())
@@ -104,12 +107,12 @@ def flight(size: np.ndarray, chance: np.ndarray, draw: np.ndarray, land: bool) -
         else:  # nothing among the rest makes up for its words
             stuck.append(first)
             continue
-        chance[held] = _step(chance[held], way, chances.random())
+        chance[held] = _step(chance[held], way, forward)
     if land:
         held = np.flatnonzero((chance > 0) & (chance < 1))
         while len(held) > _LANDING:
             pair = held[:2]
-            chance[pair] = _step(chance[pair], np.array([1.0, -1.0]), chances.random())
+            chance[pair] = _step(chance[pair], np.array([1.0, -1.0]), chances.random() < chance[pair[0]])
             held = held[(chance[held] > 0) & (chance[held] < 1)]
         ways = (np.arange(1 << len(held))[:, None] >> np.arange(len(held))) & 1
         off = ways - chance[held]
@@ -181,7 +184,7 @@ def mixture(
     """A row per document: id, size, source_size, target (of its source), copies, taken (words)."""
     rows = docs.select(
         F.col(quoted(id)).alias("id"),
-        F.lit(0).cast("bigint").alias("mark"),
+        F.xxhash64(*told_apart(F.col(quoted(text)), F.col(quoted(source)))).alias("mark"),
         F.col(quoted(source)).cast("string").alias("source"),
         words_of(F.col(quoted(text))).alias("size"),
     )
