@@ -5,19 +5,20 @@ are variable fields and count as one wildcard. In a leaf, the line seen most oft
 lines that agree with it in enough places belong to it, and the places where they differ are
 variable fields as well. Every other line of the leaf is a template of its own.
 
-A template recurs when it stands in at least `least_docs` documents, in as many surroundings, and no
-surrounding (the lines before and after) makes up more than half of the documents. So lines that
-many unlike documents share are dropped, while copies of a document, in which each line stands
-between the same two lines, keep theirs for document deduplication.
+A template recurs when it stands in at least `least_docs` unlike documents, wherever in them. A
+document is unlike all others when at least a tenth of its tokens are in lines that no other document
+has; the others are copies, and all copies with the same rarest shared line (the first by documents,
+then by hash) count as one. So lines that many unlike documents share are dropped, whole blocks of
+them too, while copies of a document, near copies among them, keep theirs for document deduplication.
 
 Lines are compared by 64-bit hashes; their texts are shuffled only in leaves where lines differ.
 
 Tokens: maximal runs of characters other than space and \\x09-\\x0D.
 
 Defined cases: a null text stays null and has no lines; an empty text has one, which is empty. Lines
-with no more tokens than the tree looks at are never dropped, nor are empty lines. The first of the
-lines seen equally often is the one in the smallest id and place. Rows with the same id and text
-are one document when lines are counted, and each gives a row.
+with no more tokens than the tree looks at are never dropped, but tell documents apart; empty lines
+do neither. The first of the lines seen equally often is the one in the smallest id and place. Rows
+with the same id and text are one document when lines are counted, and each gives a row.
 """
 
 from __future__ import annotations
@@ -25,11 +26,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.arrows import BROADCAST_NUMBERS, beside, checkpointed, free_name, keyed, told_apart
+from plumbline.llm.arrows import BROADCAST_NUMBERS, beside, checkpointed, free_name, keyed
 
 DEPTH = 3
 LEAST_DOCS = 5
 SIMILARITY = 0.6
+OWN = 0.1  # share of the tokens of a document that its own lines hold; near copies at 0.85 have 0.08
 
 _WILD = "<*>"
 
@@ -50,27 +52,21 @@ def masked(lines: Column) -> Column:
 
 
 def _lines(docs: DataFrame, depth: int) -> DataFrame:
-    """A row per line that the tree covers: its document, number, leaf, hash and surroundings."""
+    """A row per line with tokens: its document, number and hash, and its leaf where the tree covers it."""
     hashed = docs.where(F.col("text").isNotNull()).select(
         "id", "k1", "k2", masked(F.split("text", "\n", -1)).alias("line")
     )
     hashed = hashed.select("*", F.transform("line", lambda x: F.xxhash64(x)).alias("mask"))
-    none = F.array(F.lit(None).cast("bigint"))
     zipped = F.arrays_zip(
         F.sequence(F.lit(0), F.size("line") - 1).alias("number"),
         F.col("line"),
         F.col("mask"),
-        F.concat(none, F.slice("mask", 1, F.size("mask") - 1)).alias("before"),
-        F.concat(F.slice("mask", 2, F.size("mask")), none).alias("after"),
     )
-    rows = hashed.select("id", "k1", "k2", F.inline(zipped).alias("number", "line", "mask", "before", "after"))
+    rows = hashed.select("id", "k1", "k2", F.inline(zipped).alias("number", "line", "mask")).where("line <> ''")
     tokens = F.length("line") - F.length(F.replace(F.col("line"), F.lit(" "), F.lit(""))) + 1
-    rows = rows.withColumn("tokens", tokens).where(F.col("tokens") > depth)
-    return rows.select(
-        "id", "k1", "k2", "number", "line", "mask", "tokens",
-        F.xxhash64("tokens", F.substring_index("line", " ", depth)).alias("leaf"),
-        F.xxhash64(*told_apart(F.col("before"), F.col("after"))).alias("around"),
-    )
+    rows = rows.withColumn("tokens", tokens)
+    leaf = F.when(F.col("tokens") > depth, F.xxhash64("tokens", F.substring_index("line", " ", depth)))
+    return rows.select("id", "k1", "k2", "number", "line", "mask", "tokens", leaf.alias("leaf"))
 
 
 def _agreement(a: str, b: str) -> Column:
@@ -82,7 +78,7 @@ def _agreement(a: str, b: str) -> Column:
 def _templates(lines: DataFrame, slim: DataFrame, least_docs: int, similarity: float) -> DataFrame:
     """From a line to the template of its leaf, for lines that belong to it and differ from it."""
     counted = checkpointed(
-        slim.groupBy("leaf", "mask").agg(F.count("*").alias("n"), F.min(F.struct("id", "number")).alias("first"))
+        slim.where("leaf is not null").groupBy("leaf", "mask").agg(F.count("*").alias("n"), F.min(F.struct("id", "number")).alias("first"))
     )
     seed = F.min_by("mask", F.struct(-F.col("n"), "first"))
     leaves = checkpointed(
@@ -109,23 +105,34 @@ def _templates(lines: DataFrame, slim: DataFrame, least_docs: int, similarity: f
 def recurring(
     docs: DataFrame, depth: int = DEPTH, least_docs: int = LEAST_DOCS, similarity: float = SIMILARITY
 ) -> tuple[DataFrame, DataFrame]:
-    """Lines (k1, k2, number, template), and the templates that recur with their documents."""
+    """Lines (k1, k2, number, tokens, template), and the templates that recur with their documents."""
     lines = _lines(docs, depth)
-    slim = checkpointed(lines.drop("line", "tokens"))
+    slim = checkpointed(lines.drop("line"))
     mapped = _templates(lines, slim, least_docs, similarity)
     placed = checkpointed(
         beside(slim, mapped, "mask", mapped.count(), BROADCAST_NUMBERS).select(
-            "k1", "k2", "number", "around", F.coalesce("template", "mask").alias("template")
+            "k1", "k2", "number", "tokens", F.coalesce("template", "mask").alias("template")
         )
     )
+    shared = checkpointed(
+        placed.select("template", "k1", "k2").distinct().groupBy("template").agg(F.count("*").alias("docs")).where("docs > 1")
+    )
+    counted = beside(placed, shared, "template", shared.count(), BROADCAST_NUMBERS)
+    frequent = (F.col("tokens") > depth) & (F.col("docs") >= least_docs)
+    documents = counted.groupBy("k1", "k2").agg(
+        F.sum("tokens").alias("all"),
+        F.sum(F.when(F.col("docs").isNull(), F.col("tokens")).otherwise(0)).alias("own"),
+        F.min(F.when(F.col("docs").isNotNull(), F.struct("docs", "template"))).alias("rarest"),
+        F.collect_set(F.when(frequent, F.col("template"))).alias("templates"),
+    )
+    unlike = F.col("own") >= OWN * F.col("all")
+    kind = F.when(unlike, F.xxhash64("k1", "k2")).otherwise(F.col("rarest.template"))
     found = (
-        placed.groupBy("template", "k1", "k2")
-        .agg(F.min_by("around", "number").alias("around"))
-        .groupBy("template", "around")
-        .agg(F.count("*").alias("n"))
+        documents.select(F.explode("templates").alias("template"), kind.alias("kind"))
+        .distinct()
         .groupBy("template")
-        .agg(F.sum("n").alias("docs"), F.max("n").alias("most"), F.count("*").alias("surroundings"))
-        .where((F.col("docs") >= least_docs) & (F.col("surroundings") >= least_docs) & (2 * F.col("most") <= F.col("docs")))
+        .agg(F.count("*").alias("docs"))
+        .where(F.col("docs") >= least_docs)
     )
     return placed, checkpointed(found)
 

@@ -82,3 +82,13 @@ def test_plan_has_no_python(make_docs, rows):
 
 def test_empty_table(make_docs):
     assert templates.drop_lines(make_docs([(1, "a")]).limit(0)).count() == 0
+
+
+def test_blocks_between_blank_lines_go_and_copies_stay(make_docs, prose):
+    footer = ["Published by the great society of lines .", "Licensed under terms that nobody reads .", "Write to us for any other use ."]
+    unlike = ["\n\n".join([prose(15), prose(15), *footer]) for _ in range(8)]
+    base = [prose(10) for _ in range(20)]
+    near = ["\n\n".join(base[:k] + [prose(10)] + base[k + 1 :]) for k in range(8)]
+    found = templates.drop_lines(make_docs(list(enumerate(unlike + near))), dropped="dropped").collect()
+    assert {tuple(r.dropped) for r in found if r.doc_id < 8} == {(4, 6, 8)}
+    assert not any(r.dropped for r in found if r.doc_id >= 8)
