@@ -98,15 +98,17 @@ CUTOFF = 40.0
 STEPS = 4
 
 # Transformed statistics are held in thousandths. Their scatter is not taken to be smaller than
-# these standard deviations, so that a group without any variation keeps what is merely unusual.
+# these standard deviations, so that a group without any variation keeps what is merely unusual:
+# up to 13% symbols a word, or 28% duplicate lines or repeated words. Each is above the step of
+# one symbol or one repeated window in the shortest text that the fixed limits keep.
 FEATURES = {
     "word_length": 50.0,
-    "symbols": 30.0,
-    "dup_lines": 120.0,
-    "repeat_words": 120.0,
+    "symbols": 20.0,
+    "dup_lines": 40.0,
+    "repeat_words": 40.0,
 }
 _N = len(FEATURES)
-_FLOOR = np.diag(np.square(list(FEATURES.values())))
+_FLOOR = np.array(list(FEATURES.values()))
 _BIN = 10  # width of the bins of the medians, in thousandths
 _PAIRS = [(i, j) for i in range(_N) for j in range(i, _N)]
 
@@ -158,6 +160,14 @@ def _estimated(group: int, n: int, centre: np.ndarray, scatter: np.ndarray) -> d
     }
 
 
+def _floored(scatter: np.ndarray) -> np.ndarray:
+    """The scatter, at least that of the floors in every direction; the floor of word lengths adds to theirs."""
+    scatter = scatter.copy()
+    scatter[0, 0] += _FLOOR[0] ** 2
+    value, vector = np.linalg.eigh(scatter / np.outer(_FLOOR, _FLOOR))
+    return (vector * np.maximum(value, 1.0)) @ vector.T * np.outer(_FLOOR, _FLOOR)
+
+
 def _started(table: pa.Table) -> pa.Table:
     """Medians and quartile ranges of a group, from counts of bins."""
     group, n = table.column("group")[0].as_py(), 0
@@ -170,7 +180,7 @@ def _started(table: pa.Table) -> pa.Table:
         n = int(total[-1])
         q = [(place[order][np.searchsorted(total, n * p)] + 0.5) * _BIN for p in (0.25, 0.5, 0.75)]
         centre[k], scale[k] = q[1], (q[2] - q[0]) / 1.349
-    return pa.Table.from_pylist([_estimated(group, n, centre, np.diag(scale**2) + _FLOOR)], schema=_arrow(_ESTIMATE))
+    return pa.Table.from_pylist([_estimated(group, n, centre, _floored(np.diag(scale**2)))], schema=_arrow(_ESTIMATE))
 
 
 def _concentrated(table: pa.Table) -> pa.Table:
@@ -186,7 +196,7 @@ def _concentrated(table: pa.Table) -> pa.Table:
         mean_ij = float(sum(table.column(f"s{i}{j}").to_pylist()[:last])) / half
         scatter[i, j] = scatter[j, i] = mean_ij - mean[i] * mean[j]
     group = table.column("group")[0].as_py()
-    row = _estimated(group, int(total[-1]), mean, CONSISTENCY * scatter + _FLOOR)
+    row = _estimated(group, int(total[-1]), mean, _floored(CONSISTENCY * scatter))
     return pa.Table.from_pylist([row], schema=_arrow(_ESTIMATE))
 
 

@@ -92,3 +92,19 @@ def test_consistency_factor():
     x = rng.normal(size=(200_000, 4))
     inner = x[np.argsort((x**2).sum(axis=1))[:100_000]]
     assert abs(quality.CONSISTENCY * inner.var() - 1) < 0.02
+
+
+def test_repeats_alone_reject_in_a_group_without_any(make_docs):
+    rng = random.Random(5)
+    words = lambda n: ["".join(rng.choice("abcdefghiklmnoprstuv") for _ in range(rng.randint(2, 9))) for _ in range(n)]
+    line = lambda: " ".join(words(12))
+    rows = [(k, "\n".join(line() for _ in range(12)), "en", "a") for k in range(150)]
+    phrase = " ".join(words(15))
+    rows.append((200, "\n".join(f"{line()}\nyes\nno" for _ in range(14)), "en", "a"))
+    rows.append((201, "\n".join(f"{' '.join(words(9))} {phrase} {' '.join(words(9))}" for _ in range(3)), "en", "a"))
+    rows.append((202, "\n".join([line() for _ in range(12)] + [rows[0][1].split("\n")[0]] * 2), "en", "a"))
+    found = {r.doc_id: r for r in quality.quality(make_docs(rows)).collect()}
+    assert not found[200].base_failed and 100 * found[200].n_dup_lines > 50 * found[200].n_lines
+    assert not found[201].base_failed and 100 * found[201].n_repeat_words > 44 * found[201].n_words
+    assert not found[200].kept and not found[201].kept
+    assert all(found[k].kept for k in (*range(150), 202))
