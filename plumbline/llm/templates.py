@@ -1,9 +1,10 @@
 """Line deduplication with a log-template tree of fixed depth, in DataFrame functions alone.
 
 A line is put down the tree by its number of tokens and its leading tokens; tokens with a digit
-are variable fields and count as one wildcard. In a leaf, the line seen most often is the template;
+are variable fields and count as one wildcard. In a leaf, the line seen most often is a template;
 lines that agree with it in enough places belong to it, and the places where they differ are
-variable fields as well. Every other line of the leaf is a template of its own.
+variable fields as well. Of the lines left over, the one seen most often is the next template, and
+so on until too few are left to recur; those are templates of their own.
 
 A template recurs when it stands in at least `least_docs` unlike documents, wherever in them. A
 document is unlike all others when at least a tenth of its tokens are in lines that no other document
@@ -23,7 +24,7 @@ with the same id and text are one document when lines are counted, and each give
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.arrows import BROADCAST_NUMBERS, beside, checkpointed, free_name, keyed
@@ -33,6 +34,9 @@ LEAST_DOCS = 5
 SIMILARITY = 0.6
 OWN = 0.1  # share of the tokens of a document that its own lines hold; near copies at 0.85 have 0.08
 
+# Lines of a leaf among which a round picks templates: at first, and at most.
+FIRST, MOST = 64, 4096
+
 _WILD = "<*>"
 
 
@@ -69,37 +73,60 @@ def _lines(docs: DataFrame, depth: int) -> DataFrame:
     return rows.select("id", "k1", "k2", "number", "line", "mask", "tokens", leaf.alias("leaf"))
 
 
-def _agreement(a: str, b: str) -> Column:
+def _agreement(a: Column, b: Column) -> Column:
     """Share of the tokens of two lines of one length that are equal."""
-    same = F.zip_with(F.split(a, " "), F.split(b, " "), lambda x, y: (x == y).cast("int"))
-    return F.aggregate(same, F.lit(0), lambda n, x: n + x) / F.size(F.split(a, " "))
+    same = F.zip_with(a, b, lambda x, y: (x == y).cast("int"))
+    return F.aggregate(same, F.lit(0), lambda n, x: n + x) / F.size(a)
+
+
+def _unsettled(variants: DataFrame, least_docs: int) -> DataFrame:
+    """The variants of leaves that could still hold a template of several lines that recurs."""
+    leaves = (
+        variants.groupBy("leaf").agg(F.count("*").alias("masks"), F.sum("n").alias("lines"))
+        .where((F.col("masks") > 1) & (F.col("lines") >= least_docs))
+        .select("leaf")
+    )
+    return variants.join(leaves, "leaf", "left_semi")
 
 
 def _templates(lines: DataFrame, slim: DataFrame, least_docs: int, similarity: float) -> DataFrame:
-    """From a line to the template of its leaf, for lines that belong to it and differ from it."""
-    counted = checkpointed(
-        slim.where("leaf is not null").groupBy("leaf", "mask").agg(F.count("*").alias("n"), F.min(F.struct("id", "number")).alias("first"))
-    )
-    seed = F.min_by("mask", F.struct(-F.col("n"), "first"))
+    """From a line to the template of its leaf, for lines that belong to it and differ from it.
+
+    A round settles the first lines of every leaf one after the other, and all lines that agree with
+    the templates among them; the first of these is theirs.
+    """
+    counted = slim.where("leaf is not null").groupBy("leaf", "mask").agg(F.count("*").alias("n"))
     leaves = checkpointed(
         counted.groupBy("leaf")
-        .agg(F.count("*").alias("masks"), F.sum("n").alias("lines"), seed.alias("seed"))
+        .agg(F.count("*").alias("masks"), F.sum("n").alias("lines"))
         .where((F.col("masks") > 1) & (F.col("lines") >= least_docs))
-        .select("leaf", "seed")
+        .select("leaf", F.lit(True).alias("several"))
     )
-    variants = checkpointed(
+    left = checkpointed(
         beside(lines, leaves, "leaf", leaves.count(), BROADCAST_NUMBERS)
-        .where("seed is not null")
-        .groupBy("leaf", "seed", "mask")
-        .agg(F.min("line").alias("line"))
-    )
-    seeds = checkpointed(
-        variants.where("mask = seed").select("leaf", F.col("line").alias("seed_line"))
-    )
-    others = variants.where("mask <> seed").join(seeds, "leaf")
-    return checkpointed(
-        others.where(_agreement("line", "seed_line") >= similarity).select("mask", F.col("seed").alias("template"))
+        .where("several")
+        .groupBy("leaf", "mask")
+        .agg(F.count("*").alias("n"), F.min(F.struct("id", "number")).alias("first"), F.min("line").alias("line"))
+        .select("leaf", "mask", "n", "first", F.split("line", " ").alias("words"))
     )
+    agree = lambda x, y: _agreement(x["words"], y["words"]) >= similarity
+    add = lambda known, x: F.when(F.exists(known, lambda t: agree(t, x)), known).otherwise(F.concat(known, F.array(x)))
+    none = F.array().cast("array<struct<mask:bigint,words:array<string>>>")
+    rank = F.row_number().over(Window.partitionBy("leaf").orderBy(F.col("n").desc(), "first"))
+    mapped, first = None, FIRST
+    while mapped is None or left.count():
+        heads = left.withColumn("rank", rank).where(F.col("rank") <= first)
+        own = F.array_sort(F.collect_list(F.struct("rank", "mask", "words")))
+        own = F.transform(own, lambda x: F.struct(x["mask"].alias("mask"), x["words"].alias("words")))
+        seeds = heads.groupBy("leaf").agg(own.alias("own")).select("leaf", F.aggregate("own", none, add).alias("seeds"))
+        line = F.struct("mask", "words")
+        placed = left.join(seeds, "leaf").withColumn("seed", F.get(F.filter("seeds", lambda t: agree(t, line)), F.lit(0))["mask"]).drop("seeds")
+        placed = checkpointed(placed)
+        found = placed.where("seed <> mask").select("mask", F.col("seed").alias("template"))
+        mapped = found if mapped is None else mapped.unionByName(found)
+        left = checkpointed(_unsettled(placed.where("seed is null").drop("seed"), least_docs))
+        first = min(2 * first, MOST)
+    return mapped
 
 
 def recurring(

@@ -92,3 +92,16 @@ def test_blocks_between_blank_lines_go_and_copies_stay(make_docs, prose):
     found = templates.drop_lines(make_docs(list(enumerate(unlike + near))), dropped="dropped").collect()
     assert {tuple(r.dropped) for r in found if r.doc_id < 8} == {(4, 6, 8)}
     assert not any(r.dropped for r in found if r.doc_id >= 8)
+
+
+def test_second_template_of_a_leaf_generalises(make_docs, prose):
+    name = lambda k: "abcdefghijklmnop"[k] * 4
+    texts = [f"{prose(15)}\nPosted on Monday by {name(k)} from the {name(k)} office\n{prose(15)}" for k in range(8)]
+    texts += [f"{prose(15)}\n{prose(15)}\nPosted on Monday with {name(k)} under our {name(k)} licence" for k in range(7)]
+    # more templates of one leaf than a round settles
+    odd = [" ".join(["One", "two", "three", *(f"{a}{chr(97 + k % 26)}{chr(97 + k // 26)}" for a in "uvwxyz")]) for k in range(70)]
+    late = [f"One two three late {name(k)} of {name(k)} again and" for k in range(6)]
+    texts += [f"{prose(15)}\n{x}\n{x}" for x in odd] + [f"{x}\n{prose(15)}" for x in late]
+    found = {r.doc_id: r.dropped for r in templates.drop_lines(make_docs(list(enumerate(texts))), dropped="dropped").collect()}
+    want = [[1]] * 8 + [[2]] * 7 + [[]] * 70 + [[0]] * 6
+    assert [found[k] for k in range(len(texts))] == want
