@@ -7,7 +7,8 @@ page by page, so no page list is ever gathered. Large and frequent classes whose
 on each of their pages are valid; nested in each other by their paths they are the template, and
 what lies between their tokens are its slots. The main slot is the innermost container of the
 template that holds most of the text outside menus, notices and the like; texts that are template
-themselves are left out of it.
+themselves are left out of it, unless they are the larger part of its text on a page, as where a
+host repeats one article.
 
 Pages of hosts with few pages, and pages without the main slot of their host, fall back on their
 article or main element, and at last on all of their body.
@@ -242,13 +243,19 @@ def main_text(source: str | None, main: int | None, template_texts: set[int], nu
     for tags in (("article",), ("main",)):
         chosen = chosen or {k for k, c in enumerate(page.containers) if c[2] in tags}
     inside = page.within(chosen) if chosen else [True] * len(page.containers)
-    blocks: dict[int, list[str]] = {}
+    held: list[tuple[int, str, bool]] = []
     for container, block, text, aside in page.texts:
         if aside or not (inside[container] if container >= 0 else not chosen):
             continue
-        if template_texts and text.strip() and _text_number(page.containers[container][0] if container >= 0 else 0, text) in template_texts:
-            continue
-        blocks.setdefault(block, []).append(text)
+        path = page.containers[container][0] if container >= 0 else 0
+        held.append((block, text, bool(template_texts and text.strip()) and _text_number(path, text) in template_texts))
+    size = [0, 0]
+    for _, text, known in held:
+        size[known] += sum(map(len, text.split()))
+    blocks: dict[int, list[str]] = {}
+    for block, text, known in held:
+        if not known or size[True] > size[False]:
+            blocks.setdefault(block, []).append(text)
     cleaned = (" ".join(entities.unescape("".join(parts)).split()) for parts in blocks.values())
     return "\n\n".join(c for c in cleaned if c)
 

@@ -76,3 +76,16 @@ def test_template_is_nested_classes(spark, words):
     tags = {c[0]: c[2] for c in p.containers}
     assert tags[found[0].main] == "main"
     assert len(found[0].texts) == 1
+
+
+def test_copies_of_one_article_keep_their_text(spark, words):
+    blocks = [words(30) for _ in range(4)]
+    html = lambda k: (
+        f"<body><div id=top>Our site</div><div id=main><h1>One title</h1>{''.join(f'<p>{b}' for b in blocks)}"
+        f"<p>Printed {k}</p></div><div id=side>{words(4)}</div></body>"
+    )
+    rows = [page(k, f"http://d.example/?session={k}", html(k)) for k in range(25)]
+    got = run(spark, rows + [page(99 + k, f"http://e.example/{k}", html(0)) for k in range(25)])
+    want = lambda k: "\n\n".join(["One title", *blocks, f"Printed {k}"])
+    assert all(got[k].text == want(k) for k in range(25))
+    assert all(want(0) in got[99 + k].text for k in range(25))
