@@ -85,3 +85,27 @@ def test_empty_corpus(make_docs):
     assert lm.score(none, empty).count() == 0
     assert lm.score(make_docs([(1, "a b")]), empty).first().n_words == 2
     assert lm.train(make_docs([(1, None), (2, "")])) is not None
+
+
+def test_default_rounds_predict_every_word_once(make_docs):
+    texts = corpus(200, 4)
+    docs = make_docs(list(enumerate(texts))).select("text")
+    vocabulary, counts = lm.vocabulary_of(docs)
+    state = docs.sparkSession.sparkContext.broadcast((vocabulary, lm.fresh(counts).flat()))
+    kind = "slice int, task int, seen bigint, part binary"
+    seen = 0
+    for turn in range(lm.ROUNDS):
+        parts = docs.mapInArrow(lambda b, t=turn: lm._trained(b, state, lm.MASKED, t), kind)
+        seen += sum(r.seen for r in parts.where("slice = 0").select("seen").collect())
+    assert seen == sum(len(t.split()) for t in texts)
+
+
+def test_defaults_tell_held_out_documents_from_shuffled_ones(make_docs):
+    model = lm.train(make_docs(list(enumerate(corpus(6000, 1)))))
+    rng = random.Random(2)
+    held = corpus(60, 3)
+    shuffled = [" ".join(rng.sample(t.split(), len(t.split()))) for t in held]
+    rows = {r.doc_id: r for r in lm.score(make_docs(list(enumerate(held + shuffled))), model).collect()}
+    good = np.mean([rows[k].mean_log_prob for k in range(60)])
+    bad = np.mean([rows[k + 60].mean_log_prob for k in range(60)])
+    assert good > bad
