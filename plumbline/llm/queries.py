@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, lm, minhash, mixture, pages, quality, repeats, secrets, templates, tokens
+from plumbline.llm import (
+    clusters,
+    collocations,
+    decontaminate,
+    lm,
+    minhash,
+    mixture,
+    pages,
+    quality,
+    repeats,
+    secrets,
+    simhash,
+    templates,
+    tokens,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -267,3 +281,99 @@ def op1_token_counts(spark, sf_dir):
 def op5_pseudo_likelihood(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return lm.score(docs, lm.train(docs))
+
+
+@query(
+    r"""
+    WITH pieces AS (
+      SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w
+      FROM (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''),
+              'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+            FROM documents)),
+    f AS MATERIALIZED (
+      SELECT lang, m, array_to_string(g, ' ') AS g, count(*) AS c
+      FROM (SELECT lang, m, list_slice(w, i, i + m - 1) AS g
+            FROM (SELECT lang, w, m, unnest(generate_series(1, len(w) - m + 1)) AS i
+                  FROM pieces, (VALUES (1), (2), (3)) AS sizes(m) WHERE len(w) >= m))
+      GROUP BY ALL),
+    totals AS (SELECT lang, sum(c) AS n FROM f WHERE m = 1 GROUP BY lang),
+    candidates AS MATERIALIZED (
+      SELECT lang, m, g, string_split(g, ' ') AS w, c AS a FROM f WHERE m >= 2 AND c >= 10),
+    parts AS (
+      SELECT lang, g, a, k, array_to_string(w[1:k], ' ') AS head, array_to_string(w[k + 1:], ' ') AS tail
+      FROM (SELECT *, unnest(generate_series(1, m - 1)) AS k FROM candidates)),
+    cuts AS (
+      SELECT p.lang, p.g, p.a, p.k, l.c AS l, r.c AS r,
+             (1000000 * CAST(p.a AS HUGEINT) * p.a) // (CAST(l.c AS HUGEINT) * r.c) AS score
+      FROM parts AS p JOIN f AS l ON l.lang = p.lang AND l.g = p.head JOIN f AS r ON r.lang = p.lang AND r.g = p.tail),
+    scored AS (
+      SELECT lang, g, a, arg_min(l, (score, k)) AS l, arg_min(r, (score, k)) AS r, min(score) AS score
+      FROM cuts GROUP BY ALL),
+    inner_phrases AS (
+      SELECT lang, array_to_string(w[i:i + 1], ' ') AS g, max(a) AS longer
+      FROM (SELECT *, unnest([1, 2]) AS i FROM candidates WHERE m = 3) GROUP BY ALL),
+    ranked AS (
+      SELECT s.lang, s.g AS phrase, a, l, r, n, score,
+             row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, a DESC, s.g) AS rank
+      FROM scored AS s JOIN totals USING (lang)
+      LEFT JOIN inner_phrases AS p ON p.lang = s.lang AND p.g = s.g
+      WHERE longer IS NULL OR 100 * longer < 50 * a)
+    SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+    FROM ranked WHERE rank <= 2000
+    """
+)
+def op11_collocations(spark, sf_dir):
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def _clusters_sql(k: int = 16, rounds: int = 3) -> str:
+    """Assignment and new centroids, round by round."""
+    parts = [
+        f"""kept AS (
+      SELECT row_number() OVER () AS row, vec_id,
+             list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+      FROM embeddings
+      WHERE len(embedding) = 64
+        AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(CAST(x AS DOUBLE)))) = 64),
+    c0 AS (
+      SELECT row_number() OVER (ORDER BY sha256('1:' || CAST(vec_id AS VARCHAR)), v) - 1 AS cluster, v AS c
+      FROM kept QUALIFY cluster < {k})"""
+    ]
+    for turn in range(rounds + 1):
+        parts.append(
+            f"""a{turn} AS (
+      SELECT row, vec_id, v, arg_min(cluster, (distance, cluster)) AS cluster, min(distance) AS distance
+      FROM (SELECT row, vec_id, v, cluster,
+              list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS distance
+            FROM kept, c{turn})
+      GROUP BY row, vec_id, v)"""
+        )
+        if turn < rounds:
+            parts.append(
+                f"""s{turn} AS (
+      SELECT cluster, j, sum(x) AS s, count(*) AS n
+      FROM (SELECT cluster, unnest(v) AS x, generate_subscripts(v, 1) AS j FROM a{turn}) GROUP BY ALL),
+    c{turn + 1} AS (
+      SELECT c{turn}.cluster, coalesce(m.c, c{turn}.c) AS c
+      FROM c{turn} LEFT JOIN (
+        SELECT cluster, list(CAST(s // n - CASE WHEN s % n < 0 THEN 1 ELSE 0 END AS BIGINT) ORDER BY j) AS c
+        FROM s{turn} GROUP BY cluster) AS m USING (cluster))"""
+            )
+    return f"""
+    WITH {", ".join(parts)}
+    SELECT vec_id, CAST(cluster AS INTEGER) AS cluster, CAST(distance AS BIGINT) AS distance,
+           CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia,
+           CAST(sum(distance) OVER () AS BIGINT) AS inertia,
+           sha256(array_to_string(c, ',')) AS centroid_sha256
+    FROM a{rounds} JOIN c{rounds} USING (cluster)
+    """
+
+
+@query(_clusters_sql())
+def op12_centroid_clusters(spark, sf_dir):
+    return clusters.cluster(table(spark, sf_dir, "embeddings"))
+
+
+@query()
+def op13_simhash(spark, sf_dir):
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
