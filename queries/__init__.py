@@ -2,6 +2,7 @@
 
 from queries import (  # noqa: F401
     checking,
+    discovering,
     observing,
     predicates,
     profiles,
