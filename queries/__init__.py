@@ -7,6 +7,7 @@ from queries import (  # noqa: F401
     predicates,
     profiles,
     proposing,
+    rulegraphs,
     ruletables,
     scoring,
     sources,
