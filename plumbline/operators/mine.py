@@ -41,6 +41,8 @@ MAX_GROUP = 4
 # Fewer rows than this behind a mined rule make it a warning.
 SMALL_SUPPORT = 30
 AGGREGATES_PER_SCAN = 200
+# From here on, pairs of numbers are counted in numpy: Spark would scan the table for each third of it.
+ARROW_PAIRS = 200
 # A grouping id is a 64-bit number.
 MAX_GROUPING_SETS = 32
 
@@ -191,11 +193,10 @@ def _counters(df: DataFrame, items: Sequence[dict[str, Column]]) -> DataFrame:
 # What numpy compares exactly: integers with their range, and floating point numbers.
 _INTEGERS = {T.ByteType: 8, T.ShortType: 16, T.IntegerType: 32, T.LongType: 64}
 _FLOATS = (T.FloatType, T.DoubleType)
-_TIMES = (T.DateType, T.TimestampType, T.TimestampNTZType)
 
 
 def _comparable(df: DataFrame, name: str) -> bool:
-    return isinstance(df.schema[name].dataType, (*_INTEGERS, *_FLOATS, *_TIMES))
+    return isinstance(df.schema[name].dataType, (*_INTEGERS, *_FLOATS))
 
 
 def _in_one_scan(df: DataFrame, columns: Sequence[str], n_items: int, n_counts: int, count) -> DataFrame:
@@ -205,10 +206,8 @@ def _in_one_scan(df: DataFrame, columns: Sequence[str], n_items: int, n_counts:
     rows, and returns one row per item; these are then summed.
     """
     def plain(name: str) -> Column:
-        data_type, c = df.schema[name].dataType, column(name)
-        if isinstance(data_type, _TIMES):
-            return F.unix_micros(c.cast("timestamp"))
-        return c.cast("double") if isinstance(data_type, T.FloatType) else c
+        c = column(name)
+        return c.cast("double") if isinstance(df.schema[name].dataType, T.FloatType) else c
 
     def add(batches):
         total = np.zeros((n_items, n_counts), dtype=np.int64)
@@ -248,12 +247,15 @@ def _orders(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nd
 
 
 def order_support(df: DataFrame, pairs: Sequence[Pair]) -> DataFrame:
-    """REC-10, 12: rows where a < b, a = b, a > b, for every pair, in one scan.
+    """REC-10, 12: rows where a < b, a = b, a > b, for every pair.
 
-    Pairs with columns of other types than integers, floating point numbers and times are
-    counted by Spark's aggregates, a scan for every AGGREGATES_PER_SCAN of them.
+    Spark's aggregates count them, a scan for every AGGREGATES_PER_SCAN counters, and compare
+    values as Spark does: times without a zone as they are written, whatever the session's zone.
+    Above ARROW_PAIRS pairs of integers or floating point numbers, one scan in numpy counts those.
     """
     plain = [p for p in pairs if all(_comparable(df, c) for c in p)]
+    if len(plain) <= ARROW_PAIRS:
+        plain = []
     frames = []
     if plain:
         columns = list(dict.fromkeys(c for p in plain for c in p))

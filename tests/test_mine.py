@@ -27,7 +27,9 @@ def odd(spark):
     return spark.createDataFrame(ROWS, kinds).repartition(3)
 
 
-def test_orders_are_those_of_spark(odd):
+@pytest.mark.parametrize("arrow_pairs", [200, 0])
+def test_orders_are_those_of_spark(odd, arrow_pairs, monkeypatch):
+    monkeypatch.setattr(mine, "ARROW_PAIRS", arrow_pairs)
     pairs = [*itertools.combinations("abcdg", 2), ("e", "f")]
     got = {(r.a, r.b): (r.less, r.equal, r.greater, r.support) for r in mine.order_support(odd, pairs).collect()}
     for x, y in pairs:
@@ -83,3 +85,21 @@ def test_mined_flow_has_no_caps(spark):
     small = [r for r in conditional if r.target_columns == ["s", "v"] and r.evidence["support"] == "20"]
     assert small and small[0].validation_status == "WARNING"
     assert any(r.target_columns == ["flag", "level"] for r in conditional)
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
+def test_times_without_a_zone_across_a_change_of_clocks(spark, zone):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        df = spark.sql(
+            """select * from values
+               (timestamp_ntz'2024-03-10 02:30:00', timestamp_ntz'2024-03-10 03:15:00'),
+               (timestamp_ntz'2024-11-03 01:30:00', timestamp_ntz'2024-11-03 01:30:00'),
+               (timestamp_ntz'2024-03-10 03:15:00', timestamp_ntz'2024-03-10 02:45:00'),
+               (null, timestamp_ntz'2024-03-10 02:45:00') as t(a, b)"""
+        )
+        r = mine.order_support(df, [("a", "b")]).first()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert (r.less, r.equal, r.greater, r.support) == (1, 1, 1, 3)
