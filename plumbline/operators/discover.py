@@ -581,22 +581,27 @@ def references(tables: Mapping[str, DataFrame], min_confidence: float = 1.0) ->
         counted = tables[name].select(F.explode(F.array_compact(F.array(*rows))).alias("v")).select("v.*")
         return counted.groupBy("id", "x", "y").agg(F.count(F.lit(1)).alias("n"))
 
-    values = lambda ids: reduce(DataFrame.union, [v for t in tables if (v := values_of(t, ids)) is not None])
-    sizes = values(used).groupBy("id").agg(F.count(F.lit(1)).alias("n_values"), F.max("n").alias("most")).collect()
-    n_values = {r["id"]: r["n_values"] for r in sizes}
-    unique = {r["id"] for r in sizes if r["most"] == 1}
-    parents = {c: own for c, ps in parents.items() if (own := [p for p in ps if p in unique])}
-    if not parents:
-        return empty
-    whose = F.create_map(*(F.lit(v) if isinstance(v, int) else F.array(*map(F.lit, v)) for kv in parents.items() for v in kv))
-    asked = values(set(parents)).select("id", F.explode(whose[F.col("id")]).alias("parent"), "x", "y")
-    had = values({p for ps in parents.values() for p in ps}).select(F.col("id").alias("parent"), "x", "y", F.lit(True).alias("had"))
-    missing = (
-        asked.join(had, ["parent", "x", "y"], "left")
-        .groupBy("id", "parent")
-        .agg(F.count_if(F.col("had").isNull()).alias("missing"))
-        .collect()
-    )
+    values = reduce(DataFrame.union, [v for t in tables if (v := values_of(t, used)) is not None]).persist()
+    try:
+        sizes = values.groupBy("id").agg(F.count(F.lit(1)).alias("n_values"), F.max("n").alias("most")).collect()
+        n_values = {r["id"]: r["n_values"] for r in sizes}
+        unique = {r["id"] for r in sizes if r["most"] == 1}
+        parents = {c: own for c, ps in parents.items() if (own := [p for p in ps if p in unique])}
+        if not parents:
+            return empty
+        whose = F.create_map(*(F.lit(v) if isinstance(v, int) else F.array(*map(F.lit, v)) for kv in parents.items() for v in kv))
+        # a value meets the list of key columns that have it, which is as short as there are columns
+        had = values.where(F.col("id").isin(sorted({p for ps in parents.values() for p in ps})))
+        had = had.groupBy("x", "y").agg(F.collect_set("id").alias("had"))
+        asked = values.where(F.col("id").isin(sorted(parents))).join(had, ["x", "y"], "left")
+        missing = (
+            asked.select("id", "had", F.explode(whose[F.col("id")]).alias("parent"))
+            .groupBy("id", "parent")
+            .agg(F.count_if(~F.coalesce(F.array_contains("had", F.col("parent")), F.lit(False))).alias("missing"))
+            .collect()
+        )
+    finally:
+        values.unpersist()
     bare = lambda name: name.split("_", 1)[-1].lower()
     rows = []
     for child, parent, lack in missing:
