@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.operators import discover
+from plumbline.operators import discover, heavy, patterns
 from queries.base import TABLES, all_tables, query, table
 
 
@@ -188,3 +190,64 @@ def mine_reference_constraints(spark, sf_dir):
     return found.select(
         "table_name", F.col("columns")[0].alias("column"), F.concat_ws(".", "ref_table", F.col("ref_columns")[0]).alias("parent")
     )
+
+
+@query(
+    """SELECT word AS value, count(*) AS "count" FROM (SELECT unnest(string_split(text, ' ')) AS word FROM documents)
+       WHERE word IS NOT NULL GROUP BY word ORDER BY count(*) DESC, word LIMIT 20"""
+)
+def top_words(spark, sf_dir):
+    return heavy.heavy_hitters(table(spark, sf_dir, "documents"), F.explode(F.split("text", " ")))
+
+
+@query(
+    """SELECT l_partkey AS value, count(*) AS "count" FROM lineitem WHERE l_partkey IS NOT NULL
+       GROUP BY l_partkey ORDER BY count(*) DESC, l_partkey LIMIT 20"""
+)
+def top_parts(spark, sf_dir):
+    return heavy.heavy_hitters(table(spark, sf_dir, "lineitem"), "l_partkey")
+
+
+def patterns_sql(source: str, columns: list[str], share: float) -> str:
+    def replaced(value: str, step: int) -> str:
+        for what, by in patterns.STEPS[step]:
+            value = f"regexp_replace({value}, '{what}', '{by}', 'g')"
+        return value
+
+    first = " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, CASE WHEN length({c}) <= 64 THEN {replaced(c, 0)} END AS pattern FROM {source} WHERE {c} IS NOT NULL" for c in columns
+    )
+    return f"""
+    WITH s0 AS ({first}),
+    s1 AS (SELECT column_name, {replaced("pattern", 1)} AS pattern FROM s0),
+    s2 AS (SELECT column_name, {replaced("pattern", 2)} AS pattern FROM s1),
+    s3 AS (SELECT column_name, {replaced("pattern", 3)} AS pattern FROM s2),
+    steps AS (SELECT 0 AS step, * FROM s0 UNION ALL SELECT 1, * FROM s1 UNION ALL SELECT 2, * FROM s2 UNION ALL SELECT 3, * FROM s3),
+    n AS (SELECT column_name, step, pattern, count(*) AS n FROM steps GROUP BY ALL),
+    best AS (
+      SELECT column_name, step, sum(n) AS support, arg_min(pattern, (-n, pattern)) FILTER (pattern IS NOT NULL) AS pattern,
+             max(n) FILTER (pattern IS NOT NULL) AS matches FROM n GROUP BY ALL)
+    SELECT column_name, CAST(step AS INTEGER) AS step, pattern, matches, CAST(support AS BIGINT) AS support FROM best
+    WHERE pattern <> '' AND matches >= {share} * support QUALIFY row_number() OVER (PARTITION BY column_name ORDER BY step) = 1
+    """
+
+
+PATTERN_TABLES = ["nation", "customer", "supplier", "part", "orders", "lineitem", "events", "pages", "documents", "conversations"]
+
+
+@query(
+    " UNION ALL ".join(
+        f"SELECT '{t}' AS table_name, * FROM ({patterns_sql(t, [c for c, k in TABLES[t].items() if k == 'text'], 0.95)})" for t in PATTERN_TABLES
+    )
+)
+def mine_patterns(spark, sf_dir):
+    frames = [patterns.value_patterns(table(spark, sf_dir, t)).withColumn("table_name", F.lit(t)) for t in PATTERN_TABLES]
+    return reduce(DataFrame.unionByName, frames)
+
+
+@query(
+    f"""SELECT column_name, matches / support AS confidence FROM ({patterns_sql("customer", ["c_name", "c_mktsegment"], 0.1)})"""
+)
+def mine_pattern_rules(spark, sf_dir):
+    rules = patterns.pattern_rules(table(spark, sf_dir, "customer"), "customer", min_confidence=0.1)
+    return rules.select(F.col("target_columns")[0].alias("column_name"), "confidence")
