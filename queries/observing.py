@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.operators import checks, observe
+from plumbline.operators import checks, drift, observe
 from queries.base import query, table
 
 NOW = "2024-02-01 00:00:00"
@@ -159,3 +159,66 @@ def obs_stable_values(spark, sf_dir):
 def obs_profile_drift(spark, sf_dir):
     found = observe.profile_drift(mark_snapshots(spark, sf_dir), "row_count")
     return found.select("table_name", "column_name", F.col("timestamp").cast("string").alias("day"), "row_count", "change")
+
+
+DRIFT_NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "days"]
+DRIFT_CATEGORIES = ["l_returnflag", "l_linenumber"]
+SNAPSHOT_SQL = """(SELECT l_orderkey % 3 = 0 AS is_new, CASE WHEN l_orderkey % 3 = 0 THEN l_quantity * 1.05 ELSE l_quantity END AS l_quantity,
+    CASE WHEN l_suppkey % 7 > 0 THEN l_extendedprice END AS l_extendedprice, l_discount, CAST(l_linenumber AS DOUBLE) AS days,
+    CASE WHEN l_orderkey % 3 = 0 AND l_linenumber = 1 THEN 'Z' ELSE l_returnflag END AS l_returnflag, l_linenumber FROM lineitem)"""
+
+
+def snapshots(spark, sf_dir):
+    """Two thirds of the orders, and the rest with somewhat other quantities and flags."""
+    is_new = F.col("l_orderkey") % 3 == 0
+    rows = table(spark, sf_dir, "lineitem").select(
+        is_new.alias("is_new"),
+        F.when(is_new, F.col("l_quantity") * 1.05).otherwise(F.col("l_quantity")).alias("l_quantity"),
+        F.when(F.col("l_suppkey") % 7 > 0, F.col("l_extendedprice")).alias("l_extendedprice"),
+        "l_discount",
+        F.col("l_linenumber").cast("double").alias("days"),
+        F.when(is_new & (F.col("l_linenumber") == 1), "Z").otherwise(F.col("l_returnflag")).alias("l_returnflag"),
+        "l_linenumber",
+    )
+    return rows.where(~F.col("is_new")), rows.where("is_new")
+
+
+def drift_sql(bins: int = drift.BINS) -> str:
+    numbers = " UNION ALL ".join(
+        f"""SELECT 'NUMBER' AS kind, '{c}' AS column_name, is_new, CAST(CASE WHEN x < low THEN -1 WHEN x > high THEN {bins} WHEN high = low THEN 0
+            ELSE least(floor((x - low) / (high - low) * {bins}), {bins - 1}) END AS INTEGER)::VARCHAR AS key
+            FROM (SELECT is_new, {c} AS x FROM {SNAPSHOT_SQL}), (SELECT min({c}) AS low, max({c}) AS high FROM {SNAPSHOT_SQL} WHERE NOT is_new)
+            WHERE x IS NOT NULL"""
+        for c in DRIFT_NUMBERS
+    )
+    categories = " UNION ALL ".join(
+        f"SELECT 'CATEGORY', '{c}', is_new, CAST({c} AS VARCHAR) FROM {SNAPSHOT_SQL} WHERE {c} IS NOT NULL" for c in DRIFT_CATEGORIES
+    )
+    return f"""
+    WITH n AS (
+      SELECT kind, column_name, key, count(*) FILTER (NOT is_new) AS old, count(*) FILTER (is_new) AS new
+      FROM ({numbers} UNION ALL {categories}) GROUP BY ALL),
+    t AS (
+      SELECT *, sum(old) OVER c AS all_old, sum(new) OVER c AS all_new, count(*) OVER c AS cells,
+             sum(old) OVER s AS old_so_far, sum(new) OVER s AS new_so_far
+      FROM n WINDOW c AS (PARTITION BY kind, column_name),
+        s AS (PARTITION BY kind, column_name ORDER BY CASE WHEN kind = 'NUMBER' THEN CAST(key AS INTEGER) END ROWS UNBOUNDED PRECEDING)),
+    p AS (
+      SELECT *, (old + 0.5) / (all_old + 0.5 * CASE kind WHEN 'NUMBER' THEN {bins + 2} ELSE cells END) AS p,
+             (new + 0.5) / (all_new + 0.5 * CASE kind WHEN 'NUMBER' THEN {bins + 2} ELSE cells END) AS q FROM t),
+    f AS (
+      SELECT kind, column_name, CAST(any_value(all_old) AS BIGINT) AS rows_old, CAST(any_value(all_new) AS BIGINT) AS rows_new,
+             CASE kind WHEN 'NUMBER' THEN max(abs(old_so_far / all_old - new_so_far / all_new)) ELSE sum(abs(old / all_old - new / all_new)) / 2 END AS distance,
+             sum((q - p) * ln(q / p)) AS psi
+      FROM p GROUP BY kind, column_name)
+    SELECT column_name, kind, rows_old, rows_new, round(distance, 6) AS distance, round(psi, 6) AS psi, 
+           CASE kind WHEN 'NUMBER' THEN distance > {drift.FACTOR} * sqrt((rows_old + rows_new) / (CAST(rows_old AS DOUBLE) * rows_new)) ELSE psi > 0.1 END AS drifted
+    FROM f
+    """
+
+
+@query(drift_sql())
+def obs_drift(spark, sf_dir):
+    old, new = snapshots(spark, sf_dir)
+    found = drift.drift(old, new, DRIFT_NUMBERS, DRIFT_CATEGORIES)
+    return found.drop("critical").withColumns({c: F.round(c, 6) for c in ("distance", "psi")})
