@@ -3,6 +3,7 @@
 from queries import (  # noqa: F401
     checking,
     discovering,
+    flows,
     observing,
     predicates,
     profiles,
