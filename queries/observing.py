@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.operators import checks, drift, observe
-from queries.base import query, table
+from plumbline.operators import checks, drift, observe, states
+from queries.base import TABLES, query, table
 
 NOW = "2024-02-01 00:00:00"
 
@@ -222,3 +224,25 @@ def obs_drift(spark, sf_dir):
     old, new = snapshots(spark, sf_dir)
     found = drift.drift(old, new, DRIFT_NUMBERS, DRIFT_CATEGORIES)
     return found.drop("critical").withColumns({c: F.round(c, 6) for c in ("distance", "psi")})
+
+
+def merged_sql() -> str:
+    parts = []
+    for c, kind in TABLES["orders"].items():
+        x = {"int": c, "number": c, "text": f"length({c})", "time": f"epoch({c})"}[kind]
+        blanks = f"count(*) FILTER (trim({c}) = '')" if kind == "text" else "0"
+        parts.append(
+            f"""SELECT '{c}' AS column_name, count(DISTINCT year(o_orderdate))::VARCHAR AS part, count(*) AS rows, count(*) - count({c}) AS nulls,
+                CAST({blanks} AS BIGINT) AS blanks, CAST(min({x}) AS DOUBLE) AS low, CAST(max({x}) AS DOUBLE) AS high FROM orders"""
+        )
+    return " UNION ALL ".join(parts)
+
+
+@query(merged_sql())
+def obs_merged_states(spark, sf_dir):
+    """States of the orders of each year, merged."""
+    orders = table(spark, sf_dir, "orders")
+    years = [r[0] for r in orders.select(F.year("o_orderdate").alias("y")).distinct().orderBy("y").collect()]
+    parts = [states.state(orders.where(F.year("o_orderdate") == y), "orders", str(y)) for y in years]
+    found = states.read(states.merged(reduce(DataFrame.unionByName, parts)))
+    return found.select("column_name", "part", "rows", "nulls", "blanks", "low", "high")
