@@ -14,6 +14,7 @@ from queries import QUERIES
 
 HEADLINES = [
     "profile_all_tables",
+    "profile_approx",
     "profile_moments",
     "recommend_basic",
     "check_own_rules",
