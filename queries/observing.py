@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.operators import checks, drift, observe, states
+from plumbline.streaming import volume
 from queries.base import TABLES, query, table
+from queries.sources import shared_folder
 
 NOW = "2024-02-01 00:00:00"
 
@@ -246,3 +248,22 @@ def obs_merged_states(spark, sf_dir):
     parts = [states.state(orders.where(F.year("o_orderdate") == y), "orders", str(y)) for y in years]
     found = states.read(states.merged(reduce(DataFrame.unionByName, parts)))
     return found.select("column_name", "part", "rows", "nulls", "blanks", "low", "high")
+
+
+@query(
+    """
+    WITH days AS (SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS rows, max(ts) AS newest FROM events WHERE ts IS NOT NULL GROUP BY ALL)
+    SELECT CAST(day AS VARCHAR) AS day, event_type, rows, CAST(newest AS VARCHAR) AS newest FROM days
+    WHERE day + INTERVAL 1 DAY <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 DAY FROM events)
+    """
+)
+def obs_stream_volume(spark, sf_dir):
+    """Daily volumes of the events as a stream: the days that the watermark has passed."""
+    folder = shared_folder(spark)
+    batch = table(spark, sf_dir, "events")
+    # a pattern, as a stream reads folders, and the table may be a file or a folder
+    stream = spark.readStream.schema(batch.schema).parquet(f"{sf_dir}/events.parque[t]")
+    volume.write_daily_volume(stream, "ts", f"{folder}/days", f"{folder}/checkpoint", ["event_type"])
+    days = spark.read.schema("day date, event_type string, rows bigint, first_at timestamp, newest timestamp").parquet(f"{folder}/days")
+    text = lambda c: F.col(c).cast("string").alias(c)
+    return days.select(text("day"), "event_type", "rows", text("newest"))
