@@ -118,6 +118,18 @@ def src_read_records(spark, sf_dir):
     return found.select("user_id", "k", F.col("_is_valid").alias("is_valid"))
 
 
+@query("SELECT event_id, user_id, props, value < 100 AS is_valid FROM events")
+def src_read_large_records(spark, sf_dir):
+    """Events written as JSON documents of a hundred thousand each, which hold braces in strings, and read in blocks."""
+    record = F.struct("event_id", "user_id", "props", (F.col("value") < 100).alias("_is_valid"))
+    where = shared_folder(spark)
+    events = table(spark, sf_dir, "events").select(F.floor(F.col("event_id") / 100_000).alias("part"), record.alias("r"))
+    events.groupBy("part").agg(F.collect_list("r").alias("records")).select("records").write.option("maxRecordsPerFile", 1).json(where)
+    given = schemas.struct(event_id=T.LongType(), user_id=T.LongType(), props=T.StringType())
+    found = labelled.read_large_records(spark, where, given)
+    return found.select("event_id", "user_id", "props", F.col("_is_valid").alias("is_valid"))
+
+
 @query(
     """SELECT n_name AS table_name, CAST(0 AS INTEGER) AS expected_index, 'columnValuesToBeBetween' AS rule_type,
               'c_acctbal' AS target_column, min(c_acctbal) AS min_value, max(c_acctbal) AS max_value
