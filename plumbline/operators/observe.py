@@ -45,27 +45,46 @@ def freshness(
     )
 
 
-def _every_day(daily: DataFrame, groups: list[str]) -> DataFrame:
-    """(groups, day, rows) with the days between the first and the last of each group filled in."""
+def _with_gaps(daily: DataFrame, groups: list[str]) -> DataFrame:
+    """(groups, day, until, rows) with the days between the first and the last of each group filled in.
+
+    The days of a long gap that have TRAILING_DAYS empty days before and after are one row from
+    ``day`` to ``until``, so a group has a few rows for each day with rows, whatever its span.
+    """
     order = Window.partitionBy(*groups, F.lit(0)).orderBy("day")
-    until = F.coalesce(F.date_sub(F.lead("day").over(order), 1), F.col("day"))
-    days = F.explode(F.sequence("day", "until")).alias("each")
-    filled = daily.withColumn("until", until).select(*groups, "day", "rows", days)
-    rows = F.when(F.col("each") == F.col("day"), F.col("rows")).otherwise(F.lit(0).cast("bigint"))
-    return filled.select(*groups, F.col("each").alias("day"), rows.alias("rows"))
+    last = F.coalesce(F.date_sub(F.lead("day").over(order), 1), F.col("day"))
+    day, last_day = F.col("day"), F.col("last")
+    head, tail = F.date_add("day", TRAILING_DAYS + 1), F.date_sub("last", TRAILING_DAYS)
+    single = lambda first, until: F.transform(
+        F.sequence(first, until), lambda d: F.struct(d.alias("day"), d.alias("until"))
+    )
+    middle = F.array(F.struct(F.date_add("day", TRAILING_DAYS + 2).alias("day"), tail.alias("until")))
+    spans = F.when(
+        F.date_diff("last", "day") > 2 * TRAILING_DAYS + 2,
+        F.concat(single(day, head), middle, single(F.date_add(tail, 1), last_day)),
+    ).otherwise(single(day, last_day))
+    filled = daily.withColumn("last", last).select(*groups, "day", "rows", F.explode(spans).alias("span"))
+    rows = F.when(F.col("span.day") == day, F.col("rows")).otherwise(F.lit(0).cast("bigint"))
+    return filled.select(*groups, "span.day", "span.until", rows.alias("rows"))
 
 
 def daily_volume(
-    df: DataFrame, timestamp: str, by: list[str] | None = None, sigmas: float = SIGMAS
+    df: DataFrame,
+    timestamp: str,
+    by: list[str] | None = None,
+    sigmas: float = SIGMAS,
+    gaps_as_ranges: bool = False,
 ) -> DataFrame:
     """OBS-2: rows per day, change from the day before, expected range, anomaly flag.
 
     The range is mean +- sigmas * deviation of the TRAILING_DAYS days before. Days without rows
     between the first and the last day of a group count 0; rows without a time are left out.
-    Rows are counted per day before the window runs, so the window sees one row per day.
+    Rows are counted per day before the window runs, and the inner days of a long gap, which are
+    all alike, go through it as one row, so that one odd date costs the window nothing. With
+    ``gaps_as_ranges`` they stay one row, from ``day`` to ``until``; else each is a row.
     """
     groups = list(by or [])
-    daily = _every_day(
+    daily = _with_gaps(
         df.where(F.col(timestamp).isNotNull())
         .groupBy(*groups, F.to_date(timestamp).alias("day"))
         .agg(F.count(F.lit(1)).alias("rows")),
@@ -76,9 +95,10 @@ def daily_volume(
     previous = F.lag("rows").over(ordered)
     mean, spread = F.avg("rows").over(trailing), F.stddev("rows").over(trailing)
     low, high = mean - sigmas * spread, mean + sigmas * spread
-    return daily.select(
+    judged = daily.select(
         *groups,
         "day",
+        "until",
         "rows",
         (F.col("rows") - previous).alias("change"),
         (F.try_divide(F.col("rows") - previous, previous) * F.lit(100.0)).alias("change_pct"),
@@ -91,6 +111,10 @@ def daily_volume(
             F.lit(False),
         ),
     )
+    if gaps_as_ranges:
+        return judged
+    rest = [c for c in judged.columns if c not in (*groups, "day", "until")]
+    return judged.select(*groups, F.explode(F.sequence("day", "until")).alias("day"), *rest)
 
 
 def suite_status(runs: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import naming
-from plumbline.local import on_driver
+from plumbline.local import on_driver, side_by_side
 from plumbline.operators import checks, evaluate, mine, profile, recommend, ruletable
 from plumbline.operators import rules as rule_ops
 from plumbline.sources import labelled
@@ -141,16 +141,18 @@ def labelled_benchmark(
     """EV-1..8 end to end: (scores per table, detection per table, overall).
 
     Rules are proposed from the clean rows of every table, matched to the expected ones, and
-    tried on clean and broken rows.
+    tried on clean and broken rows, several tables at once. The scores, a row per table, are local
+    tables.
     """
-    proposed, detections = [], []
-    for name, rows in records.items():
-        local = record_rules(rows, name)
-        proposed.append(local)
-        tested = evaluate.tested_rows(rows, local)
-        detections.append(evaluate.detection_scores(tested, name, digits))
+
+    def tried(name: str) -> tuple[DataFrame, DataFrame]:
+        rules = record_rules(records[name], name)
+        tested = evaluate.tested_rows(records[name], rules)
+        return rules, on_driver(evaluate.detection_scores(tested, name, digits))
+
+    proposed, detections = zip(*side_by_side(tried, records))
     wanted = expected.where(F.col("table_name").isin(list(records)))
-    scores = evaluate.rule_scores(ruletable.union_rules(*proposed), wanted, digits)
+    scores = on_driver(evaluate.rule_scores(ruletable.union_rules(*proposed), wanted, digits))
     detection = reduce(DataFrame.unionByName, detections)
     return scores, detection, evaluate.overall(scores, detection, digits)
 
