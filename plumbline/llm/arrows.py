@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Rows that a Python worker gathers before it works on them, in bytes of their texts.
 SHARD_BYTES = 16 << 20
@@ -85,15 +86,22 @@ SALTS = 32
 def beside(rows: DataFrame, side: DataFrame, key: str, n: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Left join with a table of `n` rows that has each key once.
 
-    Broadcast while that is small; beyond, every hot key is spread over SALTS tasks.
+    Broadcast while that is small; beyond, every hot key is spread over SALTS tasks, by a hash of
+    the row, so that a row computed again after a lost executor goes the same way.
     """
     if n <= limit:
         return rows.join(F.broadcast(side), key, "left")
     salted = side.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = rows.withColumn("salt", F.floor(F.rand(7) * SALTS).cast("int"))
+    hashed = F.xxhash64(*told_apart(*[F.col(quoted(c)) for c in rows.columns if hashable(rows.schema[c].dataType)]))
+    rows = rows.withColumn("salt", F.pmod(hashed, F.lit(SALTS)).cast("int"))
     return rows.join(salted, [key, "salt"], "left").drop("salt")
 
 
+def hashable(kind: T.DataType) -> bool:
+    """Whether values of the type can be told apart as strings."""
+    return isinstance(kind, T.AtomicType)
+
+
 def told_apart(*columns: Column) -> list[Column]:
     """Columns that tell null from every value, for hashes."""
     return [c for column in columns for c in (column.isNull(), column.cast("string"))]

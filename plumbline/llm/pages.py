@@ -6,12 +6,19 @@ tokens with one vector form an equivalence class. Spark adds up a fingerprint of
 page by page, so no page list is ever gathered. Large and frequent classes whose tokens stand once
 on each of their pages are valid; nested in each other by their paths they are the template, and
 what lies between their tokens are its slots. The main slot is the innermost container of the
-template that holds most of the text outside menus, notices and the like; texts that are template
+template that holds most of the text outside menus, notices and the like, or else the article or
+main element around it, so that titles and leads beside it stay; texts that are template
 themselves are left out of it, unless they are the larger part of its text on a page, as where a
 host repeats one article.
 
-Pages of hosts with few pages, and pages without the main slot of their host, fall back on their
-article or main element, and at last on all of their body.
+Pages of hosts with few pages, pages without the main slot of their host, and pages with more text
+beside it, texts of the template not counted, than in it, fall back on their article or main element, and at last on all of their
+body.
+
+Menus, adverts and the like are told by element, role and name. Outside of articles a part of a
+class or id is enough. Within an article, and for sections anywhere, all parts of a class must be
+such names or words of layout, as in ``ad-box``; ids of sections, and names of headings, say
+nothing there, as they name what the text is about.
 
 Blocks are separated by block elements; a line break element is white space.
 
@@ -25,6 +32,7 @@ from __future__ import annotations
 import hashlib
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -37,7 +45,7 @@ LEAST_PAGES = 5  # of a host, for a template
 LEAST_TEXT_PAGES = 20  # of a host, for texts in the template
 LEAST_CLASS = 3  # tokens of a class
 FREQUENT, TEXT_FREQUENT = 0.5, 0.9  # shares of the pages of a host
-MOST_TEXT = 0.8  # share of the text that the main slot holds
+MOST_TEXT = 0.8  # share of the text of a host that the main slot holds
 
 # Elements and names of HTML.
 _RAW = "script style textarea title noscript iframe template svg math object select"
@@ -54,6 +62,11 @@ _ASIDE_NAMES = frozenset(
     "subscription popup modal overlay share sharing social comment comments disqus respond related recommended "
     "widget toolbar skip login signup search pagination pager".split()
 )
+_LAYOUT = frozenset(
+    "area bar block bottom box button buttons container content footer form global group header inner item left link "
+    "links list main outer page panel reader right section site slot thread top unit user wrap wrapper".split()
+)
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 
 _TOKEN = re.compile(
@@ -65,6 +78,7 @@ _TOKEN = re.compile(
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
 _HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 _MASK = (1 << 63) - 1
+_HALF = (1 << 31) - 1  # fingerprints are added in two halves, which no number of pages overflows
 
 
 def _set_aside(tag: str, attributes: str, in_article: bool) -> bool:
@@ -79,7 +93,19 @@ def _set_aside(tag: str, attributes: str, in_article: bool) -> bool:
             return True
         if name == "role" and value in _ASIDE_ROLES:
             return True
-        if name in ("class", "id") and not _ASIDE_NAMES.isdisjoint(re.split(r"[^a-z0-9]+", value)):
+        if name in ("class", "id") and _names_aside(tag, name, value, in_article):
+            return True
+    return False
+
+
+def _names_aside(tag: str, name: str, value: str, in_article: bool) -> bool:
+    if not in_article and tag != "section" and tag not in _HEADINGS:
+        return not _ASIDE_NAMES.isdisjoint(re.split(r"[^a-z0-9]+", value))
+    if tag in _HEADINGS or (tag == "section" and name == "id"):
+        return False
+    for token in value.split():
+        parts = [p for p in re.split(r"[^a-z]+", token) if p]
+        if not _ASIDE_NAMES.isdisjoint(parts) and all(p in _ASIDE_NAMES or p in _LAYOUT for p in parts):
             return True
     return False
 
@@ -95,6 +121,7 @@ class Page:
         self.texts: list[tuple[int, int, str, bool]] = []
         # open elements: tag, container, whether set aside, whether within an article
         stack: list[tuple[str, int, bool, bool]] = [("", -1, False, False)]
+        open_tags: Counter[str] = Counter()
         block = 0
         for m in _TOKEN.finditer(source or ""):
             tag = m[3] or m[6]
@@ -111,9 +138,10 @@ class Page:
             if tag == "br":
                 self.texts.append((stack[-1][1], block, " ", stack[-1][2]))
             if m[2] or m[5]:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == tag:
-                        del stack[k:]
+                while open_tags[tag]:
+                    closed = stack.pop()[0]
+                    open_tags[closed] -= 1
+                    if closed == tag:
                         break
                 continue
             if tag in _VOID or tag not in _CONTAINERS and tag not in ("li", "button"):
@@ -122,7 +150,7 @@ class Page:
                     continue
             top = stack[-1]
             if tag == "li" and top[0] == "li":
-                stack.pop()
+                open_tags[stack.pop()[0]] -= 1
                 top = stack[-1]
             aside = top[2] or _set_aside(tag, m[4] or m[7], top[3])
             container = top[1]
@@ -137,6 +165,19 @@ class Page:
                 self.containers.append((number, container, tag, depth))
                 container = len(self.containers) - 1
             stack.append((tag, container, aside, top[3] or tag in ("article", "main")))
+            open_tags[tag] += 1
+
+    def around(self, container: int) -> int:
+        """The article around a container, or else its main element, or else itself."""
+        found, k = container, container
+        while k >= 0:
+            tag = self.containers[k][2]
+            if tag == "article":
+                return k
+            if tag == "main":
+                found = k
+            k = self.containers[k][1]
+        return found
 
     def within(self, containers: set[int]) -> list[bool]:
         """For each container, whether it is one of these or lies in one."""
@@ -157,10 +198,10 @@ def _text_number(path: int, text: str) -> int:
 
 
 _COUNTED = pa.schema(
-    [("host", pa.int64()), ("token", pa.int64()), ("kind", pa.int32()), ("print", pa.int64()), ("pages", pa.int64()),
+    [("host", pa.int64()), ("token", pa.int64()), ("kind", pa.int32()), ("low", pa.int64()), ("high", pa.int64()), ("pages", pa.int64()),
      ("most", pa.int64()), ("mass", pa.int64()), ("depth", pa.int32())]
 )
-_COUNTED_DDL = "host bigint, token bigint, kind int, print bigint, pages bigint, most bigint, mass bigint, depth int"
+_COUNTED_DDL = "host bigint, token bigint, kind int, low bigint, high bigint, pages bigint, most bigint, mass bigint, depth int"
 PAGE, TAG, TEXT = 0, 1, 2
 
 
@@ -196,11 +237,13 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 own[1] += mass[k]
             count[PAGE, 0, 0] = [1, whole]
             for (kind, token, depth), (n, inside) in count.items():
-                row = found.setdefault((host, token), [kind, 0, 0, 0, 0, depth])
-                row[1] ^= hash((mark, n)) & _MASK
-                row[2] += 1
-                row[3] = max(row[3], n)
-                row[4] += inside
+                row = found.setdefault((host, token), [kind, 0, 0, 0, 0, 0, depth])
+                print_ = _number(mark, n)
+                row[1] += print_ & _HALF
+                row[2] += print_ >> 31
+                row[3] += 1
+                row[4] = max(row[4], n)
+                row[5] += inside
         rows = [(h, t, *r) for (h, t), r in found.items()]
         columns = list(zip(*rows)) if rows else [[] for _ in _COUNTED]
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _COUNTED)], schema=_COUNTED)
@@ -216,7 +259,7 @@ def _deduced(table: pa.Table) -> pa.Table:
     classes: dict[tuple, list[dict]] = {}
     for r in rows:
         if r["kind"] != PAGE and r["most"] == 1:
-            classes.setdefault((r["print"], r["pages"]), []).append(r)
+            classes.setdefault((r["low"], r["high"], r["pages"]), []).append(r)
     valid = [c for c in classes.values() if len(c) >= LEAST_CLASS]
     template = [r for c in valid for r in c]
     texts = [
@@ -239,22 +282,34 @@ def _deduced(table: pa.Table) -> pa.Table:
 def main_text(source: str | None, main: int | None, template_texts: set[int], numbers: dict) -> str:
     """The blocks of the main slot, joined by blank lines."""
     page = Page(source, numbers)
-    chosen = {k for k, c in enumerate(page.containers) if c[0] == main} if main is not None else set()
+    texts: list[tuple[int, int, str, int, bool]] = []
+    for container, block, text, aside in page.texts:
+        if not aside:
+            path = page.containers[container][0] if container >= 0 else 0
+            known = bool(template_texts and text.strip()) and _text_number(path, text) in template_texts
+            texts.append((container, block, text, sum(map(len, text.split())), known))
+
+    def within(chosen: set[int]) -> list[tuple[int, int, str, int, bool]]:
+        inside = page.within(chosen)
+        return [t for t in texts if t[0] >= 0 and inside[t[0]]]
+
+    def fresh(held: list[tuple[int, int, str, int, bool]]) -> int:
+        return sum(t[3] for t in held if not t[4])
+
+    chosen = {page.around(k) for k, c in enumerate(page.containers) if c[0] == main} if main is not None else set()
+    if chosen:
+        slot = within(chosen)
+        beside = fresh(texts) - fresh(slot)
+        if sum(t[3] for t in slot) < beside:
+            chosen = set()
     for tags in (("article",), ("main",)):
         chosen = chosen or {k for k, c in enumerate(page.containers) if c[2] in tags}
-    inside = page.within(chosen) if chosen else [True] * len(page.containers)
-    held: list[tuple[int, str, bool]] = []
-    for container, block, text, aside in page.texts:
-        if aside or not (inside[container] if container >= 0 else not chosen):
-            continue
-        path = page.containers[container][0] if container >= 0 else 0
-        held.append((block, text, bool(template_texts and text.strip()) and _text_number(path, text) in template_texts))
-    size = [0, 0]
-    for _, text, known in held:
-        size[known] += sum(map(len, text.split()))
+    held = within(chosen) if chosen else texts
+    all_fresh = fresh(held)
+    known_larger = sum(t[3] for t in held) - all_fresh > all_fresh
     blocks: dict[int, list[str]] = {}
-    for block, text, known in held:
-        if not known or size[True] > size[False]:
+    for _, block, text, _, known in held:
+        if not known or known_larger:
             blocks.setdefault(block, []).append(text)
     cleaned = (" ".join(entities.unescape("".join(parts)).split()) for parts in blocks.values())
     return "\n\n".join(c for c in cleaned if c)
@@ -280,7 +335,8 @@ def templates(pages: DataFrame) -> DataFrame:
         pages.mapInArrow(_counted, _COUNTED_DDL)
         .groupBy("host", "token", "kind")
         .agg(
-            F.bit_xor("print").alias("print"),
+            F.sum("low").alias("low"),
+            F.sum("high").alias("high"),
             F.sum("pages").alias("pages"),
             F.max("most").alias("most"),
             F.sum("mass").alias("mass"),

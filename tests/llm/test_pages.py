@@ -89,3 +89,63 @@ def test_copies_of_one_article_keep_their_text(spark, words):
     want = lambda k: "\n\n".join(["One title", *blocks, f"Printed {k}"])
     assert all(got[k].text == want(k) for k in range(25))
     assert all(want(0) in got[99 + k].text for k in range(25))
+
+
+def test_title_and_lead_beside_the_content_stay(spark, words):
+    rows, want = [], {}
+    for k in range(30):
+        lead, blocks = words(6), [words(40) for _ in range(3)]
+        body = "".join(f"<p>{b}</p>" for b in blocks)
+        if k == 29:  # a page that keeps the container but holds its text beside it
+            body, want[k] = "x", "\n\n".join([f"Title {k}", lead, *blocks, "x"])
+            lead_html = f"<p>{lead}</p>" + "".join(f"<p>{b}</p>" for b in blocks)
+        else:
+            want[k], lead_html = "\n\n".join([f"Title {k}", lead, *blocks]), f"<p>{lead}</p>"
+        html = (
+            f"<body><div id=top>Our site</div><div class=menu>Home</div><article><h1>Title {k}</h1>{lead_html}"
+            f"<div class=content>{body}</div></article><div id=end>All rights</div></body>"
+        )
+        rows.append(page(k, f"http://f.example/{k}", html))
+    assert {k: r.text for k, r in run(spark, rows).items()} == want
+
+
+def test_page_with_its_text_beside_the_slot(spark, words):
+    rows, want = [], {}
+    for k in range(30):
+        block = words(40)
+        inner, beside = (block, "") if k else ("x", f"<div class=other><p>{block}</p></div>")
+        html = f"<body><div id=top>Our site</div><div id=a><div class=content><p>{inner}</p></div></div>{beside}<div id=end>Rights</div></body>"
+        rows.append(page(k, f"http://g.example/{k}", html))
+        want[k] = block
+    got = run(spark, rows)
+    assert all(want[k] in got[k].text for k in range(30))
+    assert all(got[k].text == want[k] for k in range(1, 30))
+
+
+def test_names_within_an_article(spark):
+    html = (
+        '<body><article><h1 class="menu title">T</h1><h2 id="related-work">Related work</h2><section id="social-effects"><p>a</p></section>'
+        '<section class="search-results-of-ours"><p>b</p></section><div class="ad-box">Buy</div><section class="comments"><p>Me too</p></section>'
+        '<div id="comments-list">I agree</div><div class="notice-of-death"><p>c</p></div></article><div class="x-sidebar-y">s</div>'
+    )
+    got = run(spark, [page(1, "http://h.example/", html), page(2, "http://h.example/", html.replace("article>", "span>"))])
+    assert got[1].text == "T\n\nRelated work\n\na\n\nb\n\nc"
+    assert got[2].text.startswith("T\n\nRelated work\n\na\n\nb") and "Me too" not in got[2].text and "s" not in got[2].text.split("\n\n")
+
+
+def test_unmatched_end_tags_take_linear_time():
+    import time
+
+    source = "<div>" * 60_000 + "</p></table>" * 60_000
+    begun = time.perf_counter()
+    assert pages.main_text("<p>a</p>" + source, None, set(), {}) == "a"
+    assert time.perf_counter() - begun < 10
+
+
+def test_pages_given_twice_do_not_cancel_out(spark, words):
+    rows = []
+    for k in range(30):
+        html = f"<body><div id=top>Our site</div><div id=main><p>{words(40)}</p></div><div id=side>{words(4)}</div></body>"
+        rows += [page(k, f"http://i.example/{k}", html)] * 2
+    got = run(spark, rows)
+    assert len(got) == 30 and all("Our site" not in r.text and len(r.text.split()) == 40 for r in got.values())
