@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import naming
 from plumbline.local import on_driver
-from plumbline.operators import checks, mine, profile, recommend
+from plumbline.operators import affine, checks, mine, profile, recommend
 from plumbline.plans import flows
 from queries.base import TABLES, all_tables, query, table
 from queries.predicates import LINES_SQL, SHIPPED_SQL, lines, shipped
@@ -426,6 +426,41 @@ def mine_arithmetic(spark, sf_dir):
     )
 
 
+# planted equations: target, operands, coefficients with the constant last
+AFFINE = [
+    ("cents", ["l_extendedprice"], [100.0, 0.0]),
+    ("charge", ["l_quantity", "l_linenumber"], [2.5, -3.0, 7.0]),
+]
+AFFINE_COLUMNS = ["l_quantity", "l_linenumber", "l_extendedprice", "l_tax", "charge", "cents"]
+AFFINE_SQL = """(SELECT l_quantity, l_linenumber, l_extendedprice, CASE WHEN l_suppkey % 11 > 0 THEN 100 * l_extendedprice END AS cents,
+    CASE WHEN l_suppkey % 13 = 0 THEN NULL WHEN l_orderkey % 40 = 0 THEN 1000 ELSE 2.5 * l_quantity - 3 * l_linenumber + 7 END AS charge FROM lineitem)"""
+
+
+def affine_sql() -> str:
+    parts = []
+    for target, operands, (*factors, constant) in AFFINE:
+        total = " + ".join([f"{k} * {c}" for k, c in zip(factors, operands)] + [str(constant)])
+        parts.append(
+            f"""SELECT '{target}' AS target, '{",".join(operands)}' AS operands, '{",".join(map(str, [*factors, constant]))}' AS coefficients,
+            count({target}) AS support, count(*) FILTER (abs({target} - ({total})) < 1e-6) AS holds FROM {AFFINE_SQL}"""
+        )
+    return " UNION ALL ".join(parts)
+
+
+@query(affine_sql())
+def mine_affine(spark, sf_dir):
+    """Charges that are sums of multiples, one in forty wrong, and amounts in cents."""
+    charge = F.when(F.col("l_orderkey") % 40 == 0, 1000.0).otherwise(F.lit(2.5) * F.col("l_quantity") - F.lit(3) * F.col("l_linenumber") + 7)
+    rows = table(spark, sf_dir, "lineitem").select(
+        "l_quantity", "l_linenumber", "l_extendedprice", "l_tax",
+        F.when(F.col("l_suppkey") % 13 != 0, charge).alias("charge"),
+        F.when(F.col("l_suppkey") % 11 > 0, F.lit(100) * F.col("l_extendedprice")).alias("cents"),
+    )
+    found = affine.affine_support(rows, AFFINE_COLUMNS)
+    text = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
+    return found.select("target", text("operands"), text("coefficients"), "support", "holds")
+
+
 CASES_SQL = """(SELECT o_orderstatus AS status, o_orderpriority AS priority,
     CASE WHEN o_orderstatus = 'F' THEN o_orderdate WHEN o_orderstatus = 'P' AND o_custkey % 2 = 0 THEN o_orderdate END AS closed_at,
     CASE WHEN o_orderstatus = 'P' THEN 'hold' WHEN o_orderstatus = 'F' AND o_custkey % 2 = 0 THEN 'paid' WHEN o_orderstatus = 'F' THEN 'sent'
