@@ -4,7 +4,9 @@ Every word is predicted from the two words on either side of it, never from itse
 score is the sum of the logarithms of these conditional probabilities.
 
 The vocabulary is the most frequent words of the whole corpus; all other words share buckets by
-their hash. The network embeds the four words of the window, feeds them through one hidden layer,
+their hash. A word of a bucket has the probability of the bucket divided by the distinct words of
+the corpus in it, and one more for words never seen, so that the probabilities of all words add up
+to one however large the corpus. The network embeds the four words of the window, feeds them through one hidden layer,
 and predicts a class and then the word within the class, so that a prediction takes two short
 softmaxes. It starts from the frequencies of words alone.
 
@@ -104,6 +106,7 @@ def fresh(counts: np.ndarray, seed: int = 0) -> Net:
 class Vocabulary:
     hashes: np.ndarray  # ascending
     ids: np.ndarray  # of each hash; ids go by frequency
+    shared: np.ndarray  # of each id, the logarithm of the words that share it
 
     def of(self, word: np.ndarray) -> np.ndarray:
         bucket = VOCABULARY - BUCKETS + (word % np.uint64(BUCKETS)).astype(np.int64)
@@ -223,14 +226,20 @@ def vocabulary_of(texts: DataFrame) -> tuple[Vocabulary, np.ndarray]:
     counts = np.zeros(VOCABULARY)
     counts[: len(word)] = top.column("n").to_numpy()
     # the words beyond the top ones, by bucket: 512 rows at most
-    all_buckets = counted.groupBy(F.pmod(F.col("word"), F.lit(BUCKETS)).alias("bucket")).agg(F.sum("n").alias("n")).toArrow()
+    by_bucket = counted.groupBy(F.pmod(F.col("word"), F.lit(BUCKETS)).alias("bucket"))
+    all_buckets = by_bucket.agg(F.sum("n").alias("n"), F.count("*").alias("words")).toArrow()
     bucket = all_buckets.column("bucket").to_numpy()
-    rest = np.zeros(BUCKETS)
+    rest, words = np.zeros(BUCKETS), np.zeros(BUCKETS)
     rest[bucket] = all_buckets.column("n").to_numpy()
-    rest -= np.bincount((word % np.uint64(BUCKETS)).astype(np.int64), weights=counts[: len(word)], minlength=BUCKETS)
+    words[bucket] = all_buckets.column("words").to_numpy()
+    of_top = (word % np.uint64(BUCKETS)).astype(np.int64)
+    rest -= np.bincount(of_top, weights=counts[: len(word)], minlength=BUCKETS)
+    words -= np.bincount(of_top, minlength=BUCKETS)
     counts[VOCABULARY - BUCKETS :] = rest
+    shared = np.zeros(VOCABULARY)
+    shared[VOCABULARY - BUCKETS :] = np.log(words + 1)
     order = np.argsort(word)
-    return Vocabulary(word[order], np.arange(len(word))[order]), counts
+    return Vocabulary(word[order], np.arange(len(word))[order], shared), counts
 
 
 def _trained(batches: Iterator[pa.RecordBatch], state, masked: int, turn: int) -> Iterator[pa.RecordBatch]:
@@ -319,7 +328,7 @@ def scores(texts: list[bytes | None], vocabulary: Vocabulary, net: Net) -> tuple
     for a in range(0, len(ids), ROWS):
         own = slice(a, a + ROWS)
         out[own][: len(ids) - a] = log_probabilities(net, line[place[own][:, None] + steps], ids[own])
-    total = np.concatenate(([0.0], np.cumsum(out[:-1])))
+    total = np.concatenate(([0.0], np.cumsum(out[:-1] - vocabulary.shared[ids])))
     last = np.cumsum(counts)
     return counts, total[last] - total[last - counts]
 

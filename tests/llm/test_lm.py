@@ -54,7 +54,7 @@ def test_scores_are_those_of_one_softmax_over_all_words(make_docs, model):
                 every.append(top[c] / top.sum() * inner / inner.sum())
             every = np.concatenate(every)
             assert abs(every.sum() - 1) < 1e-3
-            total += np.log(every[word])
+            total += np.log(every[word]) - model.vocabulary.shared[word]
         assert abs(rows[k].log_prob - total) < 1e-3 * max(1, abs(total))
         assert rows[k].n_words == len(ids)
 
@@ -109,3 +109,18 @@ def test_defaults_tell_held_out_documents_from_shuffled_ones(make_docs):
     good = np.mean([rows[k].mean_log_prob for k in range(60)])
     bad = np.mean([rows[k + 60].mean_log_prob for k in range(60)])
     assert good > bad
+
+
+def test_words_of_a_bucket_share_its_probability(make_docs):
+    rng = random.Random(6)
+    rare = [f"rare{i}" for i in range(9000)]
+    texts = [" ".join(rng.sample(rare, 60)) for _ in range(400)] + [" ".join(rare)]
+    model = lm.train(make_docs(list(enumerate(texts))))
+    buckets = model.vocabulary.shared[lm.VOCABULARY - lm.BUCKETS :]
+    assert not model.vocabulary.shared[: lm.VOCABULARY - lm.BUCKETS].any()
+    held = np.exp(buckets) - 1
+    assert round(held.sum()) == len(rare) - (lm.VOCABULARY - lm.BUCKETS)
+    # every word of the corpus once, alone in its text: together they are at most certain
+    rows = lm.score(make_docs(list(enumerate(rare))), model).collect()
+    total = np.exp([r.log_prob for r in rows]).sum()
+    assert 0.9 < total < 1
