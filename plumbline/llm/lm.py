@@ -128,35 +128,57 @@ def windows_of(texts: list[bytes | None], vocabulary: Vocabulary):
     return ids, line, place, np.array(steps), found.counts
 
 
-def _softmax(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Probabilities, in place of the logits, and the logarithms of their divisors."""
+def _exp(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Exponentials of logits less the largest of their row, in place, and these largest ones."""
     top = logits.max(axis=1, keepdims=True)
     logits -= top
-    np.exp(logits, out=logits)
-    total = logits.sum(axis=1, keepdims=True)
-    logits /= total
-    return logits, (top + np.log(total)).ravel()
+    return np.exp(logits, out=logits), top
+
+
+def _sums(rows: np.ndarray) -> np.ndarray:
+    """Sums of rows, as a product, which takes a fourth of the time of adding up short rows."""
+    return rows @ np.ones((rows.shape[1], 1), rows.dtype)
+
+
+def _softmax(logits: np.ndarray) -> np.ndarray:
+    """Probabilities, in place of the logits."""
+    logits, _ = _exp(logits)
+    logits /= _sums(logits)
+    return logits
+
+
+def _chosen(logits: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """Logarithms of the probabilities of one column of each row of logits, which are used up."""
+    own = logits[np.arange(len(logits)), which]
+    logits, top = _exp(logits)
+    return own - (top + np.log(_sums(logits))).ravel()
+
+
+def _by_class(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """An order of words by class, their classes and places in them, and where each class begins."""
+    order = np.argsort((ids // IN_CLASS).astype(np.uint8), kind="stable")  # small integers sort in linear time
+    of_class, within = np.divmod(ids[order], IN_CLASS)
+    return order, of_class, within, np.searchsorted(of_class, np.arange(CLASSES + 1))
+
+
+def _inner(net: Net, hidden: np.ndarray, of_class: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Logits of the words of its class, for words in the order of classes."""
+    logits = np.empty((len(hidden), IN_CLASS), np.float32)
+    for c in np.flatnonzero(np.diff(bounds)):
+        own = slice(bounds[c], bounds[c + 1])
+        np.matmul(hidden[own], net.words[c], out=logits[own])
+    logits += net.word_bias[of_class]
+    return logits
 
 
 def log_probabilities(net: Net, window: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """Of each word given its window."""
     n = len(ids)
-    of_class, within = ids // IN_CLASS, ids % IN_CLASS
-    order = np.argsort(of_class, kind="stable")
+    order, of_class, within, bounds = _by_class(ids)
     hidden = np.tanh(net.embedding[window[order]].reshape(n, -1) @ net.hidden + net.hidden_bias)
-    of_class, within = of_class[order], within[order]
-    logits = hidden @ net.classes + net.class_bias
-    row = np.arange(n)
-    out = logits[row, of_class] - _softmax(logits)[1]
-    bounds = np.searchsorted(of_class, np.arange(CLASSES + 1))
-    for c in range(CLASSES):
-        own = slice(bounds[c], bounds[c + 1])
-        if bounds[c] < bounds[c + 1]:
-            logits = hidden[own] @ net.words[c] + net.word_bias[c]
-            chosen = logits[np.arange(len(logits)), within[own]]
-            out[own] += chosen - _softmax(logits)[1]
     back = np.empty(n)
-    back[order] = out
+    back[order] = _chosen(hidden @ net.classes + net.class_bias, of_class)
+    back[order] += _chosen(_inner(net, hidden, of_class, bounds), within)
     return back
 
 
@@ -174,35 +196,34 @@ class Trainer:
 
     def learn(self, window: np.ndarray, ids: np.ndarray) -> None:
         net, n = self.net, len(ids)
-        of_class, within = ids // IN_CLASS, ids % IN_CLASS
-        order = np.argsort(of_class, kind="stable")
-        window, of_class, within = window[order], of_class[order], within[order]
+        row = np.arange(n)
+        order, of_class, within, bounds = _by_class(ids)
+        window = window[order]
         inputs = net.embedding[window].reshape(n, -1)
         hidden = np.tanh(inputs @ net.hidden + net.hidden_bias)
-        off, _ = _softmax(hidden @ net.classes + net.class_bias)
-        off[np.arange(n), of_class] -= 1
+        off = _softmax(hidden @ net.classes + net.class_bias)
+        off[row, of_class] -= 1
         off /= n
+        inner = _softmax(_inner(net, hidden, of_class, bounds))
+        inner[row, within] -= 1
+        inner /= n
         back = off @ net.classes.T
-        bounds = np.searchsorted(of_class, np.arange(CLASSES + 1))
-        steps = []
-        for c in np.flatnonzero(np.diff(bounds)):
+        present = np.flatnonzero(np.diff(bounds))
+        words = np.empty((len(present), HIDDEN, IN_CLASS), np.float32)
+        for k, c in enumerate(present):
             own = slice(bounds[c], bounds[c + 1])
-            inner, _ = _softmax(hidden[own] @ net.words[c] + net.word_bias[c])
-            inner[np.arange(len(inner)), within[own]] -= 1
-            inner /= n
-            back[own] += inner @ net.words[c].T
-            steps.append((c, hidden[own].T @ inner, inner.sum(axis=0)))
+            back[own] += inner[own] @ net.words[c].T
+            np.matmul(hidden[own].T, inner[own], out=words[k])
         back *= 1 - hidden * hidden
         to_inputs = (back @ net.hidden.T).reshape(-1, EMBEDDING)
         self._step("classes", hidden.T @ off)
         self._step("class_bias", off.sum(axis=0))
-        for c, words, bias in steps:
-            self._step("words", words, c)
-            self._step("word_bias", bias, c)
+        self._step("words", words, present)
+        self._step("word_bias", np.add.reduceat(inner, bounds[present], axis=0), present)
         self._step("hidden", inputs.T @ back)
         self._step("hidden_bias", back.sum(axis=0))
         touched = window.ravel()
-        by_id = np.argsort(touched, kind="stable")
+        by_id = np.argsort(touched.astype(np.uint16), kind="stable")
         first = np.flatnonzero(np.diff(touched[by_id], prepend=-1))
         self._step("embedding", np.add.reduceat(to_inputs[by_id], first, axis=0), touched[by_id][first])
 
