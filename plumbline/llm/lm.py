@@ -136,7 +136,10 @@ def _exp(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sums(rows: np.ndarray) -> np.ndarray:
-    """Sums of rows, as a product, which takes a fourth of the time of adding up short rows."""
+    """Sums of rows, as a product, which takes a fourth of the time of adding up short rows.
+
+    Their last bits depend on the place of a row, so scores, equal for equal texts, are added up plainly.
+    """
     return rows @ np.ones((rows.shape[1], 1), rows.dtype)
 
 
@@ -151,7 +154,7 @@ def _chosen(logits: np.ndarray, which: np.ndarray) -> np.ndarray:
     """Logarithms of the probabilities of one column of each row of logits, which are used up."""
     own = logits[np.arange(len(logits)), which]
     logits, top = _exp(logits)
-    return own - (top + np.log(_sums(logits))).ravel()
+    return own - (top + np.log(logits.sum(axis=1, keepdims=True))).ravel()
 
 
 def _by_class(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
