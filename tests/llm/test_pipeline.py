@@ -33,7 +33,7 @@ def test_query_covers_its_table(spark, sf_dir, name):
 def test_entry_points_offer_the_queries():
     assert set(QUERIES) | {"pipeline"} <= set(__spark_entry__.queries())
     assert set(ORACLES) <= set(__spark_entry__.oracle_sql())
-    assert [f"op{n}_" for n in range(1, 11)] == sorted({q.split("_")[0] + "_" for q in QUERIES}, key=lambda q: int(q[2:-1]))
+    assert [f"op{n}_" for n in range(1, 14)] == sorted({q.split("_")[0] + "_" for q in QUERIES}, key=lambda q: int(q[2:-1]))
 
 
 def test_stages_on_documents(spark, sf_dir, tmp_path):
