@@ -5,20 +5,20 @@ A rule on the order of two columns, or on the time between them, is a difference
 which is the least difference of two times and tells it from equality for all other values. Edges
 that return to their start with a negative total cannot hold together.
 
-Rules with one unconditional condition between two columns take part; others are left alone. The
-edges of a table are gathered, first the tightest for each pair of columns and then the rules to be
-tested, so a group is as large as the rules of one table.
+Rules with one unconditional condition between two columns take part; others are left alone. For
+contradictions the tightest edges of a table are gathered, one for each pair of its columns; for
+implied rules all of its rules, in time linear in them.
 """
 
 from __future__ import annotations
 
 import sys
 from collections import defaultdict
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.operators import checks
@@ -37,8 +37,11 @@ Edge = tuple[str, str, int]
 
 def edges(rules: DataFrame) -> DataFrame:
     """(table_name, rule_id, confidence, x, y, w): a row for each constraint y - x <= w of a rule."""
-    c = F.get("conditions", F.lit(0))
-    single = rules.where((F.size("conditions") == 1) & c["role"].isNull())
+    # An outer explode, as no filter on its result goes below it: a condition that is built from other
+    # columns is then built once, not for every mention of a field of it.
+    c = F.col("c")
+    one = F.explode_outer(F.when(F.size("conditions") == 1, F.col("conditions")))
+    single = rules.select("table_name", "rule_id", "confidence", one.alias("c")).where(c["role"].isNull())
     between = F.when(c["type"] == "DURATION", F.struct(c["start_column"].alias("a"), c["end_column"].alias("b"))).when(
         c["type"].isin("COMPARISON", "TEMPORAL_ORDER") & (c["right_type"] == "column"),
         F.struct(c["left"].alias("a"), c["right_value"].alias("b")),
@@ -91,28 +94,57 @@ def _components(pairs: Iterable[tuple[str, str]]) -> dict[str, int]:
     return label
 
 
-def walk(edge: Edge, rule: str, tight: dict[str, list[tuple[str, int, str]]], n: int) -> tuple[int, tuple, list] | None:
-    """The walk of fewest edges, n at most, that starts with an edge, returns to its start and has a
-    negative total; of several, the one with the smallest total, then the first by rule ids."""
-    x, y, w = edge
-    at = {y: (w, (rule,), (x,))}
-    for _ in range(n):
-        if x in at and at[x][0] < 0:
-            return at[x]
-        step: dict[str, tuple] = {}
-        for v, (total, path, columns) in at.items():
-            for z, weight, other in tight.get(v, ()):
-                new = (total + weight, (*path, other), (*columns, v))
-                if z not in step or new[:2] < step[z][:2]:
-                    step[z] = new
-        at = step
-    return None
+def returns(edges: Iterable[tuple[str, str, int, int, str]]) -> dict[tuple[str, str], list[tuple[int, tuple, bool]]]:
+    """Ways back, of a table's tightest edges (x, y, w, loosest w between the two, rule).
+
+    For each pair (x, y) that is on a negative cycle, the walks from y to x: total, rules and whether
+    no column recurs. They are ordered by their number of edges, each is the smallest of that many by
+    total, then by rule ids, and only those are listed whose total is below all before. So a rule
+    between x and y contradicts by the first whose total added to its own is negative.
+    """
+    edges = list(edges)
+    label = _components((x, y) for x, y, *_ in edges)
+    edges = [e for e in edges if label[e[0]] == label[e[1]]]
+    if all(w >= 0 for _, _, w, _, _ in edges):
+        return {}
+    tight: dict[str, list] = defaultdict(list)
+    into: dict[str, list] = defaultdict(list)
+    for x, y, w, loosest, rule in edges:
+        tight[x].append((y, w, rule))
+        into[y].append((x, w, loosest))
+    n = len(tight)
+    found: dict[tuple[str, str], list] = defaultdict(list)
+    for y, asked in into.items():
+        at: dict[str, tuple] = {y: (0, (), ())}
+        for _ in range(n):
+            left = []
+            for x, w, loosest in asked:
+                known = found.get((x, y))
+                if x in at and w + at[x][0] < 0 and (not known or at[x][0] < known[-1][0]):
+                    total, path, columns = at[x]
+                    found[x, y].append((total, path, len({x, *columns}) == 1 + len(columns)))
+                    known = found[x, y]
+                if not known or loosest + known[-1][0] >= 0:
+                    left.append((x, w, loosest))
+            asked = left
+            if not asked:
+                break
+            step: dict[str, tuple] = {}
+            for v, (total, path, columns) in at.items():
+                for z, weight, other in tight[v]:
+                    new = (total + weight, (*path, other), (*columns, v))
+                    if z not in step or new[:2] < step[z][:2]:
+                        step[z] = new
+            at = step
+    return found
 
 
-_CONTRADICTIONS = "table_name string, rule_id string, partners array<string>, slack bigint"
+_RETURNS = "table_name string, x string, y string, ways array<struct<total bigint, path array<string>, simple boolean>>"
 _IMPLIED = "table_name string, rule_id string, implied_by array<string>"
 _TEXTS = pa.list_(pa.string())
-_ARROW = {"table_name": pa.string(), "rule_id": pa.string(), "partners": _TEXTS, "implied_by": _TEXTS, "slack": pa.int64()}
+_ARROW = {"table_name": pa.string(), "rule_id": pa.string(), "implied_by": _TEXTS}
+_WAY = pa.struct([("total", pa.int64()), ("path", _TEXTS), ("simple", pa.bool_())])
+_ARROW_RETURNS = pa.schema([("table_name", pa.string()), ("x", pa.string()), ("y", pa.string()), ("ways", pa.list_(_WAY))])
 
 
 def _table(rows: list[tuple], *names: str) -> pa.Table:
@@ -120,30 +152,26 @@ def _table(rows: list[tuple], *names: str) -> pa.Table:
     return pa.table({n: pa.array(list(c), _ARROW[n]) for n, c in zip(names, columns)})
 
 
-def _contradicted(group: pa.Table) -> pa.Table:
-    """``tight`` rows are the tightest edges; all others are rules to be tested."""
-    rules = group.to_pylist()
-    label = _components((r["x"], r["y"]) for r in rules)
-    rules = [r for r in rules if label[r["x"]] == label[r["y"]]]
-    tight: dict[str, list] = defaultdict(list)
-    for r in rules:
-        if r["tight"]:
-            tight[r["x"]].append((r["y"], r["w"], r["rule_id"]))
-    best: dict[str, tuple] = {}
-    n = len({v for r in rules for v in (r["x"], r["y"])})
-    for r in rules:
-        found = walk((r["x"], r["y"], r["w"]), r["rule_id"], tight, n)
-        if found and len(set(found[2])) == len(found[2]):  # no part of it would do alone
-            key = (len(found[1]), found[0], found[1])
-            best[r["rule_id"]] = min(key, best.get(r["rule_id"], key))
-    rows = [(rules[0]["table_name"], i, sorted(set(path) - {i}), total) for i, (_, total, path) in best.items()]
-    return _table(rows, "table_name", "rule_id", "partners", "slack")
-
-
-def _with_tightest(found: DataFrame) -> DataFrame:
-    """The edges, of which the tightest between two columns are marked; ties go to the first rule."""
-    order = F.row_number().over(Window.partitionBy("table_name", "x", "y").orderBy("w", "rule_id"))
-    return found.select("table_name", "x", "y", "w", "rule_id", (order == 1).alias("tight"))
+def _returns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``returns`` of many tables, a row each."""
+    for batch in batches:
+        rows = []
+        for table, listed in zip(*(c.to_pylist() for c in batch.columns)):
+            for (x, y), ways in returns(tuple(e.values()) for e in listed).items():
+                rows.append({"table_name": table, "x": x, "y": y, "ways": [dict(zip(("total", "path", "simple"), w)) for w in ways]})
+        yield pa.RecordBatch.from_pylist(rows, schema=_ARROW_RETURNS)
+
+
+def _ways_back(found: DataFrame) -> DataFrame:
+    """(table_name, x, y, ways) of the pairs of columns on negative cycles, from the tightest edge
+    between two columns each; ties go to the first rule."""
+    tight = F.min(F.struct("w", "rule_id"))
+    pairs = found.groupBy("table_name", "x", "y").agg(tight.alias("tight"), F.max("w").alias("loosest"))
+    edge = F.struct("x", "y", F.col("tight.w").alias("w"), "loosest", F.col("tight.rule_id").alias("rule_id"))
+    tables = pairs.groupBy("table_name").agg(F.collect_list(edge).alias("edges"), F.min("tight.w").alias("least"))
+    # most tables have no column that one edge enters and another leaves, and need no Python
+    cyclic = tables.where(F.arrays_overlap("edges.x", "edges.y") & (F.col("least") < 0))
+    return cyclic.select("table_name", "edges").mapInArrow(_returns, _RETURNS)
 
 
 def contradictions(rules: DataFrame) -> DataFrame:
@@ -153,9 +181,24 @@ def contradictions(rules: DataFrame) -> DataFrame:
     can hold if any one of them is given up. ``slack`` is its (negative) total in microseconds. A
     rule whose smallest contradiction is one of others only is not named; it comes up once that is
     mended. A rule that contradicts itself has no partners.
+
+    The smallest contradiction of a rule begins with it and goes on by the tightest edges, of which
+    there is one for each pair of columns. Only these are gathered by table; the ways back found from
+    them are joined to the rules.
     """
-    found = _with_tightest(edges(rules))
-    return found.groupBy("table_name").applyInArrow(_contradicted, _CONTRADICTIONS)
+    found = edges(rules)
+    ways = _ways_back(found).withColumnsRenamed({"table_name": "_table", "x": "_x", "y": "_y"})
+    own = F.col("table_name").eqNullSafe(F.col("_table")) & (F.col("x") == F.col("_x")) & (F.col("y") == F.col("_y"))
+    first = F.get(F.filter("ways", lambda way: way["total"] + F.col("w") < 0), F.lit(0))
+    closed = found.join(ways, own).select("table_name", "rule_id", "w", first.alias("way")).where("way.simple")
+    # no part of it would do alone; of the edges of a rule, that with the fewest rules counts
+    smallest = F.min(F.struct(F.size("way.path").alias("n"), (F.col("w") + F.col("way.total")).alias("slack"), "way.path"))
+    partners = F.array_sort(F.array_except("best.path", F.array("rule_id")))
+    return (
+        closed.groupBy("table_name", "rule_id")
+        .agg(smallest.alias("best"))
+        .select("table_name", "rule_id", partners.alias("partners"), "best.slack")
+    )
 
 
 def warn_of_contradictions(rules: DataFrame) -> DataFrame:
@@ -200,30 +243,77 @@ def _order_of_tests(confidence: dict[str, float | None]) -> list[str]:
     return sorted(sorted(known, reverse=True), key=known.get)
 
 
+class _Kept:
+    """The edges of the rules still kept, and the tightest of them between two columns."""
+
+    def __init__(self, by_rule: dict[str, list[Edge]]):
+        listed: dict[tuple[str, str], set] = defaultdict(set)
+        for rule, own in by_rule.items():
+            for x, y, w in own:
+                listed[x, y].add((w, rule))
+        # the loosest first, so that the tightest can be taken from the end
+        self.listed = {pair: sorted(own, reverse=True) for pair, own in listed.items()}
+        self.rules = set(by_rule)
+        self.n = len({c for pair in listed for c in pair})
+        self.tightest: dict[str, dict[str, tuple[int, str]]] = defaultdict(dict)
+        for (x, y), own in self.listed.items():
+            self.tightest[x][y] = own[-1]
+        self.found: dict[str, dict] = {}  # shortest walks, until the tightest edges change
+
+    def shortest(self, start: str, without: str, pairs: Iterable[tuple[str, str]]) -> dict[str, tuple[int, tuple]]:
+        """The shortest walks that do without a rule, which has edges between the pairs given."""
+        graph = None
+        for x, y in pairs:
+            if self.tightest[x].get(y, (0, None))[1] == without:
+                if graph is None:
+                    graph = {k: dict(v) for k, v in self.tightest.items()}
+                other = next((e for e in reversed(self.listed[x, y]) if e[1] != without and e[1] in self.rules), None)
+                if other is None:
+                    del graph[x][y]
+                else:
+                    graph[x][y] = other
+        if graph is not None:
+            return shortest(start, graph, self.n)
+        if start not in self.found:
+            self.found[start] = shortest(start, self.tightest, self.n)
+        return self.found[start]
+
+    def drop(self, rule: str, pairs: Iterable[tuple[str, str]]) -> None:
+        self.rules.remove(rule)
+        for x, y in pairs:
+            own = self.listed[x, y]
+            if own and own[-1][1] == rule:
+                while own and own[-1][1] not in self.rules:
+                    own.pop()
+                self.found.clear()
+                if own:
+                    self.tightest[x][y] = own[-1]
+                else:
+                    del self.tightest[x][y]
+
+
 def _implied(group: pa.Table) -> pa.Table:
     """Rules are tested from the least confident on; one that follows from those still kept goes."""
     by_rule: dict[str, list[Edge]] = defaultdict(list)
-    rules = group.to_pylist()
-    for r in rules:
-        by_rule[r["rule_id"]].append((r["x"], r["y"], r["w"]))
-    n = len({v for r in rules for v in (r["x"], r["y"])})
-    kept = dict(by_rule)
+    confidence: dict[str, float | None] = {}
+    for r in group.select(["rule_id", "x", "y", "w", "confidence"]).to_batches():
+        for rule, x, y, w, sure in zip(*(c.to_pylist() for c in r.columns)):
+            by_rule[rule].append((x, y, w))
+            confidence[rule] = sure
+    kept = _Kept(by_rule)
+    table = group.column("table_name")[0].as_py()
     out = []
-    for rule in _order_of_tests({r["rule_id"]: r["confidence"] for r in rules}):
-        graph: dict[str, dict] = defaultdict(dict)
-        for other, own in kept.items():
-            for x, y, w in own if other != rule else ():
-                if y not in graph[x] or (w, other) < graph[x][y]:
-                    graph[x][y] = (w, other)
+    for rule in _order_of_tests(confidence):
         witness: set[str] = set()
+        pairs = {(x, y) for x, y, _ in by_rule[rule]}
         for x, y, w in by_rule[rule]:
-            found = shortest(x, graph, n).get(y)
+            found = kept.shortest(x, rule, pairs).get(y)
             if found is None or found[0] > w:
                 break
             witness.update(found[1])
         else:
-            del kept[rule]
-            out.append((rules[0]["table_name"], rule, sorted(witness)))
+            kept.drop(rule, pairs)
+            out.append((table, rule, sorted(witness)))
     return _table(out, "table_name", "rule_id", "implied_by")
 
 

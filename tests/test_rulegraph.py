@@ -133,3 +133,70 @@ def test_implied_durations_and_dependencies(frame):
     assert set(got) == {"3", "d3", "d4"} and got["d3"] == ["d1", "d2"] and got["3"] in (["4"], ["1", "2"])
     kept = {r.rule_id for r in G.without_implied(frame(rules)).collect()}
     assert kept | set(got) == {r["rule_id"] for r in rules} and not kept & set(got)
+
+
+def walked(rules):
+    """Partners and slack by trying, for every edge, the walks of tightest edges one by one."""
+    edges = []
+    for r in rules:
+        c = r["conditions"][0]
+        if c["type"] == "DURATION":
+            edges.append((c["end_column"], c["start_column"], -int(c["value"]) * DAY, r["rule_id"]))
+        else:
+            edges.append((c["right_value"], c["left"], -1 if c["operator"] == "LT" else 0, r["rule_id"]))
+            edges += [(c["left"], c["right_value"], 0, r["rule_id"])] if c["operator"] == "EQ" else []
+    tight = {}
+    for x, y, w, i in edges:
+        tight[x, y] = min((w, i), tight.get((x, y), (w, i)))
+    out = {}
+    for x, y, w, i in edges:
+        walks = [(w, (i,), (x,), y)]
+        for n in range(4):
+            closed = [k[:3] for k in walks if k[3] == x and k[0] < 0]
+            if closed:
+                total, path, columns = min(closed)
+                if len(set(columns)) == len(columns):
+                    out[i] = min((len(path), total, path), out.get(i, (len(path), total, path)))
+                break
+            walks = [(t + k, (*p, o), (*c, h), z) for t, p, c, h in walks for (a, z), (k, o) in tight.items() if a == h]
+    return {i: (sorted(set(path) - {i}), total) for i, (_, total, path) in out.items()}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_contradictions_of_many_tables_are_those_found_by_walking(frame, seed):
+    rng = random.Random(seed)
+    by_table = {}
+    for t in [*(f"t{i}" for i in range(40)), None]:
+        rules = by_table.setdefault(t, [])
+        for i in range(rng.randint(1, 8)):
+            a, b = rng.choices("abcd", k=2)
+            own = {"table": t, "confidence": rng.random()}
+            op = rng.choice(["LT", "LTE", "EQ", "GTE"])
+            rules.append(duration(f"{t}_{i}", a, b, "GTE", float(rng.randint(0, 2)), **own) if op == "GTE" else order(f"{t}_{i}", a, op, b, **own))
+    got = {r.rule_id: (r.partners, r.slack) for r in G.contradictions(frame([r for rs in by_table.values() for r in rs])).collect()}
+    want = {}
+    for rules in by_table.values():
+        want.update(walked(rules))
+    assert got == want and len(want) > 20
+
+
+def test_tables_without_a_cycle_need_no_python(frame, monkeypatch):
+    monkeypatch.setattr(G, "returns", lambda edges: 1 / 0)
+    rules = [order(f"{t}{i}", a, "LT", b, table=str(t)) for t in range(3) for i, (a, b) in enumerate(["ab", "cb", "ad", "cb"])]
+    assert found(frame(rules)) == {}
+
+
+def test_implied_rules_take_time_in_proportion_to_the_rules(monkeypatch):
+    import pyarrow as pa
+
+    calls = []
+    plain = G.shortest
+    monkeypatch.setattr(G, "shortest", lambda *a: calls.append(1) or plain(*a))
+    rng = random.Random(5)
+    pairs = [tuple(sorted(rng.sample("abcdef", 2))) for _ in range(20_000)]
+    group = pa.table({
+        "table_name": ["t"] * len(pairs), "rule_id": [f"r{i:06}" for i in range(len(pairs))], "confidence": [1.0] * len(pairs),
+        "x": [p[0] for p in pairs], "y": [p[1] for p in pairs], "w": [rng.randint(0, 3) for _ in pairs],
+    })
+    gone = G._implied(group)
+    assert len(pairs) - 15 <= gone.num_rows < len(pairs) and len(calls) < 1000
