@@ -26,6 +26,9 @@ from plumbline.operators.skew import text_key
 
 # Columns per global aggregate: keeps generated code within the size the JIT compiles.
 COLUMNS_PER_AGGREGATE = 16
+# Distinct values that a task counts, of columns with one for every few rows.
+VALUES_PER_TASK = 250_000
+ROWS_PER_VALUE = 8
 BINS = 5
 
 
@@ -76,10 +79,13 @@ def value_frequencies(
     columns: Iterable[str] | None = None,
     blank_is_null: bool = True,
     digest: bool = False,
+    tasks: int | None = None,
 ) -> DataFrame:
     """(column_name, value, n) for every distinct value of the columns.
 
-    With ``digest``, long texts appear as their digest.
+    With ``digest``, long texts appear as their digest. With ``tasks``, values are dealt to so many
+    tasks before they are counted: a count on the side of the scan saves little where most values
+    are different, and would hold all of a file's in one task.
     """
     wanted = list(columns) if columns is not None else df.columns
     by_type: dict[str, list[T.StructField]] = {}
@@ -100,6 +106,8 @@ def value_frequencies(
         )
         if kind == "string" and digest:
             long = long.withColumn("value", text_key(F.col("value")))
+        if tasks:
+            long = long.repartition(tasks, "column_name", "value")
         branches.append(
             long.groupBy("column_name", "value")
             .agg(F.count(F.lit(1)).alias("n"))
@@ -178,8 +186,8 @@ MEASURES = {
 
 def _sizes(
     df: DataFrame, fields: list[T.StructField], blank_is_null: bool, lg_k: int = 12
-) -> dict[str, int]:
-    """PROF-5: the approximate distinct count of each column, from one global aggregate.
+) -> tuple[int, dict[str, int]]:
+    """PROF-5: the rows and the approximate distinct count of each column, from one global aggregate.
 
     A sketch of 2**12 registers errs by 1.6 % and is all but exact for a few dozen values.
     """
@@ -188,8 +196,8 @@ def _sizes(
         v = present(f, blank_is_null)
         hashed = f"if({v} IS NULL, NULL, xxhash64({v}))"
         sketches.append(f"hll_sketch_estimate(hll_sketch_agg({hashed}, {lg_k})) AS s{i}")
-    row = df.selectExpr(*sketches).first()
-    return {f.name: row[i] for i, f in enumerate(fields)}
+    total, *found = df.selectExpr("count(1) AS rows", *sketches).first()
+    return total, {f.name: size for f, size in zip(fields, found)}
 
 
 RANKED_TYPE = "array<struct<rank:bigint,value:string>>"
@@ -266,18 +274,26 @@ def _profile_rows(
 
     def distinct_values() -> tuple[dict[str, int], dict[str, Row]]:
         sizes: dict[str, int] = {}
-        for found in side_by_side(lambda p: _sizes(df, p, blank_is_null, lg_k), _in_steps(sized)):
+        total = 0
+        for total, found in side_by_side(lambda p: _sizes(df, p, blank_is_null, lg_k), _in_steps(sized)):
             sizes.update(found)
         small = sorted(c for c, size in sizes.items() if _is_small(size))
         large = [f.name for f in fields if f.name in countable and f.name not in small]
         frames = []
         if small:
             frames.append(top_values(value_frequencies(df, small, blank_is_null)))
-        if large and not approx:
-            keyed = value_frequencies(df, large, blank_is_null, digest=True)
-            frames.append(
-                distinct_counts(keyed).selectExpr("*", f"CAST(NULL AS {RANKED_TYPE}) AS ranked")
-            )
+        dense = [c for c in large if sizes[c] * ROWS_PER_VALUE >= total]
+        tasks = math.ceil(sum(sizes[c] for c in dense) / VALUES_PER_TASK)
+        if tasks <= 1:
+            parts = [(large, None)]
+        else:
+            parts = [(dense, tasks), ([c for c in large if c not in dense], None)]
+        for names, dealt in parts:
+            if names and not approx:
+                keyed = value_frequencies(df, names, blank_is_null, digest=True, tasks=dealt)
+                frames.append(
+                    distinct_counts(keyed).selectExpr("*", f"CAST(NULL AS {RANKED_TYPE}) AS ranked")
+                )
         rows = _union(frames).collect() if frames else []
         return sizes, {r["column_name"]: r for r in rows}
 

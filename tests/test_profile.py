@@ -301,3 +301,19 @@ def test_first_of_a_group_is_cut_before_the_shuffle(spark, sf_dir):
 
     plan = QUERIES["rt_dedupe_rules"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "Partial" in plan
+
+
+def test_values_of_columns_with_few_repeats_are_dealt_to_tasks(spark, monkeypatch):
+    rows = [(i, f"name {i // 2}", i % 100 if i % 7 else None) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id int, name string, few int")
+    dealt = []
+    counted = profile.value_frequencies
+    monkeypatch.setattr(profile, "VALUES_PER_TASK", 1000)
+    monkeypatch.setattr(
+        profile, "value_frequencies", lambda d, names, *a, **k: dealt.append((sorted(names), k.get("tasks"))) or counted(d, names, *a, **k)
+    )
+    got = {r.column_name: (r.distinct_count, r.null_count) for r in profile.profile(df, "t").collect()}
+    assert got == {"id": (3000, 0), "name": (1500, 0), "few": (100, sum(r[2] is None for r in rows))}
+    assert ["few"] in [names for names, tasks in dealt if not tasks]
+    assert [(names, tasks >= 4) for names, tasks in dealt if tasks] == [(["id", "name"], True)]
+    assert "REPARTITION_BY_NUM" in counted(df, ["name"], tasks=4)._jdf.queryExecution().toString()
