@@ -9,7 +9,11 @@ subsets is already enough. Every level has two steps.
    within it. A repeat refutes a key, and a difference a dependency, for certain; where some are
    allowed, the estimate must be DEVIATIONS standard errors too high. Nothing is shuffled but the
    samples, which are merged in two steps.
-2. The sets left are counted exactly in one grouping, on 128-bit hashes of their values.
+2. The sets left are counted exactly, on 128-bit hashes of their values. Tasks drop what repeats in a
+   chunk of rows and deal the rest to buckets by hash, as blocks of many hashes; a bucket is of bounded
+   size, and its distinct hashes are counted by sorting. Of dependencies, the rows to remove within
+   each chunk are added up first: together they are at most those of the table, so that the sum
+   refutes for certain, and only pairs that it leaves are grouped.
 
 What is reported is exact. Only results per set, which are schema-sized, come to the driver.
 
@@ -20,10 +24,10 @@ with a value in fewer than two rows, and of types that have no equality, are lef
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterable, Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 from functools import reduce
-from itertools import combinations
+from itertools import chain, combinations
 from math import prod
 
 import numpy as np
@@ -37,7 +41,7 @@ from plumbline import schemas
 from plumbline.local import local_frame, side_by_side
 from plumbline.operators import checks
 from plumbline.operators.mine import _mined
-from plumbline.operators.predicates import all_of, column
+from plumbline.operators.predicates import column
 
 # Executors need no copy of this module for the functions that run there.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -47,6 +51,11 @@ DEVIATIONS = 6
 SAMPLE_BYTES = 64 << 20  # of all sets of a scan, in each task
 MERGED_AT_ONCE = 256
 SETS_PER_PASS = 32
+SAMPLED_ROWS = 1 << 15  # looked at together
+CHUNK_ROWS = 1 << 18  # whose repeats are dropped before they are dealt out
+CELLS = 1 << 21  # of pairs of values that are counted in an array
+CODES = 1 << 40
+BUCKET_ROWS = 1 << 20
 # Entries of a theta sketch, as a power of two; its standard error is 1 / sqrt of them.
 SKETCH_LOG = 12
 
@@ -66,14 +75,45 @@ def _has_equality(data_type: T.DataType) -> bool:
     return not isinstance(data_type, (T.MapType, T.VariantType, T.NullType))
 
 
-def _hashes(names: Iterable[str]) -> tuple[Column, Column]:
-    """Two hashes of the values of columns, none of which is null."""
-    values = [column(c) for c in sorted(names)]
-    return F.xxhash64(*values), F.xxhash64(F.lit("second"), *values)
+def _hashes(names: Sequence[str], wanted: Iterable[str]) -> list[Column]:
+    """Two hashes of the values of each column, null for columns that are not wanted."""
+    wanted = set(wanted)
+    value = lambda c, *first: F.when(column(c).isNotNull(), F.xxhash64(*first, column(c)))
+    one = lambda i, c: value(c).alias(f"c{i}") if c in wanted else F.lit(None).cast("bigint").alias(f"c{i}")
+    two = lambda i, c: value(c, F.lit("second")).alias(f"d{i}") if c in wanted else F.lit(None).cast("bigint").alias(f"d{i}")
+    return [one(i, c) for i, c in enumerate(names)] + [two(i, c) for i, c in enumerate(names)]
 
 
-def _present(names: Iterable[str]) -> Column:
-    return all_of(column(c).isNotNull() for c in names)
+def _chunks(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[list[tuple[np.ndarray, np.ndarray | None]]]:
+    """Batches put together to so many rows: the values of each column, and where it has one, None for everywhere."""
+    held, rows = [], 0
+    for batch in chain(batches, [None]):
+        if batch is not None:
+            held.append(batch)
+            rows += len(batch)
+        if rows and (batch is None or rows >= size):
+            columns = pa.Table.from_batches(held).columns
+            yield [
+                (c.fill_null(0).to_numpy(), c.is_valid().to_numpy().astype(bool)) if c.null_count else (c.to_numpy(), None)
+                for c in columns
+            ]
+            held, rows = [], 0
+
+
+def _words(columns: Sequence[tuple[np.ndarray, np.ndarray | None]]) -> list[np.ndarray]:
+    """The hashes of columns, each times a number of its own: the hash of a set is the sum of its columns'."""
+    weights = np.random.default_rng(1).integers(0, 1 << 63, len(columns), np.uint64) * np.uint64(2) + np.uint64(1)
+    return [v.view(np.uint64) * w for (v, _), w in zip(columns, weights)]
+
+
+def _present(columns: Sequence[tuple[np.ndarray, np.ndarray | None]], own: Iterable[int]) -> np.ndarray | None:
+    """Rows in which all these columns have a value, None for all rows."""
+    valid = [columns[c][1] for c in own if columns[c][1] is not None]
+    return reduce(np.logical_and, valid) if valid else None
+
+
+def _chosen(values: np.ndarray, rows: np.ndarray | None) -> np.ndarray:
+    return values if rows is None else values[rows]
 
 
 class _Sample:
@@ -104,6 +144,55 @@ class _Sample:
             rows, hashes[start], np.add.reduceat(n, start), np.minimum.reduceat(low, start), np.maximum.reduceat(high, start)
         )
 
+    def with_rows(
+        self, hashes: np.ndarray, columns: Sequence[tuple[np.ndarray, np.ndarray | None]], own: Sequence[int]
+    ) -> _Sample:
+        """Rows added, of the hashes of this set and the columns of the table."""
+        present = _present(columns, own)
+        rows = len(hashes) if present is None else int(np.count_nonzero(present))
+        if len(self.hashes) >= SAMPLE:
+            near = hashes <= self.hashes[-1]
+            at = np.flatnonzero(near if present is None else near & present)
+        else:
+            at = np.arange(len(hashes)) if present is None else np.flatnonzero(present)
+        hashes = hashes[at]
+        if len(self.hashes) and len(at):
+            group = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+            old = self.hashes[group] == hashes
+            self._widen(group[old], at[old], columns, own)
+            at, hashes = at[~old], hashes[~old]
+        distinct = np.unique(hashes)
+        if len(distinct) > SAMPLE:
+            near = hashes <= distinct[SAMPLE - 1]
+            at, hashes = at[near], hashes[near]
+        least, most = np.iinfo(np.int64).min, np.iinfo(np.int64).max
+        side = lambda none: np.stack(
+            [v[at] if valid is None else np.where(valid[at], v[at], none) for v, valid in columns], axis=1
+        )
+        return self.with_(rows, hashes, np.ones(len(at), np.int64), side(most), side(least))
+
+    def _widen(
+        self, group: np.ndarray, at: np.ndarray, columns: Sequence[tuple[np.ndarray, np.ndarray | None]], own: Sequence[int]
+    ) -> None:
+        """Rows of known groups added. Of a column that differs in a group, two of its values are enough."""
+        self.n += np.bincount(group, minlength=len(self.n))
+        same = self.low >= self.high
+        same[:, list(own)] = False
+        live = same.any(axis=1)[group]
+        group, at = group[live], at[live]
+        for c in np.flatnonzero(same.any(axis=0)):
+            v, valid = columns[c]
+            open_ = same[group, c] if valid is None else same[group, c] & valid[at]
+            g, x = group[open_], v[at[open_]]
+            low, high = self.low[:, c], self.high[:, c]
+            first = (low > high)[g]
+            low[g[first]] = x[first]
+            high[g[first]] = low[g[first]]
+            differs = x != low[g]
+            g = g[differs]
+            high[g] = x[differs]
+            low[g], high[g] = np.minimum(low[g], high[g]), np.maximum(low[g], high[g])
+
     def row(self, number: int) -> dict:
         return {"set": number, "rows": self.rows, **{k: getattr(self, k).tobytes() for k in ("hashes", "n", "low", "high")}}
 
@@ -123,33 +212,15 @@ _SAMPLED = "part int, set int, rows bigint, hashes binary, n binary, low binary,
 _SUMMARY = "set int, rows bigint, groups bigint, share double, repeated bigint, repeats bigint, broken array<bigint>"
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    """A bijection on 64-bit integers whose output bits each depend on all input bits."""
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(32))
-
-
 def _sampled(sets: Sequence[Sequence[int]], width: int):
     """The samples of a task, for rows of the hashes of all columns."""
 
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        least, most = np.iinfo(np.int64).min, np.iinfo(np.int64).max
         found = [_Sample.empty(width) for _ in sets]
-        for batch in batches:
-            present = np.stack([c.is_valid().to_numpy(zero_copy_only=False) for c in batch.columns], axis=1)
-            values = np.stack([c.fill_null(0).to_numpy() for c in batch.columns], axis=1)
-            low, high = np.where(present, values, most), np.where(present, values, least)
-            words = values.view(np.uint64)
+        for columns in _chunks(batches, SAMPLED_ROWS):
+            words = _words(columns)
             for i, s in enumerate(sets):
-                hashes = np.zeros(len(values), np.uint64)
-                for c in s:
-                    hashes = _mixed(hashes * np.uint64(3) + words[:, c])
-                at = np.flatnonzero(present[:, s].all(axis=1))
-                rows = len(at)
-                if len(found[i].hashes) >= SAMPLE:
-                    at = at[hashes[at] <= found[i].hashes[-1]]
-                found[i] = found[i].with_(rows, hashes[at], np.ones(len(at), np.int64), low[at], high[at])
+                found[i] = found[i].with_rows(reduce(np.add, [words[c] for c in s]), columns, s)
         part = TaskContext.get().partitionId() // MERGED_AT_ONCE
         rows = [{"part": part, **f.row(i)} for i, f in enumerate(found)]
         yield pa.RecordBatch.from_pylist(rows, schema=_ARROW_SAMPLED)
@@ -200,6 +271,62 @@ def _summed_up(width: int):
     return summed_up
 
 
+_BLOCKS = "set int, bucket int, block binary"
+_ARROW_BLOCKS = pa.schema([("set", pa.int32()), ("bucket", pa.int32()), ("block", pa.binary())])
+
+
+def _buckets(rows: int) -> int:
+    """Bits of a hash that tell its bucket; from billions of rows on, buckets grow instead of blocks getting small."""
+    return min(12, (rows // BUCKET_ROWS).bit_length())
+
+
+def _blocks(number: int, bits: int, rows: np.ndarray) -> pa.RecordBatch:
+    """Columns of numbers, in the order of the first of them, cut where its first bits change."""
+    starts = np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits) if bits else np.zeros(1, np.uint64)
+    edges = np.append(np.searchsorted(rows[0], starts), rows.shape[1])
+    used = np.flatnonzero(edges[1:] > edges[:-1])
+    blocks = [rows[:, edges[b] : edges[b + 1]].tobytes() for b in used]
+    columns = [pa.array([number] * len(used), pa.int32()), pa.array(used, pa.int32()), pa.array(blocks, pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, schema=_ARROW_BLOCKS)
+
+
+def _unblocked(table: pa.Table, width: int) -> np.ndarray:
+    return np.concatenate([np.frombuffer(b, np.uint64).reshape(width, -1) for b in table.column("block").to_pylist()], axis=1)
+
+
+def _in_order(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of pairs of hashes, and where in it a new pair starts."""
+    order = np.argsort(x, kind="stable")
+    new, other = (np.append(True, h[1:] != h[:-1]) if len(h) else np.zeros(0, bool) for h in (x[order], y[order]))
+    if (other & ~new).any():
+        # different values of one first hash: they need not stand together yet
+        order = np.lexsort((y, x))
+        new, other = (np.append(True, h[1:] != h[:-1]) for h in (x[order], y[order]))
+    return order, np.flatnonzero(new | other)
+
+
+def _distinct_dealt(sets: Sequence[Sequence[int]], bits: Sequence[int], width: int):
+    """The distinct hashes of sets in each chunk of rows, dealt to buckets."""
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns in _chunks(batches, CHUNK_ROWS):
+            words = _words(columns)
+            for i, s in enumerate(sets):
+                present = _present(columns, s)
+                x, y = (_chosen(reduce(np.add, [words[c + k] for c in s]), present) for k in (0, width))
+                order, start = _in_order(x, y)
+                order = order[start]
+                yield _blocks(i, bits[i], np.stack((x[order], y[order])))
+
+    return dealt
+
+
+def _distinct_counted(table: pa.Table) -> pa.Table:
+    x, y = _unblocked(table, 2)
+    counted = {"set": table.column("set")[:1].cast(pa.int32()), "distinct": pa.array([len(_in_order(x, y)[1])], pa.int64())}
+    return pa.table(counted)
+
+
 def _at_least(seen: int, share: float) -> float:
     """So many of something there are at least in all groups, if so many were seen in the sample."""
     return seen if share == 1 else max(0.0, seen - DEVIATIONS * (seen + 1) ** 0.5) / share
@@ -235,7 +362,7 @@ class _Lattice:
         todo = [s for s in dict.fromkeys(sets) if s not in self.known]
         width = len(self.names)
         step = max(1, SAMPLE_BYTES // (SAMPLE * 16 * (width + 1)))
-        hashes = [F.when(column(c).isNotNull(), F.xxhash64(column(c))).alias(f"c{i}") for i, c in enumerate(self.names)]
+        hashes = _hashes(self.names, self.names)[:width]
         for start in range(0, len(todo), step):
             part = todo[start : start + step]
             places = [[i for i, c in enumerate(self.names) if c in s] for s in part]
@@ -262,29 +389,32 @@ class _Lattice:
                 )
 
     def count(self, sets: Iterable[Columns]) -> None:
-        """Exact counts, one grouping for every SETS_PER_PASS sets."""
+        """Exact counts, one grouping for every SETS_PER_PASS sets. The rows are known from the sample."""
         todo = [s for s in dict.fromkeys(sets) if not self.known[s].exact]
+        width = len(self.names)
         for start in range(0, len(todo), SETS_PER_PASS):
             part = todo[start : start + SETS_PER_PASS]
-            keys = [F.when(_present(s), F.struct(F.lit(i).alias("set"), *_named(_hashes(s), "x", "y"))) for i, s in enumerate(part)]
+            places = [[i for i, c in enumerate(self.names) if c in s] for s in part]
+            bits = [_buckets(self.known[s].rows) for s in part]
             counted = (
-                self.df.select(F.explode(F.array_compact(F.array(*keys))).alias("key"))
-                .groupBy("key.set", "key.x", "key.y")
-                .agg(F.count(F.lit(1)).alias("n"))
+                self.df.select(*_hashes(self.names, Columns().union(*part)))
+                .mapInArrow(_distinct_dealt(places, bits, width), _BLOCKS)
+                .groupBy("set", "bucket")
+                .applyInArrow(_distinct_counted, "set int, distinct bigint")
                 .groupBy("set")
-                .agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("distinct"))
+                .agg(F.sum("distinct").alias("distinct"))
             )
-            found = {r["set"]: r for r in counted.collect()}
+            found = {r["set"]: r["distinct"] for r in counted.collect()}
             for i, s in enumerate(part):
-                rows, distinct = (found[i]["rows"], found[i]["distinct"]) if i in found else (0, 0)
-                self.known[s] = replace(self.known[s], rows=rows, distinct=distinct, exact=True, least_repeats=rows - distinct)
+                rows, distinct = self.known[s].rows, found.get(i, 0)
+                self.known[s] = replace(self.known[s], distinct=distinct, exact=True, least_repeats=rows - distinct)
 
-    def keys_among(self, sets: Iterable[Columns], allowed: int) -> set[Columns]:
+    def keys_among(self, sets: Iterable[Columns], allowed: Callable[[Columns], int]) -> set[Columns]:
         """Those with at most so many repeats, all of which are then known exactly."""
-        sets = [s for s in sets if self.most_distinct(s) >= self.least_rows(s) - allowed]
+        sets = [s for s in sets if self.most_distinct(s) >= self.least_rows(s) - allowed(s)]
         self.sample(sets)
-        self.count(s for s in sets if not self.refuted(s, None, allowed))
-        return {s for s in sets if self.known[s].exact and self.known[s].rows - self.known[s].distinct <= allowed}
+        self.count(s for s in sets if not self.refuted(s, None, allowed(s)))
+        return {s for s in sets if self.known[s].exact and self.known[s].rows - self.known[s].distinct <= allowed(s)}
 
     def refuted(self, s: Columns, dependent: str | None, allowed: int) -> bool:
         """Whether the sample excludes a key, or a dependency, with so many rows to remove at most."""
@@ -302,10 +432,6 @@ class _Lattice:
         return self.total - sum(self.total - self.known[Columns([c])].rows for c in s)
 
 
-def _named(columns: Iterable[Column], *names: str) -> list[Column]:
-    return [c.alias(n) for c, n in zip(columns, names)]
-
-
 def _level(columns: Sequence[str], size: int, enough: Iterable[Columns]) -> list[Columns]:
     """Sets of so many columns that hold none of the given sets."""
     enough = list(enough)
@@ -328,7 +454,8 @@ def keys(
     exact: list[Columns] = []
     near: list[Columns] = []
     for size in range(1, max_columns + 1):
-        found = lattice.keys_among(_level(lattice.columns, size, exact), allowed)
+        # of a set that holds a near key, only whether it is a key is of interest
+        found = lattice.keys_among(_level(lattice.columns, size, exact), lambda s: 0 if any(n < s for n in near) else allowed)
         for s in sorted(found, key=sorted):
             if lattice.known[s].rows == lattice.known[s].distinct:
                 exact.append(s)
@@ -371,32 +498,140 @@ def key_rules(df: DataFrame, table_name: str, **options) -> DataFrame:
 # Dependencies -----------------------------------------------------------------------------
 
 
-def _removals(df: DataFrame, pairs: Sequence[tuple[Columns, str]]) -> dict[tuple[Columns, str], tuple[int, int, int]]:
+def _coded(columns: Sequence[tuple[np.ndarray, np.ndarray | None]], width: int) -> list[tuple[np.ndarray, int]]:
+    """The values of each column as small numbers, and how many there are."""
+    out = []
+    for (x, _), (y, _) in zip(columns[:width], columns[width:]):
+        coded = pa.array(x).dictionary_encode()
+        codes, n = coded.indices.to_numpy().astype(np.int64), len(coded.dictionary)
+        second = np.zeros(n, np.int64)
+        second[codes] = y
+        if (second[codes] != y).any():
+            order, start = _in_order(x.view(np.uint64), y.view(np.uint64))
+            codes[order] = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(order))))
+            n = len(start)
+        out.append((codes, n))
+    return out
+
+
+def _cells(
+    codes: Sequence[tuple[np.ndarray, int]], x: Sequence[int], c: int, present: np.ndarray | None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the pairs of a determinant's value and a dependent one in a chunk: the place of a row that has
+    it, and how many have; and where the pairs of each determinant's value start."""
+    cell, n = _chosen(codes[x[0]][0], present), codes[x[0]][1]
+    for i in (*x[1:], c):
+        if n > CODES:
+            distinct, cell = np.unique(cell, return_inverse=True)
+            n = len(distinct)
+        own, m = codes[i]
+        cell, n = cell * m + _chosen(own, present), n * m
+    if n <= CELLS:
+        counts = np.bincount(cell, minlength=n)
+        used = np.flatnonzero(counts)
+        row = np.zeros(n, np.int64)
+        row[cell] = np.arange(len(cell))
+        row, counts = row[used], counts[used]
+    else:
+        used, row, counts = np.unique(cell, return_index=True, return_counts=True)
+    value = used // codes[c][1]
+    return row, counts, np.flatnonzero(np.append(True, value[1:] != value[:-1]) if len(value) else [])
+
+
+def _pairs_in_chunks(pairs: Sequence[tuple[Sequence[int], int]], width: int, batches: Iterable[pa.RecordBatch]):
+    """The cells of every pair in every chunk, with the hashes of the columns."""
+    for columns in _chunks(batches, CHUNK_ROWS):
+        words, codes = _words(columns), _coded(columns, width)
+        for i, (x, c) in enumerate(pairs):
+            present = _present(columns, [*x, c])
+            yield i, words, present, _cells(codes, x, c, present)
+
+
+def _removals_of_chunks(pairs: Sequence[tuple[Sequence[int], int]], width: int):
+    """The rows to remove in each chunk of a task, added up."""
+
+    def removals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least = [0] * len(pairs)
+        for i, _, _, (_, counts, start) in _pairs_in_chunks(pairs, width, batches):
+            if len(start):
+                least[i] += int(counts.sum() - np.maximum.reduceat(counts, start).sum())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(range(len(pairs)), pa.int32()), pa.array(least, pa.int64())], names=["pair", "least"]
+        )
+
+    return removals
+
+
+def _pairs_dealt(pairs: Sequence[tuple[Sequence[int], int]], bits: int, width: int):
+    """The cells of pairs in each chunk, dealt to buckets by both values: their hashes, the determinant's and counts."""
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for i, words, present, (row, counts, _) in _pairs_in_chunks(pairs, width, batches):
+            x, c = pairs[i]
+            row = row if present is None else np.flatnonzero(present)[row]
+            own = [reduce(np.add, [words[k + j][row] for j in x]) for k in (0, width)]
+            both = [h + words[k + c][row] for h, k in zip(own, (0, width))]
+            cells = np.stack((*both, *own, counts.astype(np.uint64)))
+            yield _blocks(i, bits, cells[:, np.argsort(both[0], kind="stable")])
+
+    return dealt
+
+
+def _values_dealt(bits: int):
+    """Of each determinant's value in a bucket of pairs, the rows and those of the commonest dependent, dealt by value."""
+
+    def dealt(table: pa.Table) -> pa.Table:
+        *both, x, y, n = _unblocked(table, 5)
+        order, start = _in_order(*both)
+        n, x, y = np.add.reduceat(n[order], start), x[order][start], y[order][start]
+        order, start = _in_order(x, y)
+        n = n[order]
+        rows = np.stack((x[order][start], y[order][start], np.add.reduceat(n, start), np.maximum.reduceat(n, start)))
+        return pa.Table.from_batches([_blocks(table.column("set")[0].as_py(), bits, rows)])
+
+    return dealt
+
+
+def _values_summed_up(table: pa.Table) -> pa.Table:
+    x, y, n, most = _unblocked(table, 4)
+    order, start = _in_order(x, y)
+    rows, most = int(n.sum()), int(np.maximum.reduceat(most[order], start).sum())
+    found = {"n_values": len(start), "rows": rows, "removals": rows - most}
+    return pa.table({"set": table.column("set")[:1].cast(pa.int32()), **{k: pa.array([v], pa.int64()) for k, v in found.items()}})
+
+
+def _removals(
+    df: DataFrame, names: Sequence[str], pairs: Sequence[tuple[Columns, str]], total: int, allowed: int
+) -> dict[tuple[Columns, str], tuple[int, int, int]]:
     """Values of the determinant, rows, and rows to remove so that each value has one dependent.
 
-    The commonest dependent of each value stays. One grouping for every SETS_PER_PASS pairs: by
-    determinant and dependent first, so that a hot value is reduced to its distinct dependents.
+    Only of pairs with at most ``allowed`` rows to remove in all chunks of rows together; others have
+    more in the table. The commonest dependent of each value stays. One grouping for every
+    SETS_PER_PASS pairs: by determinant and dependent first, so that a hot value is reduced to its
+    distinct dependents.
     """
+    width, bits = len(names), _buckets(total)
+    place = {c: i for i, c in enumerate(names)}
+    placed = lambda part: [([place[c] for c in names if c in x], place[c]) for x, c in part]
+    hashed = lambda part: df.select(*_hashes(names, Columns().union(*(x | {c} for x, c in part))))
+    if pairs:
+        chunks = hashed(pairs).mapInArrow(_removals_of_chunks(placed(pairs), width), "pair int, least bigint")
+        least = {r["pair"]: r["least"] for r in chunks.groupBy("pair").agg(F.sum("least").alias("least")).collect()}
+        pairs = [p for i, p in enumerate(pairs) if least.get(i, 0) <= allowed]
     out = {}
     for start in range(0, len(pairs), SETS_PER_PASS):
         part = pairs[start : start + SETS_PER_PASS]
-        keys = [
-            F.when(
-                _present([*x, c]),
-                F.struct(F.lit(i).alias("pair"), *_named(_hashes(x), "x", "y"), *_named(_hashes([c]), "c", "d")),
-            )
-            for i, (x, c) in enumerate(part)
-        ]
         counted = (
-            df.select(F.explode(F.array_compact(F.array(*keys))).alias("key"))
-            .groupBy("key.pair", "key.x", "key.y", "key.c", "key.d")
-            .agg(F.count(F.lit(1)).alias("n"))
-            .groupBy("pair", "x", "y")
-            .agg(F.sum("n").alias("n"), F.max("n").alias("most"))
-            .groupBy("pair")
-            .agg(F.count(F.lit(1)).alias("n_values"), F.sum("n").alias("rows"), F.sum(F.col("n") - F.col("most")).alias("removals"))
+            hashed(part)
+            .mapInArrow(_pairs_dealt(placed(part), bits, width), _BLOCKS)
+            .groupBy("set", "bucket")
+            .applyInArrow(_values_dealt(bits), _BLOCKS)
+            .groupBy("set", "bucket")
+            .applyInArrow(_values_summed_up, "set int, n_values bigint, rows bigint, removals bigint")
+            .groupBy("set")
+            .agg(*(F.sum(c).alias(c) for c in ("n_values", "rows", "removals")))
         )
-        found = {r["pair"]: r for r in counted.collect()}
+        found = {r["set"]: r for r in counted.collect()}
         for i, p in enumerate(part):
             r = found.get(i)
             out[p] = (r["n_values"], r["rows"], r["removals"]) if r else (0, 0, 0)
@@ -418,8 +653,8 @@ def composite_dependencies(
     repeats: determinants that are (nearly) keys, and those that are so where the dependent is
     present; and columns with one value.
 
-    Before any grouping, the samples exclude most pairs: a group in which the dependent differs
-    costs at least one row.
+    Before any grouping, the samples exclude many pairs: a group in which the dependent differs
+    costs at least one row. Chunks of rows exclude others, by the rows to remove in each.
     """
     lattice = _Lattice(df, columns)
     allowed = int((1 - min_confidence) * lattice.total + 1e-9)
@@ -429,7 +664,7 @@ def composite_dependencies(
     held: dict[str, list[Columns]] = {c: [] for c in names}
     rows = []
     for size in range(1, max_determinants + 1):
-        unique += lattice.keys_among(_level(names, size, unique), allowed)
+        unique += lattice.keys_among(_level(names, size, unique), lambda s: allowed)
         sets = _level(names, size, unique)
         lattice.sample(sets)
         left = [
@@ -438,7 +673,7 @@ def composite_dependencies(
             for c in names
             if c not in x and not any(h <= x for h in held[c]) and not lattice.refuted(x, c, allowed)
         ]
-        for (x, c), (n_values, support, removals) in _removals(df, left).items():
+        for (x, c), (n_values, support, removals) in _removals(df, lattice.names, left, lattice.total, allowed).items():
             if removals <= allowed:
                 held[c].append(x)
                 if n_values < support:
